@@ -42,4 +42,4 @@ def shuffled(seed: int | str, row_id: Column, items: Column) -> Column:
             _md5(seed, row_id, i).alias("order"), i.alias("position"), item.alias("item")
         ),
     )
-    return F.array_sort(keyed)
+    return F.sort_array(keyed)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textprep import fixed_values as fixed
 from textprep.functions.text import Counter, present, strip, token_count
 from textprep.operators.sampling import top_n, top_n_per_group
+from textprep.plans.barrier import computed_once
 from textprep.schemas import require_columns
 from textprep.sources.adapters import union_by_name
 
@@ -33,7 +34,7 @@ def from_qa(df: DataFrame, default_source: str, keep: tuple[str, ...] = ()) -> D
 
 
 def with_tokens(df: DataFrame, tok: Counter = token_count) -> DataFrame:
-    return df.withColumn("token_count", tok(F.col("text")))
+    return computed_once(df, "token_count", tok(F.col("text")))
 
 
 def limit_tokens(

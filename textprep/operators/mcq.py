@@ -14,7 +14,8 @@ from textprep.functions import draws
 from textprep.functions.prompts import eval_query
 from textprep.functions.text import letter, lettered_lines, present, strip
 from textprep.operators.sampling import sample_n, shuffle_positions
-from textprep.plans.broadcasting import broadcast_if_small
+from textprep.plans.barrier import computed_once
+from textprep.plans.sizing import broadcast_if_small
 from textprep.sources.adapters import union_by_name
 
 _LETTERS = "ABCDE"
@@ -87,13 +88,13 @@ def from_index(
 
 def _shuffled_qa(df: DataFrame, options: Column, index, answer_text, source, keep, seed, id_col) -> DataFrame:
     """Shuffle the options, place the answer, and drop rows that have none to choose from."""
-    staged = df.withColumn("_order", draws.shuffled(seed, F.col(id_col), options))
+    staged = computed_once(df, "_order", draws.shuffled(seed, F.col(id_col), options))
     shown = F.transform("_order", lambda s: s["item"])
     staged = staged.withColumn("_shown", F.when(F.size("_order") > 0, shown))
     place = index(F.col("_order"), F.col("_shown"))
-    answer = _labelled(place, answer_text(F.col("_shown"), place))
+    answered = computed_once(staged, "_answer", _labelled(place, answer_text(F.col("_shown"), place)))
     lines = F.coalesce(lettered_lines(F.col("_shown")), F.lit(""))
-    shaped = _as_qa(staged, F.concat("question", lines), answer, source, keep)
+    shaped = _as_qa(answered, F.concat("question", lines), F.col("_answer"), source, keep)
     return shaped.where(F.col("answer").isNotNull())
 
 
@@ -170,7 +171,7 @@ def from_polymorphic(df: DataFrame, source: str, keep: tuple[str, ...] = (), com
         F.transform("_options", lambda o, i: F.when(o.contains(F.col("_wanted")), i)),
         lambda i: i.isNotNull(),
     )
-    staged = staged.withColumn("_place", F.get(places, F.lit(0))).where(F.col("_place").isNotNull())
+    staged = computed_once(staged, "_place", F.get(places, F.lit(0))).where(F.col("_place").isNotNull())
     return _as_qa(
         staged,
         F.concat("question_body", lettered_lines(F.col("_options"))),

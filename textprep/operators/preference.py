@@ -8,6 +8,7 @@ from textprep import fixed_values as fixed
 from textprep.functions import answers, draws, prompts
 from textprep.functions.text import Counter, strip, token_count
 from textprep.operators.sampling import exact_split, running_totals, in_batches
+from textprep.plans.barrier import computed_once
 from textprep.sources.adapters import union_by_name
 
 CLEANERS = {
@@ -93,7 +94,7 @@ def pairs(
     source: str = fixed.SOURCE_TAGS["distilled"],
 ) -> DataFrame:
     """Best answer against the second (or, for the remaining draws, the third)."""
-    ranked = df.withColumn("_labels", parse_ranking(F.col("ranking"))).where(F.col("_labels").isNotNull())
+    ranked = computed_once(df, "_labels", parse_ranking(F.col("ranking"))).where(F.col("_labels").isNotNull())
     loser = F.when(draws.unit(seed, F.col(id_col)) < p_second, F.get("_labels", F.lit(1))).otherwise(
         F.get("_labels", F.lit(2))
     )

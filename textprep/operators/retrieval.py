@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textprep.functions import draws
 from textprep.functions.text import tokens
+from textprep.session import shared_root
 
 BLOCK_ROWS = 16_384  # documents per block
 CHUNK_ROWS = 65_536  # queries per chunk
@@ -339,28 +340,31 @@ def load_or_build(spark, path: str, build: Callable[[], None]) -> DataFrame:
     return spark.read.parquet(f"{path}/vectors")
 
 
-def ivf(
+def search_index(
     spark,
     queries: DataFrame,
     path: str,
     k: int,
-    probes: int,
+    probes: int | None = None,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Approximate k nearest documents by squared distance: only the `probes` nearest cells are searched."""
+    """k nearest documents by squared distance over a written index.
+
+    Exact without `probes`: a cell is skipped only when it cannot hold a neighbour.  With `probes`,
+    approximate: just that many nearest cells are searched.
+    """
     assigned = spark.read.parquet(f"{path}/vectors")
     centers = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     pivots = np.array([row["center"] for row in centers], dtype=np.float64)
-    counts = np.zeros(len(pivots))
-    for row in assigned.groupBy("cell").count().collect():  # one row per centroid
-        counts[row["cell"]] = row["count"]
-    cells = Cells(pivots, counts, np.zeros(len(pivots)), np.zeros(len(pivots)), block_rows)
+    cells = measure_cells(assigned, pivots, k + 1 if exclude_self else k, block_rows)
+
+    def visit(vectors: np.ndarray) -> np.ndarray:
+        return cells.reachable(vectors) if probes is None else cells.nearest(vectors, probes)
+
     chunks = _chunks(queries, chunk_rows, int(cells.blocks().sum()))
-    placed = _place_queries(
-        queries, cells, chunks, lambda x, is_query: x, lambda vectors: cells.nearest(vectors, probes)
-    )
+    placed = _place_queries(queries, cells, chunks, lambda x, is_query: x, visit)
     found = _join_blocks(
         _place_docs(assigned, cells, chunks), placed, _search_vectors(_squared_l2, k, exclude_self)
     )
@@ -482,6 +486,8 @@ def knn_jaccard(
     classes = F.array(*[F.lit(c) for c in sorted(blocks)])
     home = F.filter(classes, lambda c: c == F.col("home"))
     first = _keep_best(_join_blocks(placed_docs, visiting(wanted, home), _search_sets(k)), k)
+    shared_root(queries.sparkSession)
+    first = first.checkpoint()  # k rows per query, read twice below
     reached = first.groupBy("query_id").agg(
         F.max("rank").alias("found"), F.max("score").alias("worst")
     )

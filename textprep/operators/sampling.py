@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from textprep import fixed_values as fixed
 from textprep.functions import draws
 from textprep.functions.text import Counter, token_count
+from textprep.plans.barrier import computed_once
 
 _BINS = 4096
 _TAKE_ORDERED_ROWS = 10_000
+_MAX_SALTS = 256
 
 
 def _extent(df: DataFrame, key: str) -> tuple[int, int, int]:
@@ -188,7 +190,7 @@ def top_n_per_group(df: DataFrame, group: str, n: int, order: list, id_col: str,
     per group over at most n * salts survivors.  A group with a third of all rows is thus spread
     over `salts` tasks, and no row that belongs to the answer can get lost.
     """
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or min(_MAX_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
     first = F.row_number().over(W.partitionBy(group, "_salt").orderBy(*order))
     survivors = salted.withColumn("_rank", first).where(F.col("_rank") <= n).drop("_rank", "_salt")
@@ -198,7 +200,8 @@ def top_n_per_group(df: DataFrame, group: str, n: int, order: list, id_col: str,
 
 def within_pair_budget(df: DataFrame, first: str, second: str, max_length: int, tok: Counter = token_count) -> DataFrame:
     """Rows whose two token counts sum to strictly less than `max_length`."""
-    return df.where(tok(F.col(first)) + tok(F.col(second)) < max_length)
+    counted = computed_once(df, "_tokens", tok(F.col(first)) + tok(F.col(second)))
+    return counted.where(F.col("_tokens") < max_length).drop("_tokens")
 
 
 def sft_view(df: DataFrame, tok: Counter = token_count, max_length: int = 200) -> DataFrame:

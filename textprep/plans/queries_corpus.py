@@ -58,6 +58,7 @@ def _(t):
 @query(
     "top_n_tokens",
     f"SELECT doc_id, {n_tokens('text')} AS token_count FROM documents ORDER BY token_count DESC, doc_id LIMIT 100",
+    spread=("documents",),
 )
 def _(t):
     counted = corpus.with_tokens(t.documents).select("doc_id", "token_count")
@@ -70,6 +71,7 @@ def _(t):
           SELECT doc_id, source, {n_tokens('text')} AS token_count,
                  row_number() OVER (PARTITION BY source ORDER BY {n_tokens('text')} DESC, doc_id) AS rk
           FROM documents WHERE {n_tokens('text')} <= 512) AS d WHERE rk <= 5""",
+    spread=("documents",),
 )
 def _(t):
     limited = corpus.limit_tokens(t.documents, "doc_id", max_chunks=5, by="source")
@@ -121,12 +123,12 @@ def _corpus(t):
     return corpus.build([_wiki(t), _qa(t)], "doc_id", max_chunks=400)
 
 
-@query("corpus_union", "SELECT * FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS)
+@query("corpus_union", "SELECT * FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS, spread=("documents",))
 def _(t):
     return _corpus(t)
 
 
-@query("corpus_final", "SELECT text, source FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS)
+@query("corpus_final", "SELECT text, source FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS, spread=("documents",))
 def _(t):
     return corpus.final_columns(_corpus(t))
 
@@ -135,6 +137,7 @@ def _(t):
     "corpus_full",
     f"SELECT doc_id, text, source, {n_tokens('text')} AS token_count FROM ({_WIKI} UNION ALL {_QA}) AS c",
     views=_CORPUS_VIEWS,
+    spread=("documents",),
 )
 def _(t):
     return corpus.build([_wiki(t), _qa(t)], "doc_id", small=False)
@@ -144,13 +147,14 @@ def _(t):
     "token_stats",
     f"""SELECT count(*) AS n, round(avg(token_count), 6) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens
         FROM (SELECT {n_tokens('text')} AS token_count FROM documents) AS d""",
+    spread=("documents",),
 )
 def _(t):
     stats = corpus.token_stats(corpus.with_tokens(t.documents.select("text")))
     return stats.withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
-@query("lexical_vectors")
+@query("lexical_vectors", spread=("documents",))
 def _(t):
     """No SQL form of the token hash; compared with a plain computation in the tests."""
     rows = retrieval.lexical_vectors(t.documents, "doc_id")
@@ -219,6 +223,7 @@ def _(t):
         "asked": f"SELECT item_id AS id, list_distinct(regexp_extract_all(text, {TOKENS})) AS words FROM benchmark",
         "docs": f"SELECT doc_id AS id, list_distinct(regexp_extract_all(text, {TOKENS})) AS words FROM documents",
     },
+    spread=("documents",),
 )
 def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
@@ -231,11 +236,20 @@ def _(t):
     queries, docs = _vectors(t)
     path = shared_path(t.spark, "vector-index")
     retrieval.load_or_build(t.spark, path, lambda: retrieval.build_index(docs, path, cells=16))
-    found = retrieval.ivf(t.spark, queries, path, k=fixed.RETRIEVE_K, probes=8)
+    found = retrieval.search_index(t.spark, queries, path, k=fixed.RETRIEVE_K, probes=8)
     measured = retrieval.recall(found, retrieval.knn(queries, docs, k=fixed.RETRIEVE_K))
     return measured.withColumn("recall", F.round("recall", 6))
 
 
+@query("knn_index", _hits_sql(_L2, 5, False))
+def _(t):
+    """The exact search over a written index."""
+    queries, docs = _vectors(t)
+    path = shared_path(t.spark, "vector-index")
+    retrieval.load_or_build(t.spark, path, lambda: retrieval.build_index(docs, path, cells=16))
+    return retrieval.search_index(t.spark, queries, path, k=fixed.RETRIEVE_K)
+
+
 _HITS5 = {"hits": _hits_sql(_L2, 5, False)}
 
 
@@ -396,6 +410,7 @@ _MASK_STEPS = {
               CAST(prompt_length AS BIGINT) AS n_masked
        FROM cut""",
     steps=_MASK_STEPS,
+    spread=("conversations",),
 )
 def _(t):
     pairs = mcq.exchange_rows(t.conversations, exact_turns=None)

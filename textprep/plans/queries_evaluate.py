@@ -19,12 +19,12 @@ _CORRECT = f"""CASE WHEN {strip(_LINE1.format('completion'))} = {strip(_LINE1.fo
                     THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"""
 
 
-@query("reward_format", f"SELECT prompt_id, i, {_FORMAT} AS reward FROM v_rollouts", views=_ROLLOUTS)
+@query("reward_format", f"SELECT prompt_id, i, {_FORMAT} AS reward FROM v_rollouts", views=_ROLLOUTS, spread=("part",))
 def _(t):
     return t.v_rollouts.select("prompt_id", "i", rewards.format_reward(F.col("completion")).alias("reward"))
 
 
-@query("reward_correctness", f"SELECT prompt_id, i, {_CORRECT} AS reward FROM v_rollouts", views=_ROLLOUTS)
+@query("reward_correctness", f"SELECT prompt_id, i, {_CORRECT} AS reward FROM v_rollouts", views=_ROLLOUTS, spread=("part",))
 def _(t):
     reward = rewards.correctness_reward(F.col("completion"), F.col("final_answer"))
     return t.v_rollouts.select("prompt_id", "i", reward.alias("reward"))
@@ -39,6 +39,7 @@ def _(t):
        FROM rewarded""",
     views=_ROLLOUTS,
     steps={"rewarded": f"SELECT prompt_id, i, {_FORMAT} + {_CORRECT} AS reward FROM v_rollouts"},
+    spread=("part",),
 )
 def _(t):
     rows = evaluate.group_advantage(evaluate.with_rewards(t.v_rollouts), "prompt_id")
@@ -56,6 +57,7 @@ def _(t):
     f"""SELECT prompt_id, i, string_split({strip('lower(completion)')}, chr(10))[1] = lower({strip('final_answer')}) AS correct
         FROM v_rollouts""",
     views=_ROLLOUTS,
+    spread=("part",),
 )
 def _(t):
     correct = evaluate.is_correct(F.col("completion"), F.col("final_answer"))
@@ -67,6 +69,7 @@ def _(t):
     f"""SELECT prompt_id, i, {strip("string_split(regexp_replace(completion, '<think>.*?</think>', '', 'gs'), 'answer: ')[-1]")} AS answer
         FROM v_rollouts""",
     views=_ROLLOUTS,
+    spread=("part",),
 )
 def _(t):
     return t.v_rollouts.select("prompt_id", "i", answers.without_think(F.col("completion")).alias("answer"))
@@ -84,6 +87,7 @@ _GENERATED = f"""SELECT prompt_id, i, {_ECHO} AS prompt, {_MARKED} AS generated
           FROM generated) AS g""",
     views=_ROLLOUTS,
     steps={"generated": _GENERATED},
+    spread=("part",),
 )
 def _(t):
     rows = t.v_rollouts.selectExpr("prompt_id", "i", f"{_ECHO} AS prompt", f"{_MARKED} AS generated")

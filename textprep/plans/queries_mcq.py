@@ -85,6 +85,7 @@ def _(t):
         FROM ordered""",
     views=("v_mcq_cols",),
     steps=_STEP_ORDER,
+    spread=("part",),
 )
 def _(t):
     return mcq.from_columns_first(t.v_mcq_cols, ["first", "second", "third", "fourth"], "row_id", keep=("row_id",))
@@ -108,12 +109,13 @@ def _indexed(t, compat):
     _index_check("(list_position(list_transform(ord, lambda s: s.p), cop) - 1)"),
     views=("v_mcq_cols",),
     steps=_STEP_ORDER,
+    spread=("part",),
 )
 def _(t):
     return _indexed(t, compat=False)
 
 
-@query("mcq_index_then_shuffle_compat", _index_check("cop"), views=("v_mcq_cols",), steps=_STEP_ORDER)
+@query("mcq_index_then_shuffle_compat", _index_check("cop"), views=("v_mcq_cols",), steps=_STEP_ORDER, spread=("part",))
 def _(t):
     return _indexed(t, compat=True)
 
@@ -151,6 +153,7 @@ _POLYMORPHIC = f"""SELECT row_id, question_body || {lettered('opts')} AS questio
     _POLYMORPHIC,
     views=("v_mixed",),
     steps=_polymorphic_steps("NOT list_contains(listed[2:], o)"),
+    spread=("part",),
 )
 def _(t):
     return mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",))
@@ -161,6 +164,7 @@ def _(t):
     _POLYMORPHIC,
     views=("v_mixed",),
     steps=_polymorphic_steps("NOT contains(listed[1], o)"),
+    spread=("part",),
 )
 def _(t):
     return mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",), compat=True)
@@ -321,6 +325,7 @@ def choose_sql(templates: dict[str, str], **more: str) -> str:
     f"""SELECT row_id, {choose_sql(fixed.EXPLAIN_PROMPTS)} AS explain, {choose_sql(fixed.EXACT_FORMAT_PROMPTS)} AS exact
         FROM v_distill""",
     views=("v_distill",),
+    spread=("part",),
 )
 def _(t):
     inputs = (F.col("prompt"), F.col("options"), F.col("answer"))
@@ -418,6 +423,7 @@ _UNION_VIEWS = ("v_mcq_list", "v_mcq_label", "v_mcq_cols", "v_mixed", "v_mcq_idx
     "SELECT row_id, question, answer, source FROM every WHERE split = 'train'",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
+    spread=("part",),
 )
 def _(t):
     return adapters.union_by_name(_mcq_parts(t)["train"])
@@ -430,6 +436,7 @@ def _(t):
         FROM every JOIN templates ON template_id = {word(SEED, 'row_id')} % (SELECT count(*) FROM templates)""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
+    spread=("part",),
 )
 def _(t):
     return mcq.merge_splits(_mcq_parts(t), template_table(t), "row_id")
@@ -451,6 +458,7 @@ def _(t):
         ) AS u""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
+    spread=("part", "documents", "conversations"),
 )
 def _(t):
     """The supervised mix: repaired choice rows without one source, that source with rationale, open sets."""
@@ -481,6 +489,7 @@ def _(t):
         WHERE {n_tokens('prompt')} + {n_tokens('final_answer')} < 25""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
+    spread=("part",),
 )
 def _(t):
     return sampling.rl_view(adapters.union_by_name(_mcq_parts(t)["train"]), "row_id", max_length=25)

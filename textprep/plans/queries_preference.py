@@ -64,6 +64,7 @@ def _(t):
     f"""SELECT row_id, prompt, {_think_sql('answer_a')} AS model_a, {_first_sql('answer_b')} AS model_b,
                {_last_sql('answer_c')} AS model_c FROM v_candidates""",
     views=_CANDIDATES,
+    spread=("part",),
 )
 def _(t):
     requests = t.v_distill.select("row_id", "prompt")
@@ -200,6 +201,7 @@ _DATASET_STEPS = {
         FROM merged""",
     views=_CANDIDATES,
     steps=_DATASET_STEPS,
+    spread=("part",),
 )
 def _(t):
     from textprep.operators.sampling import first_n
@@ -228,6 +230,7 @@ _JUDGE_STEPS = {"judged": f"SELECT row_id, {_JUDGE_SQL} AS prompt FROM v_candida
     f"SELECT row_id, prompt, {n_tokens('prompt')} AS n_tokens FROM judged",
     views=_CANDIDATES,
     steps=_JUDGE_STEPS,
+    spread=("part",),
 )
 def _(t):
     return preference.judge_requests(t.v_candidates, "row_id", COLUMNS)
@@ -249,6 +252,7 @@ def _(t):
                CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS BIGINT) AS used_tokens,
                (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch_id
         FROM (SELECT doc_id, {n_tokens('text')} AS n_tokens FROM documents) AS d""",
+    spread=("documents",),
 )
 def _(t):
     from textprep.functions.text import token_count

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.fixed_values import UNICODE_WHITESPACE
-from textprep.functions.text import TOKEN_PATTERN
 from textprep.plans.tables import Tables, check_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,11 +20,20 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(wide[t]).alias(c) if t in wide else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), steps: dict[str, str] | None = None):
-    """Register `build(tables) -> DataFrame`; `views` and `steps` become the WITH clause of the check."""
+def query(
+    name: str,
+    sql: str | None = None,
+    views: tuple[str, ...] = (),
+    steps: dict[str, str] | None = None,
+    spread: tuple[str, ...] = (),
+):
+    """Register `build(tables) -> DataFrame`; `views` and `steps` become the WITH clause of the check.
+
+    `spread` names the tables whose rows are costly to process (see `spread_if_few`).
+    """
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: _plain(build(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: _plain(build(Tables(spark, folder, spread)))
         if sql is not None:
             ctes = {**check_ctes(views), **(steps or {})}
             with_clause = ",\n".join(f"{cte} AS ({body})" for cte, body in ctes.items())
@@ -43,7 +51,7 @@ def lit(text: str) -> str:
 
 
 WS = lit(UNICODE_WHITESPACE)
-TOKENS = lit(TOKEN_PATTERN)
+TOKENS = lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D ]")
 
 
 def strip(x: str) -> str:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textprep.plans.sizing import spread_if_few
+
 VIEWS = {
     "v_mcq_list": """
         SELECT p_partkey AS row_id, p_name AS question,
@@ -123,18 +125,27 @@ def _references(name: str) -> list[str]:
 
 
 class Tables:
-    """`t.part` is the table of one data folder, `t.v_wiki` a view over it."""
+    """`t.part` is the table of one data folder, `t.v_wiki` a view over it.
+
+    Tables named in `spread` feed costly expressions and use all cores even when they are one file.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self._folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, spread: tuple[str, ...] = ()) -> None:
+        self.spark, self._folder, self._spread = spark, folder, spread
 
     def __getattr__(self, name: str) -> DataFrame:
+        """Resolved once per instance: later accesses find the attribute set."""
         if name.startswith("_"):
             raise AttributeError(name)
-        if name not in VIEWS:
-            return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
-        inputs = {ref: getattr(self, ref) for ref in set(_references(name))}
-        return self.spark.sql(_dialect(VIEWS[name], _SPARK), **inputs)
+        if name in VIEWS:
+            inputs = {ref: getattr(self, ref) for ref in set(_references(name))}
+            table = self.spark.sql(_dialect(VIEWS[name], _SPARK), **inputs)
+        else:
+            table = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+            if name in self._spread:
+                table = spread_if_few(table, table.columns[0])
+        setattr(self, name, table)
+        return table
 
 
 def check_ctes(names: tuple[str, ...]) -> dict[str, str]:
