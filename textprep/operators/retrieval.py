@@ -9,12 +9,14 @@ one bounded block of documents with one bounded chunk of queries and emits the k
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -22,6 +24,9 @@ from textprep.functions import draws
 from textprep.functions.text import tokens
 from textprep.session import shared_root
 
+# The helpers travel with the task, so executors need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 16_384  # documents per block
 CHUNK_ROWS = 65_536  # queries per chunk
 _TILE = 512  # queries multiplied at once

@@ -27,11 +27,17 @@ def _extent(df: DataFrame, key: str) -> tuple[int, int, int]:
     return row["rows"], row["low"], row["high"]
 
 
-def _cut(slim: DataFrame, n: int) -> list[int] | None:
-    """Key values of the n-th row in the order of the columns of `slim`; None if there are no more than n rows.
+def _nth(df: DataFrame, n: int) -> tuple[int, list[int]]:
+    """(rows seen, values of the last of the first n rows); n is small, so Spark keeps n rows per task."""
+    first = df.orderBy(*df.columns).limit(n)
+    row = first.agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(*df.columns)).alias("last")).first()
+    return row["rows"], list(row["last"] or [])
 
-    Key by key, a pass counts at most `_BINS` bins on the executors and keeps the bin that holds
-    row n.  As soon as few rows are in question they are ordered directly.
+
+def _narrow(slim: DataFrame, n: int) -> list[int] | None:
+    """Key by key, a pass counts at most `_BINS` bins on the executors and keeps the bin of row n.
+
+    As soon as few rows are in question they are ordered directly.
     """
     names, cut, rest = slim.columns, [], slim
     rows, low, high = _extent(rest, names[0])
@@ -56,8 +62,7 @@ def _cut(slim: DataFrame, n: int) -> list[int] | None:
                 n -= count
         rest = rest.where(F.col(name).between(low, high))
         if min(rows, n) <= _TAKE_ORDERED_ROWS:
-            last = rest.orderBy(*names[place:]).limit(n).agg(F.max(F.struct(*names[place:])).alias("last"))
-            return cut + list(last.first()["last"])
+            return cut + _nth(rest.select(*names[place:]), n)[1]
         cut.append(low)
     return cut
 
@@ -66,13 +71,21 @@ def before_cut(df: DataFrame, n: int, keys: dict[str, Column]) -> Column | None:
     """Predicate that holds for the first `n` rows in the order of `keys` (None: all rows).
 
     `keys` are non-null integer columns, most significant first; together they identify a row.
+    Only the keys are read to find the cut.  (A sort with a limit inside a larger plan would range
+    partition and sort the whole payload.)
     """
+    if n <= 0:
+        return F.lit(False)
     slim = df.select(*[c.cast("long").alias(name) for name, c in keys.items()])
-    slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cut = _cut(slim, n)
-    finally:
-        slim.unpersist()
+    if n <= _TAKE_ORDERED_ROWS:
+        rows, cut = _nth(slim, n)
+        cut = cut if rows == n else None
+    else:
+        slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            cut = _narrow(slim, n)
+        finally:
+            slim.unpersist()
     if cut is None:
         return None
     predicate = F.lit(True)
@@ -82,8 +95,6 @@ def before_cut(df: DataFrame, n: int, keys: dict[str, Column]) -> Column | None:
 
 
 def _first(df: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
-    if n <= _TAKE_ORDERED_ROWS:
-        return df.orderBy(*keys.values()).limit(n)
     predicate = before_cut(df, n, keys)
     return df if predicate is None else df.where(predicate)
 
@@ -93,7 +104,7 @@ def _shuffle_keys(seed: int, id_col: str) -> dict[str, Column]:
 
 
 def first_n(df: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The first n rows by id (an integer column when n is large)."""
+    """The first n rows by id (an integer column)."""
     return _first(df, n, {"id": F.col(id_col)})
 
 
@@ -119,8 +130,6 @@ def exact_split(
     The id is cut as an integer, so it must be a long column (use `hash_key` of a text id).
     """
     held_out = math.ceil(df.count() * fraction)
-    if held_out == 0:
-        return df.withColumn("split", F.lit(names[0]))
     predicate = before_cut(df, held_out, _shuffle_keys(seed, id_col))
     inside = F.lit(True) if predicate is None else predicate
     return df.withColumn("split", F.when(inside, F.lit(names[1])).otherwise(F.lit(names[0])))

@@ -397,14 +397,14 @@ _MASK_STEPS = {
     "exchange": """SELECT conv_id, coalesce(max(CASE WHEN turn = 0 THEN text END), '') AS question,
                           coalesce(max(CASE WHEN turn = 1 THEN text END), '') AS answer FROM conversations GROUP BY conv_id""",
     "encoded": f"""SELECT conv_id, {_IDS.format("question || ' ' || answer")} AS full_ids,
-                          CAST(least(len({_IDS.format('question')}), 256) AS BIGINT) AS prompt_length FROM exchange""",
-    "cut": "SELECT conv_id, prompt_length, full_ids[1:256] AS ids FROM encoded",
+                          CAST(least(len({_IDS.format('question')}), 1024) AS BIGINT) AS prompt_length FROM exchange""",
+    "cut": "SELECT conv_id, prompt_length, full_ids[1:1024] AS ids FROM encoded",
 }
 
 
 @query(
     "label_mask",
-    """SELECT conv_id, prompt_length, CAST(256 AS BIGINT) AS n_ids, CAST(len(ids) AS BIGINT) AS n_real,
+    """SELECT conv_id, prompt_length, CAST(1024 AS BIGINT) AS n_ids, CAST(len(ids) AS BIGINT) AS n_real,
               CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum,
               CAST(coalesce(list_sum(ids[prompt_length + 1:]), 0) - 100 * prompt_length AS BIGINT) AS label_sum,
               CAST(prompt_length AS BIGINT) AS n_masked
@@ -413,16 +413,17 @@ _MASK_STEPS = {
     spread=("conversations",),
 )
 def _(t):
+    length = fixed.RAFT_MAX_LENGTH
     pairs = mcq.exchange_rows(t.conversations, exact_turns=None)
     question, answer = (F.coalesce(c, F.lit("")) for c in ("question", "answer"))
     rows = pairs.select(
         "conv_id",
         token_ids(F.concat(question, F.lit(" "), answer)).alias("full_ids"),
-        F.least(F.size(token_ids(question)), F.lit(256)).alias("prompt_length"),
+        F.least(F.size(token_ids(question)), F.lit(length)).alias("prompt_length"),
     )
-    ids = raft.padded(F.col("full_ids"), 256, 0)
+    ids = raft.padded(F.col("full_ids"), length, 0)
     rows = rows.withColumn("ids", ids)
-    rows = rows.withColumn("labels", raft.labels(F.col("ids"), F.col("prompt_length"), 256))
+    rows = rows.withColumn("labels", raft.labels(F.col("ids"), F.col("prompt_length"), length))
 
     def total(c):
         return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -431,7 +432,7 @@ def _(t):
         "conv_id",
         "prompt_length",
         F.size("ids").alias("n_ids"),
-        F.least(F.size("full_ids"), F.lit(256)).alias("n_real"),
+        F.least(F.size("full_ids"), F.lit(length)).alias("n_real"),
         total("ids").alias("id_sum"),
         total("labels").alias("label_sum"),
         F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),

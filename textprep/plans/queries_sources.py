@@ -325,16 +325,22 @@ def _(t):
 # --- incremental -------------------------------------------------------------------------------------------
 
 
-@query("incremental_append", "SELECT doc_id, source, {} AS text FROM documents".format(strip("text")))
+_ARRIVED = """SELECT doc_id, source, text FROM documents
+              UNION ALL SELECT -1 - item_id, 'benchmark', text FROM benchmark"""
+
+
+@query("incremental_append", f"SELECT doc_id, source, {strip('text')} AS text FROM ({_ARRIVED}) AS a")
 def _(t):
-    """The second arrival repeats the first; the sink still holds every document once."""
+    """The second arrival repeats every document and adds new items; the sink holds each row once."""
     spark = t.spark
     arrivals, sink, state = (shared_path(spark, name) for name in ("arrivals", "sink", "progress"))
 
     def stripped(batch):
         return batch.select("doc_id", "source", strip_text(F.col("text")).alias("text"))
 
-    for arrival in (t.documents.where(F.col("doc_id") % 2 == 0), t.documents):
+    first = t.documents.select("doc_id", "source", "text")
+    added = t.benchmark.selectExpr("-1 - item_id AS doc_id", "'benchmark' AS source", "text")
+    for arrival in (first, first.unionByName(added)):
         arrival.write.mode("append").parquet(arrivals)
-        incremental.run(spark, arrivals, t.documents.schema, sink, state, "doc_id", stripped)
+        incremental.run(spark, arrivals, first.schema, sink, state, "doc_id", stripped)
     return incremental.read_sink(spark, sink).drop("batch_id")
