@@ -154,6 +154,16 @@ def test_require_columns(spark):
         require_columns(df, ["id", "x"])
 
 
+def test_conform(spark):
+    from textprep.schemas import SFT, conform
+
+    df = spark.createDataFrame([("s", 1, "c", "x")], "source string, prompt int, completion string, more string")
+    shaped = conform(df, SFT)
+    assert shaped.columns == SFT.names and rows(shaped) == [("1", "c", "s")]
+    with pytest.raises(ValueError, match="completion"):
+        conform(df.drop("completion"), SFT)
+
+
 def test_catalog(spark):
     path = shared_path(spark, "catalog")
     files.write_splits(spark.range(10).selectExpr("id", "if(id < 3, 'a', 'b') AS split"), path)

@@ -158,3 +158,9 @@ def test_samples_skip_unanswered_and_short_lists(spark, data):
         assert (r["query_id"], 1, int(r["golden_document"].split()[1])) in truth
         assert (r["query_id"], 4, int(r["distractor_documents"].split()[1])) in truth
     assert raft.samples(qa, queries, corpus.where("doc_id < 3"), documents, k=4).count() == 0
+
+
+def test_external_encoder(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
+    encoded = retrieval.encode(df, "id", "text", lambda texts: [[len(t), 1.0] for t in texts])
+    assert sorted((r["id"], r["embedding"]) for r in encoded.collect()) == [(1, [2.0, 1.0]), (2, [0.0, 1.0])]

@@ -110,3 +110,16 @@ def test_first_n_of_large_n_is_a_filter(spark, monkeypatch):
     plan = sampling.first_n(df, 100, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
     assert sampling.first_n(df, 100, "id").count() == 100
+
+
+def test_text_ids_split_exactly(spark):
+    df = spark.range(57).select(F.concat(F.lit("row-"), "id").alias("id"))
+    assert sampling.exact_split(df, "id").where("split = 'validation'").count() == 6
+    assert sampling.sample_n(df, 20, "id").count() == 20
+
+
+def test_first_n_does_not_sort_the_payload(spark):
+    df = spark.range(1000).withColumn("payload", F.lit("x"))
+    kept = sampling.first_n(df, 10, "id").selectExpr("payload || 'y'")
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in text and "Exchange" not in text and kept.count() == 10

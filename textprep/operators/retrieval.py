@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
@@ -27,11 +28,12 @@ from textprep.session import shared_root
 # The helpers travel with the task, so executors need not have this package installed.
 register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 16_384  # documents per block
-CHUNK_ROWS = 65_536  # queries per chunk
-_TILE = 512  # queries multiplied at once
+BLOCK_BYTES = 64 * 1024 * 1024  # vectors of one block of documents, or of one chunk of queries
+SET_ROWS = 16_384  # token sets per block
+_TILE = 512  # queries multiplied at once,
+_TILE_SCORES = 16_000_000  # or fewer, when the block is long
 _MATCHES = 4_000_000  # shared words counted at once
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 _SLACK = 1e-5  # absorbs rounding in the pruning bound
 ROUND = 6
 
@@ -102,8 +104,9 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _candidates(query_ids, doc_ids, score_tile, k: int, exclude_self: bool) -> pa.Table:
     """Top k of one block for every query of one chunk; `doc_ids` ascending."""
     found: list[tuple] = []
-    for start in range(0, len(query_ids), _TILE):
-        ids = query_ids[start : start + _TILE]
+    tile = max(1, min(_TILE, _TILE_SCORES // max(1, len(doc_ids))))
+    for start in range(0, len(query_ids), tile):
+        ids = query_ids[start : start + tile]
         scores = np.round(score_tile(start, start + len(ids)), ROUND)
         if exclude_self:
             scores[ids[:, None] == doc_ids[None, :]] = np.inf
@@ -186,7 +189,13 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query
     return slim.mapInArrow(assign, "doc_id long, embedding array<float>, cell int, reach double")
 
 
-def measure_cells(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> Cells:
+def _block_rows(vectors: DataFrame) -> int:
+    """How many vectors of this width fill one block."""
+    row = vectors.select(F.size("embedding").alias("width")).first()
+    return max(1, BLOCK_BYTES // (8 * max(1, row["width"] if row else 1)))
+
+
+def measure_cells(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Cells:
     """Count, radius and k-th distance of each cell.
 
     Spark prunes the ranking to k rows per cell and task before the shuffle, so a cell with most of
@@ -278,15 +287,18 @@ def knn(
     k: int,
     metric: str = "l2",
     exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int | None = None,
+    chunk_rows: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Exact k nearest documents: (query_id, rank, doc_id, score).
 
     `queries` is (query_id, embedding), `corpus` (doc_id, embedding).  The score is the squared
     distance for l2 and the similarity otherwise, rounded before ranking so that ties are stable.
+    Blocks and chunks are sized by bytes unless their rows are given.
     """
+    block_rows = block_rows or _block_rows(corpus)
+    chunk_rows = chunk_rows or block_rows
     n_docs, longest = _corpus_extent(corpus, need_length=metric not in ("l2", "cosine"))
     how = _metric(metric, longest)
     n_pivots = max(1, min(MAX_PIVOTS, math.ceil(n_docs / block_rows)))
@@ -352,8 +364,8 @@ def search_index(
     k: int,
     probes: int | None = None,
     exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """k nearest documents by squared distance over a written index.
 
@@ -361,6 +373,8 @@ def search_index(
     approximate: just that many nearest cells are searched.
     """
     assigned = spark.read.parquet(f"{path}/vectors")
+    block_rows = block_rows or _block_rows(assigned)
+    chunk_rows = chunk_rows or block_rows
     centers = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     pivots = np.array([row["center"] for row in centers], dtype=np.float64)
     cells = measure_cells(assigned, pivots, k + 1 if exclude_self else k, block_rows)
@@ -448,7 +462,7 @@ def _search_sets(k: int):
 
 
 def knn_jaccard(
-    queries: DataFrame, corpus: DataFrame, k: int, block_tokens: int = 2_000_000, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, corpus: DataFrame, k: int, block_tokens: int = 2_000_000, block_rows: int = SET_ROWS
 ) -> DataFrame:
     """The k documents with the largest Jaccard similarity of token sets, of those that share a token.
 
@@ -529,7 +543,17 @@ def result_lists(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("results"))
 
 
-# --- lexical vectors ----------------------------------------------------------------------------------------
+# --- vectors of texts ----------------------------------------------------------------------------------------
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, encode_batch: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Vectors of an external encoder, called once per Arrow batch: (id, embedding)."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(encode_batch(texts.fillna("").tolist()), dtype=np.float32)))
+
+    return df.select(id_col, vectors(F.col(text_col)).alias("embedding"))
 
 
 def lexical_vectors(df: DataFrame, id_col: str, text_col: str = "text", features: int = 1024) -> DataFrame:

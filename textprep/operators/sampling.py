@@ -99,8 +99,11 @@ def _first(df: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 
 
-def _shuffle_keys(seed: int, id_col: str) -> dict[str, Column]:
-    return {"hash": draws.hash_key(seed, F.col(id_col)), "id": F.col(id_col)}
+def _shuffle_keys(df: DataFrame, seed: int, id_col: str) -> dict[str, Column]:
+    """Hash first, then the id; a text id is replaced by a second hash, independent of the first."""
+    is_text = dict(df.dtypes)[id_col] == "string"
+    last = draws.hash_key(f"{seed}-id", F.col(id_col)) if is_text else F.col(id_col)
+    return {"hash": draws.hash_key(seed, F.col(id_col)), "id": last}
 
 
 def first_n(df: DataFrame, n: int, id_col: str) -> DataFrame:
@@ -110,7 +113,7 @@ def first_n(df: DataFrame, n: int, id_col: str) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = fixed.SEED) -> DataFrame:
     """The first n rows of the seeded shuffle."""
-    return _first(df, n, _shuffle_keys(seed, id_col))
+    return _first(df, n, _shuffle_keys(df, seed, id_col))
 
 
 def top_n(df: DataFrame, n: int, measure: str, id_col: str) -> DataFrame:
@@ -125,12 +128,9 @@ def exact_split(
     seed: int = fixed.SEED,
     names: tuple[str, str] = ("train", "validation"),
 ) -> DataFrame:
-    """Add `split`: exactly ceil(fraction * rows) rows, first in the seeded shuffle, are held out.
-
-    The id is cut as an integer, so it must be a long column (use `hash_key` of a text id).
-    """
+    """Add `split`: exactly ceil(fraction * rows) rows, first in the seeded shuffle, are held out."""
     held_out = math.ceil(df.count() * fraction)
-    predicate = before_cut(df, held_out, _shuffle_keys(seed, id_col))
+    predicate = before_cut(df, held_out, _shuffle_keys(df, seed, id_col))
     inside = F.lit(True) if predicate is None else predicate
     return df.withColumn("split", F.when(inside, F.lit(names[1])).otherwise(F.lit(names[0])))
 
