@@ -242,3 +242,24 @@ def test_hash_key_is_independent_of_partitioning(spark):
     base = spark.range(100).select("id", draws.hash_key(1, F.col("id")).alias("h"))
     again = spark.range(100).repartition(7).select("id", draws.hash_key(1, F.col("id")).alias("h"))
     assert sorted(map(tuple, base.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_external_counter_in_limits(spark):
+    """A Python token counter works below the filter; a NULL count keeps its row only without a limit."""
+    from textprep.functions.text import counter
+
+    df = spark.createDataFrame([(1, "a b"), (2, "a b c"), (3, None)], "id long, text string")
+    words = counter(lambda text: text.split())
+    assert rows(corpus.limit_tokens(df, "id", max_tokens=2, tok=words).select("id", "token_count")) == [(1, 2)]
+    assert rows(corpus.with_tokens(df, words).select("id", "token_count"), "id") == [(1, 2), (2, 3), (3, None)]
+    assert rows(corpus.with_tokens(df).select("id", "token_count"), "id") == [(1, 2), (2, 3), (3, None)]
+    top = corpus.limit_tokens(df, "id", max_tokens=9, max_chunks=1, tok=words)
+    assert rows(top.select("id")) == [(2,)]
+
+
+def test_corpus_versions(spark):
+    part = spark.createDataFrame([(i, "w " * i, "s") for i in range(1, 9)], "doc_id long, text string, source string")
+    small = corpus.build([part, part], "doc_id", max_chunks=2, max_tokens=5)
+    assert rows(small.select("doc_id", "token_count"), "doc_id") == [(4, 4), (4, 4), (5, 5), (5, 5)]
+    assert corpus.build([part], "doc_id", small=False).count() == 8
+    assert corpus.final_columns(small).columns == ["text", "source"]

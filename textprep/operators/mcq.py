@@ -18,8 +18,6 @@ from textprep.plans.barrier import computed_once
 from textprep.plans.sizing import broadcast_if_small
 from textprep.sources.adapters import union_by_name
 
-_LETTERS = "ABCDE"
-
 
 def _as_qa(df: DataFrame, question: Column, answer: Column, source: str, keep: tuple[str, ...]) -> DataFrame:
     return df.select(*keep, question.alias("question"), answer.alias("answer"), F.lit(source).alias("source"))
@@ -31,9 +29,7 @@ def _labelled(index: Column, text: Column) -> Column:
 
 def dot_letters(c: Column, prefix: str = "") -> Column:
     """`A)` -> `A.` for A..E, wherever it stands after `prefix`."""
-    for name in _LETTERS:
-        c = F.replace(c, F.lit(f"{prefix}{name})"), F.lit(f"{prefix}{name}."))
-    return c
+    return F.regexp_replace(c, rf"({prefix}[A-E])\)", "$1.")
 
 
 def repair_letters(question: Column, answer: Column) -> tuple[Column, Column]:

@@ -410,7 +410,6 @@ _MASK_STEPS = {
               CAST(prompt_length AS BIGINT) AS n_masked
        FROM cut""",
     steps=_MASK_STEPS,
-    spread=("conversations",),
 )
 def _(t):
     length = fixed.RAFT_MAX_LENGTH

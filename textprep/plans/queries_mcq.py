@@ -85,7 +85,6 @@ def _(t):
         FROM ordered""",
     views=("v_mcq_cols",),
     steps=_STEP_ORDER,
-    spread=("part",),
 )
 def _(t):
     return mcq.from_columns_first(t.v_mcq_cols, ["first", "second", "third", "fourth"], "row_id", keep=("row_id",))
@@ -109,13 +108,12 @@ def _indexed(t, compat):
     _index_check("(list_position(list_transform(ord, lambda s: s.p), cop) - 1)"),
     views=("v_mcq_cols",),
     steps=_STEP_ORDER,
-    spread=("part",),
 )
 def _(t):
     return _indexed(t, compat=False)
 
 
-@query("mcq_index_then_shuffle_compat", _index_check("cop"), views=("v_mcq_cols",), steps=_STEP_ORDER, spread=("part",))
+@query("mcq_index_then_shuffle_compat", _index_check("cop"), views=("v_mcq_cols",), steps=_STEP_ORDER)
 def _(t):
     return _indexed(t, compat=True)
 
@@ -153,7 +151,6 @@ _POLYMORPHIC = f"""SELECT row_id, question_body || {lettered('opts')} AS questio
     _POLYMORPHIC,
     views=("v_mixed",),
     steps=_polymorphic_steps("NOT list_contains(listed[2:], o)"),
-    spread=("part",),
 )
 def _(t):
     return mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",))
@@ -164,7 +161,6 @@ def _(t):
     _POLYMORPHIC,
     views=("v_mixed",),
     steps=_polymorphic_steps("NOT contains(listed[1], o)"),
-    spread=("part",),
 )
 def _(t):
     return mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",), compat=True)
@@ -325,7 +321,6 @@ def choose_sql(templates: dict[str, str], **more: str) -> str:
     f"""SELECT row_id, {choose_sql(fixed.EXPLAIN_PROMPTS)} AS explain, {choose_sql(fixed.EXACT_FORMAT_PROMPTS)} AS exact
         FROM v_distill""",
     views=("v_distill",),
-    spread=("part",),
 )
 def _(t):
     inputs = (F.col("prompt"), F.col("options"), F.col("answer"))
@@ -458,7 +453,7 @@ def _(t):
         ) AS u""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
-    spread=("part", "documents", "conversations"),
+    spread=("part",),
 )
 def _(t):
     """The supervised mix: repaired choice rows without one source, that source with rationale, open sets."""

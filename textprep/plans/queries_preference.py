@@ -64,7 +64,6 @@ def _(t):
     f"""SELECT row_id, prompt, {_think_sql('answer_a')} AS model_a, {_first_sql('answer_b')} AS model_b,
                {_last_sql('answer_c')} AS model_c FROM v_candidates""",
     views=_CANDIDATES,
-    spread=("part",),
 )
 def _(t):
     requests = t.v_distill.select("row_id", "prompt")
@@ -201,7 +200,6 @@ _DATASET_STEPS = {
         FROM merged""",
     views=_CANDIDATES,
     steps=_DATASET_STEPS,
-    spread=("part",),
 )
 def _(t):
     from textprep.operators.sampling import first_n

@@ -229,7 +229,6 @@ def _(t):
     """SELECT doc_id, question, answer FROM
        (SELECT doc_id, text AS question, CASE WHEN doc_id % 4 = 0 THEN '  ' || lang || '  ' ELSE source || ' by ' || lang END AS answer
         FROM documents) AS d WHERE length({}) > 10 AND length({}) > 10""".format(strip("question"), strip("answer")),
-    spread=("documents",),
 )
 def _(t):
     rows = t.documents.selectExpr(
@@ -255,7 +254,6 @@ def _(t):
          SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question,
                 max(CASE WHEN turn = 1 THEN text END) AS answer FROM conversations GROUP BY conv_id) AS c
        WHERE {} + {} < 128""".format(n_tokens("question"), n_tokens("answer")),
-    spread=("conversations",),
 )
 def _(t):
     rows = mcq.exchange_rows(t.conversations, exact_turns=None).drop("turns")
@@ -294,7 +292,6 @@ def _(t):
     """SELECT doc_id, CASE WHEN len(toks) <= 256 THEN text ELSE array_to_string(toks[1:256], ' ') END AS text,
               CAST(least(len(toks), 256) AS BIGINT) AS token_count
        FROM (SELECT doc_id, text, regexp_extract_all(text, {}) AS toks FROM documents) AS d""".format(TOKENS),
-    spread=("documents",),
 )
 def _(t):
     return t.documents.select("doc_id", truncate(F.col("text"), 256).alias("cut")).select("doc_id", "cut.*")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_roots: dict[str, str] = {}
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,10 +41,11 @@ def shared_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="textprep-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="textprep-")
+        spark.sparkContext.setCheckpointDir(_local_roots[application])
+    return _local_roots[application]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
