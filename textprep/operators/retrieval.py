@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -170,8 +171,14 @@ class Cells:
         return mask & np.isfinite(to_pivot)
 
 
-def assign_cells(corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query: x) -> DataFrame:
-    """Add each document's cell and its distance to the pivot (one narrow pass)."""
+def assign_cells(
+    corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query: x, with_vectors: bool = True
+) -> DataFrame:
+    """Each document's cell and its distance to the pivot, in one narrow pass.
+
+    Without vectors only (cell, reach) leave the Python worker.
+    """
+    kept = ["doc_id", "embedding"] if with_vectors else []
 
     def assign(batches):
         for batch in batches:
@@ -179,14 +186,14 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query
                 distance = _squared_l2(space(_matrix(batch.column("embedding")), False), pivots)
                 cell = distance.argmin(axis=1)
                 reach = np.sqrt(distance[np.arange(len(cell)), cell])
-                columns = [batch.column("doc_id"), batch.column("embedding")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(cell, pa.int32()), pa.array(reach)],
-                    ["doc_id", "embedding", "cell", "reach"],
-                )
+                columns = [*[batch.column(c) for c in kept], pa.array(cell, pa.int32()), pa.array(reach)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "cell", "reach"])
 
     slim = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<float>"))
-    return slim.mapInArrow(assign, "doc_id long, embedding array<float>, cell int, reach double")
+    result = "cell int, reach double"
+    if with_vectors:
+        result = f"doc_id long, embedding array<float>, {result}"
+    return slim.mapInArrow(assign, result)
 
 
 def _block_rows(vectors: DataFrame) -> int:
@@ -195,22 +202,24 @@ def _block_rows(vectors: DataFrame) -> int:
     return max(1, BLOCK_BYTES // (8 * max(1, row["width"] if row else 1)))
 
 
-def measure_cells(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Cells:
-    """Count, radius and k-th distance of each cell.
+def measure_cells(reaches: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Cells:
+    """Count, radius and k-th distance of each cell, from (cell, reach) rows.
 
     Spark prunes the ranking to k rows per cell and task before the shuffle, so a cell with most of
     the corpus costs no more than the others.
     """
+    reaches = reaches.select("cell", "reach").persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     order = F.row_number().over(W.partitionBy("cell").orderBy("reach"))
-    nearest = assigned.select("cell", "reach").withColumn("n", order).where(F.col("n") <= k)
+    nearest = reaches.withColumn("n", order).where(F.col("n") <= k)
     kth = nearest.groupBy("cell").agg(F.max("reach").alias("near"), F.max("n").alias("n"))
-    extent = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.max("reach").alias("radius"))
+    extent = reaches.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.max("reach").alias("radius"))
     size = len(pivots)
     counts, radius, near = np.zeros(size), np.zeros(size), np.full(size, np.inf)
     for row in extent.join(kth, "cell").collect():  # one row per pivot
         counts[row["cell"]], radius[row["cell"]] = row["count"], row["radius"]
         if row["n"] >= k:
             near[row["cell"]] = row["near"]
+    reaches.unpersist()
     return Cells(pivots, counts, radius, near, block_rows)
 
 
@@ -231,16 +240,15 @@ def _place_queries(queries: DataFrame, cells: Cells, chunks: int, space, visit)
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                vectors = space(_matrix(batch.column("embedding")), True)
-                row, cell = np.nonzero(visit(vectors))
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column("query_id"), taken.column("embedding"), pa.array(cell, pa.int32())],
-                    ["query_id", "embedding", "cell"],
-                )
+                row, cell = np.nonzero(visit(space(_matrix(batch.column("embedding")), True)))
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+                cells_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell, pa.int32()))
+                columns = [batch.column("query_id"), batch.column("embedding"), cells_of]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "embedding", "cells"])
 
     slim = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>"))
-    placed = slim.mapInArrow(place, "query_id long, embedding array<float>, cell int")
+    visits = slim.mapInArrow(place, "query_id long, embedding array<float>, cells array<int>")
+    placed = visits.select("query_id", "embedding", F.explode("cells").alias("cell"))
     last_block = F.get(F.array(*[F.lit(int(b) - 1) for b in cells.blocks()]), F.col("cell"))
     return placed.select(
         "query_id",
@@ -314,7 +322,8 @@ def knn(
     else:
         pivots = _pivots(corpus, n_pivots, how.space, seed)
         assigned = assign_cells(corpus, pivots, how.space)
-        cells = measure_cells(assigned, pivots, wanted, block_rows)
+        reaches = assign_cells(corpus, pivots, how.space, with_vectors=False)
+        cells = measure_cells(reaches, pivots, wanted, block_rows)
         visit = cells.reachable
     chunks = _chunks(queries, chunk_rows, int(cells.blocks().sum()))
     docs = _place_docs(assigned, cells, chunks)
