@@ -35,6 +35,7 @@ _TILE = 512  # queries multiplied at once,
 _TILE_SCORES = 16_000_000  # or fewer, when the block is long
 _MATCHES = 4_000_000  # shared words counted at once
 MAX_PIVOTS = 1024
+_CELLS_PER_BLOCK = 8  # finer cells prune better; a cell longer than a block is cut into blocks
 _SLACK = 1e-5  # absorbs rounding in the pruning bound
 ROUND = 6
 
@@ -309,7 +310,7 @@ def knn(
     chunk_rows = chunk_rows or block_rows
     n_docs, longest = _corpus_extent(corpus, need_length=metric not in ("l2", "cosine"))
     how = _metric(metric, longest)
-    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(n_docs / block_rows)))
+    n_pivots = min(MAX_PIVOTS, _CELLS_PER_BLOCK * math.ceil(n_docs / block_rows))
     wanted = k + 1 if exclude_self else k
     if n_docs <= block_rows:  # one block: nothing to prune
         cells = Cells(np.zeros((1, 1)), np.array([n_docs]), np.zeros(1), np.zeros(1), block_rows)

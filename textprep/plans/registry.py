@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textprep.fixed_values import UNICODE_WHITESPACE
 from textprep.plans.tables import Tables, check_ctes
 
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -33,6 +34,7 @@ def query(
     """
 
     def register(build: Callable[[Tables], DataFrame]):
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, folder: _plain(build(Tables(spark, folder, spread)))
         if sql is not None:
             ctes = {**check_ctes(views), **(steps or {})}

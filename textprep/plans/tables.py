@@ -133,6 +133,9 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str, spread: tuple[str, ...] = ()) -> None:
         self.spark, self._folder, self._spread = spark, folder, spread
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         """Resolved once per instance: later accesses find the attribute set."""
         if name.startswith("_"):
@@ -141,7 +144,7 @@ class Tables:
             inputs = {ref: getattr(self, ref) for ref in set(_references(name))}
             table = self.spark.sql(_dialect(VIEWS[name], _SPARK), **inputs)
         else:
-            table = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+            table = self._read(name)
             if name in self._spread:
                 table = spread_if_few(table, table.columns[0])
         setattr(self, name, table)
