@@ -88,15 +88,23 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)).isin(fixed.BLANK_WORDS), F.lit(True))
 
 
-def to_documents(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Retrieval documents: text plus a map of every other column as text."""
+def to_documents(df: DataFrame, id_col: str, text_col: str = "text", exported: bool = False) -> DataFrame:
+    """Retrieval documents: text plus a map of every other column as text; blank texts are dropped.
+
+    `exported` is for tables that went through a text export: texts are stripped, and the words an
+    exporter writes for a missing value count as blank.
+    """
+    if exported:
+        df = df.withColumn(text_col, strip(F.col(text_col))).where(~is_blank(F.col(text_col)))
+    else:
+        df = df.where(present(strip(F.col(text_col))))
     entries: list[Column] = []
     for name in df.columns:
         if name != text_col:
             entries += [F.lit(name), F.col(name).cast("string")]
     length = F.length(text_col).cast("string")
     metadata = F.create_map(*entries, F.lit("char_length"), length)
-    return df.where(~is_blank(F.col(text_col))).select(
+    return df.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         F.col("source"),

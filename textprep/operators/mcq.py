@@ -16,7 +16,7 @@ from textprep.functions.text import letter, lettered_lines, present, strip
 from textprep.operators.sampling import sample_n, shuffle_positions
 from textprep.plans.barrier import computed_once
 from textprep.plans.sizing import broadcast_if_small
-from textprep.sources.adapters import union_by_name
+from textprep.sources.adapters import drop_source, union_by_name
 
 
 def _as_qa(df: DataFrame, question: Column, answer: Column, source: str, keep: tuple[str, ...]) -> DataFrame:
@@ -207,6 +207,25 @@ def merge_splits(parts: dict[str, list[DataFrame]], templates: DataFrame, id_col
     return fill_templates(placed, templates, id_col, seed=seed)
 
 
+def sft_mix(
+    choice: DataFrame,
+    aqua: DataFrame,
+    open_sets: list[DataFrame],
+    id_col: str,
+    seed: int = fixed.SEED,
+    replaced: str = fixed.SOURCE_TAGS["aqua"],
+) -> DataFrame:
+    """The supervised mix, shuffled: open question/answer sets, repaired choice rows, one source explained.
+
+    `choice` loses the rows of source `replaced`, which come back from `aqua` with their rationale.
+    All parts carry `id_col`, unique over the whole mix.
+    """
+    question, answer = repair_letters(F.col("question"), F.col("answer"))
+    repaired = drop_source(choice, replaced).withColumns({"question": question, "answer": answer})
+    explained = with_rationale(aqua, replaced, keep=(id_col,))
+    return shuffle_positions(union_by_name([*open_sets, repaired, explained]), id_col, seed)
+
+
 def calibration(
     df: DataFrame, id_col: str, n: int = fixed.CALIBRATION_SAMPLES, seed: int = fixed.SEED
 ) -> DataFrame:

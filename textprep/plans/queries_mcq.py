@@ -439,7 +439,7 @@ def _(t):
 
 @query(
     "sft_table",
-    f"""SELECT row_id, question, answer, source FROM (
+    f"""SELECT row_id, question, answer, source, row_number() OVER (ORDER BY {hash_key(SEED, 'row_id')}, row_id) AS position FROM (
           SELECT 'mcq-' || row_id AS row_id, {_dotted('question', chr(10))} AS question, {_dotted('answer')} AS answer, source
           FROM every WHERE source IS DISTINCT FROM 'deepmind/aqua_rat'
           UNION ALL
@@ -447,6 +447,9 @@ def _(t):
                  'deepmind/aqua_rat' FROM v_mcq_list
           UNION ALL SELECT 'gsm-' || doc_id, text, lang, 'cais/gsm8k' FROM documents
           UNION ALL SELECT 'forum-' || doc_id, text, source, 'math-ai/StackMathQA' FROM documents
+          UNION ALL SELECT d.row_id, replace(template, '<question>', d.text), d.source, 'unsloth/OpenMathReasoning'
+                    FROM (SELECT 'reason-' || doc_id AS row_id, text, source FROM documents) AS d JOIN templates
+                      ON template_id = {word(SEED, 'd.row_id')} % (SELECT count(*) FROM templates)
           UNION ALL SELECT 'chat-' || conv_id, question, answer, 'allenai/tulu-3-sft-mixture' FROM (
               SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question, max(CASE WHEN turn = 1 THEN text END) AS answer
               FROM conversations GROUP BY conv_id) AS c
@@ -456,25 +459,21 @@ def _(t):
     spread=("part",),
 )
 def _(t):
-    """The supervised mix: repaired choice rows without one source, that source with rationale, open sets."""
-    parts = _mcq_parts(t)
-    choice = adapters.drop_source(
-        adapters.union_by_name([df for tables in parts.values() for df in tables]), fixed.SOURCE_TAGS["aqua"]
-    )
-    question, answer = mcq.repair_letters(F.col("question"), F.col("answer"))
     docs, tags = t.documents, fixed.SOURCE_TAGS
     gsm = docs.selectExpr("doc_id AS row_id", "text AS question", "lang AS answer")
     forum = docs.selectExpr("doc_id AS row_id", "text AS Q", "source AS A")
+    reasoning = docs.selectExpr("doc_id AS row_id", "text AS problem", "source AS generated_solution")
+    reasoning = _tagged(adapters.adapt(reasoning, adapters.MATH_REASONING, tags["math_reasoning"], ("row_id",)), "reason-")
     chats = mcq.exchange_rows(t.conversations, exact_turns=None).selectExpr("conv_id AS row_id", "question", "answer")
-    return adapters.union_by_name(
-        [
-            _tagged(choice.select("row_id", question.alias("question"), answer.alias("answer"), "source"), "mcq-"),
-            _tagged(mcq.with_rationale(t.v_mcq_list, keep=("row_id",)), "why-"),
-            _tagged(adapters.adapt(gsm, adapters.GSM8K, tags["gsm8k"], ("row_id",)), "gsm-"),
-            _tagged(adapters.adapt(forum, adapters.MATH_FORUM, tags["math_forum"], ("row_id",)), "forum-"),
-            _tagged(chats.withColumn("source", F.lit(tags["personas"])), "chat-"),
-        ]
-    )
+    choice = adapters.union_by_name([df for tables in _mcq_parts(t).values() for df in tables])
+    aqua = t.v_mcq_list.withColumn("row_id", F.concat(F.lit("why-"), F.col("row_id").cast("string")))
+    open_sets = [
+        _tagged(adapters.adapt(gsm, adapters.GSM8K, tags["gsm8k"], ("row_id",)), "gsm-"),
+        _tagged(adapters.adapt(forum, adapters.MATH_FORUM, tags["math_forum"], ("row_id",)), "forum-"),
+        mcq.fill_templates(reasoning, template_table(t), "row_id"),
+        _tagged(chats.withColumn("source", F.lit(tags["personas"])), "chat-"),
+    ]
+    return mcq.sft_mix(_tagged(choice, "mcq-"), aqua, open_sets, "row_id")
 
 
 @query(

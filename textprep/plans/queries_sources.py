@@ -167,7 +167,7 @@ def _(t):
     """SELECT doc_id, source, length(text) AS char_length, lang AS meta_lang,
               CAST(length(text) AS VARCHAR) AS meta_chars, CAST(doc_id AS VARCHAR) AS meta_id,
               CAST(5 AS BIGINT) AS entries
-       FROM documents WHERE lower({}) NOT IN ('', 'nan', 'null')""".format(strip("text")),
+       FROM documents WHERE {} <> ''""".format(strip("text")),
 )
 def _(t):
     docs = corpus.to_documents(t.documents, "doc_id")
@@ -182,6 +182,16 @@ def _(t):
     )
 
 
+@query(
+    "corpus_documents_exported",
+    """SELECT doc_id, {0} AS text, source, length({0}) AS char_length FROM v_blank
+       WHERE lower({0}) NOT IN ('', 'nan', 'null')""".format(strip("text")),
+    views=("v_blank",),
+)
+def _(t):
+    return corpus.to_documents(t.v_blank, "doc_id", exported=True).drop("metadata")
+
+
 # --- filters ------------------------------------------------------------------------------------------
 
 
