@@ -156,7 +156,9 @@ def _running(df: DataFrame, bucket: list[str], order: list, sums: dict[str, str]
     )
     inside = W.partitionBy(*bucket).orderBy(*order)
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = df.join(F.broadcast(offsets), bucket)
+    # One count: at most a few thousand rows, so broadcast.  A count per group: as many times that as
+    # there are groups, so Spark decides; the join then shares its shuffle with the window.
+    out = df.join(F.broadcast(offsets) if len(bucket) == 1 else offsets, bucket)
     columns = [(F.col("_rows_before") + F.row_number().over(inside)).alias("position")]
     for name, c in sums.items():
         columns.append((F.col(f"_before_{name}") + F.sum(c).over(so_far)).alias(name))
@@ -176,7 +178,7 @@ def shuffle_positions(df: DataFrame, id_col: str, seed: int = fixed.SEED, within
 
 
 def running_totals(df: DataFrame, id_col: str, sums: dict[str, str], buckets: int = 1024) -> DataFrame:
-    """Add `position` and running sums in id order; ranges come from approximate quantiles of the id.
+    """Add `position` and running sums in the order of a numeric id; ranges come from its approximate quantiles.
 
     Only `buckets` quantiles reach the driver, and any choice of them gives the same result.
     """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textprep import fixed_values as fixed
 from textprep.functions import draws, prompts
-from textprep.functions.text import token_count, token_ids
+from textprep.functions.text import token_ids
 from textprep.operators import corpus, mcq, raft, retrieval, sampling
 from textprep.plans.registry import hash_key, lit, n_tokens, query, render, strip, word, TOKENS
 from textprep.session import shared_path

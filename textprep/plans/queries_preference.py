@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textprep import fixed_values as fixed
-from textprep.functions import answers, draws
-from textprep.operators import mcq, preference
+from textprep.functions import answers
+from textprep.functions.text import token_count
+from textprep.operators import preference
+from textprep.operators.sampling import first_n
 from textprep.plans.queries_mcq import CHATS, choose_sql, nested_turns
 from textprep.plans.registry import hash_key, lit, n_tokens, query, strip, word, WS
 from textprep.sources import adapters
@@ -202,8 +204,6 @@ _DATASET_STEPS = {
     steps=_DATASET_STEPS,
 )
 def _(t):
-    from textprep.operators.sampling import first_n
-
     distilled = preference.pairs(t.v_candidates, "row_id", COLUMNS)
     code = first_n(t.documents, fixed.PAIR_SUBSET_ROWS["code_pairs"], "doc_id").selectExpr(
         "2 * doc_id + 1 AS pair_id", "lang AS input", "text AS accepted", "source AS rejected"
@@ -253,8 +253,6 @@ def _(t):
     spread=("documents",),
 )
 def _(t):
-    from textprep.functions.text import token_count
-
     requests = t.documents.select("doc_id", token_count(F.col("text")).cast("long").alias("n_tokens"))
     return preference.token_usage(requests, "doc_id")
 

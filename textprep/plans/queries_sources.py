@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from textprep import fixed_values as fixed
 from textprep.functions import prompts
-from textprep.functions.text import present, strip as strip_text, token_count, truncate
+from textprep.functions.text import strip as strip_text, token_count, truncate
 from textprep.operators import corpus, evaluate, mcq, preference, raft, sampling
 from textprep.plans.registry import lit, n_tokens, query, strip, TOKENS
 from textprep.schemas import MIXED_QUESTION
