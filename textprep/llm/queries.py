@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textprep.llm import near_dedup, passages
+from textprep.llm import byte_bpe, decontaminate, host_rules, language, near_dedup, passages, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -16,11 +17,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """A file of the public tokenizers: in the folder TOKENIZERS_DIR names, else where the package has it."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[run.__name__] = run
     return run
 
 
+@_query
+def op2_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return decontaminate.contamination(spark, documents, benchmark).drop("found")
+
+
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"))
@@ -30,3 +47,26 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.repeated_passages(_table(spark, folder, "documents"))
     return found.select("doc_id", "first_doc_id", "start_word", "n_words")
+
+
+@_query
+def op6_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return host_rules.rule_verdicts(_table(spark, folder, "documents"))
+
+
+@_query
+def op7_addressable_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.stored_documents(spark, _table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op9_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted_languages(spark, _table(spark, folder, "documents"))
+
+
+@_query
+def op10_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.token_digests(spark, _table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
