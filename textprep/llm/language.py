@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.llm.annotate import annotated, free_name
 from textprep.llm.batches import in_pieces, stream
+from textprep.llm.labelled import held_out
 
 GRAMS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -152,12 +153,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFr
     return annotated(docs, name, "lang_pred string, score double", work, PIECE_BYTES), name
 
 
-def held_out(parts: int, rest: int) -> Column:
-    """Whether crc32(doc_id as text) mod `parts` is `rest`; a row without doc_id counts as held out."""
-    place = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
-    return F.coalesce(place == rest, F.lit(True))
-
-
 def predicted_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from rows that are not held out."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")

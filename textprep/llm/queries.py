@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textprep.llm import byte_bpe, decontaminate, host_rules, language, near_dedup, passages, token_store
+from textprep.llm import byte_bpe, decontaminate, host_rules, language, near_dedup, passages, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -32,6 +32,11 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
+@_query
+def op1_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query
 def op2_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -59,6 +64,11 @@ def op7_addressable_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.stored_documents(spark, _table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+@_query
+def op8_convolution_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query
 def op9_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted_languages(spark, _table(spark, folder, "documents"))
