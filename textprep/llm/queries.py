@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textprep.llm import byte_bpe, decontaminate, host_rules, language, near_dedup, passages, quality, token_store, toxicity
+from textprep.llm import byte_bpe, decontaminate, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +27,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_vocabulary() -> tuple[str, str]:
+    """(file of ranks, pattern) of the byte-level tokenizer."""
+    import public_tokenizers
+
+    return _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[run.__name__] = run
     return run
@@ -54,6 +61,11 @@ def op4_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "first_doc_id", "start_word", "n_words")
 
 
+@_query
+def op5_boosted_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_texts(spark, _table(spark, folder, "pages"))
+
+
 @_query
 def op6_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return host_rules.rule_verdicts(_table(spark, folder, "documents"))
@@ -76,7 +88,4 @@ def op9_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op10_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    import public_tokenizers
-
-    vocabulary = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.token_digests(spark, _table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return byte_bpe.token_digests(spark, _table(spark, folder, "documents"), *byte_vocabulary())
