@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textprep.llm import near_dedup, passages
+from textprep.llm import byte_bpe, decontaminate, near_dedup, passages, quality
+from textprep.llm.queries import byte_vocabulary
 from textprep.session import shared_path
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be of low quality go; the model is fitted to the labelled documents of the folder."""
+    source, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return quality.drop_low_quality(spark, docs, source, labels)
+
+
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest id."""
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -18,12 +25,28 @@ def _suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return passages.drop_repeated_passages(docs)
 
 
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which at least one word in 20 stands in a window of the benchmark go."""
+    return decontaminate.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text, beside all columns of its document, with digests of the ids and of the bytes decoded from them."""
+    coded, name = byte_bpe.encoded(spark, docs, *byte_vocabulary())
+    wanted = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    taken = {c.lower() for c in docs.columns}
+    return coded.select(*docs.columns, *[f"{name}.{c}" for c in wanted if c not in taken])
+
+
 STAGES = [
+    ("neighbour_quality", _quality),
     ("minhash_near_dedup", _near_dedup),
     ("suffix_array_dedup", _suffix_dedup),
+    ("decontamination", _decontaminate),
+    ("byte_bpe", _byte_bpe),
 ]
 
-# Trained models, verified similarity and byte-pair encoding: not expressible in SQL, tested against plain Python.
+# A trained model, verified similarity and byte-pair encoding: not expressible in SQL, tested against plain Python.
 ORACLE_SQL = None
 
 
