@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textprep.llm.annotate import free_name
 from textprep.llm.batches import LOWER, SPACED_WORD, Words, in_pieces, mixed, signed, stream, windows
 from textprep.llm.tables import components, small_broadcast, written
 
@@ -124,7 +125,7 @@ def _table_rows(representatives: DataFrame) -> DataFrame:
     def half(first: int, source: DataFrame) -> DataFrame:
         return source.select(F.explode(F.slice("halves", first, HALF_KEYS)).alias("key"), "doc")
 
-    left = written(_live(half(1, representatives), "left-shared"), "left-live")
+    left = _live(half(1, representatives), "left-shared")
     left = left.groupBy("doc").agg(F.collect_list("key").alias("us"))  # at most a
     holders = written(left, "left-holders")
     right = _live(half(HALF_KEYS + 1, representatives.join(holders.select("doc"), "doc", "left_semi")), "right-shared")
@@ -134,25 +135,15 @@ def _table_rows(representatives: DataFrame) -> DataFrame:
     return written(_live(written(tables, "tables-all"), "tables-shared"), "tables")
 
 
-def _stars(tables: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of each table's leader with its other members; later turns only between components.
+def _stars(tables: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each table's leader with its other members: n - 1 of them for n documents.
 
-    A table of n documents gives n - 1 pairs. Turn 0 leads by the smallest id; later turns draw another leader for
-    each table, among tables that still hold more than one component.
+    Half of the tables are led by the smallest id, the others by the smallest hash, so that a pair that meets in a
+    hundred tables is compared itself or through documents that both resemble.
     """
-    if labels is None:
-        leaders = tables.groupBy("key").agg(F.min("doc").alias("leader"))
-        pairs = tables.join(leaders, "key").where("doc <> leader")
-    else:
-        labelled = tables.join(small_broadcast(labels), tables.doc == labels.node, "left").select(
-            "key", "doc", F.coalesce("component", "doc").alias("component")
-        )
-        drawn = F.min(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("draw"), "doc", "component"))
-        leaders = labelled.groupBy("key").agg(
-            drawn.alias("led"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        leaders = leaders.where("low <> high").select("key", F.col("led.doc").alias("leader"), F.col("led.component").alias("own"))
-        pairs = labelled.join(leaders, "key").where("component <> own")
+    order = F.when(F.col("key") % 2 == 0, F.col("doc")).otherwise(F.xxhash64("doc"))
+    leaders = tables.groupBy("key").agg(F.min(F.struct(order.alias("place"), "doc")).alias("led"))
+    pairs = tables.join(leaders.select("key", F.col("led.doc").alias("leader")), "key").where("doc <> leader")
     return pairs.select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
 
 
@@ -163,8 +154,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lower-cased words; a text of fewer words is one shingle, and a null, empty or blank text has none and is linked
     with nothing. Documents with 100 * intersection >= 75 * union are linked; component_id is the smallest doc_id
     that links reach. Equal sets are one class, whose smallest id stands for it in all further steps, so a third of
-    the rows may be copies. Rows that repeat a doc_id are one document with several texts. A row without doc_id keeps its
-    own set size, has no component and is kept. An empty table gives an empty result.
+    the rows may be copies. Rows that repeat a doc_id are judged each by its own text. A row without doc_id has its
+    set size, no component, and is kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, halves array<bigint>"
@@ -174,30 +165,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves")),
         "classes",
     )
-    tables = _table_rows(classes.select("doc", "halves"))
-    copies = named.join(classes.drop("halves"), ["set_1", "set_2", "n_shingles"]).where("doc_id <> doc")
-    same = written(copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")), "copies")
-
-    labels, links, tested, turn = None, None, None, 0
-    while True:
-        pairs = _stars(tables, labels, turn)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        verdicts = _verified(written(pairs, f"pairs-{turn}"), docs, f"turn-{turn}")
-        found = verdicts.where("linked").select("a", "b")
-        tested = verdicts if tested is None else tested.union(verdicts)
-        fresh = not found.isEmpty()
-        if fresh or turn == 0:
-            links = found if links is None else links.union(found)
-            labels = components(links, f"components-{turn}")
-        if not fresh:
-            break
-        turn += 1
-    # copies hang on their class, whose component is known by now; ids with several texts join what they hold
-    final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same), "components-all")
-    named_ids = signatures.join(final, signatures.doc_id == final.node, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    pairs = written(_stars(_table_rows(classes.select("doc", "halves"))), "pairs")
+    links = _verified(pairs, docs, "pairs").where("linked").select("a", "b")
+    found = classes.drop("halves").join(components(links, "components"), F.col("doc") == F.col("node"), "left")
+    found = written(
+        found.select("set_1", "set_2", "n_shingles", F.coalesce("component", "doc").alias("component_id")), "found"
     )
+    linked = signatures.join(found, ["set_1", "set_2", "n_shingles"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    named_ids = linked.select("doc_id", "n_shingles", own.alias("component_id"))
     return named_ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -207,12 +183,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id one stays.
     """
     verdicts = written(near_duplicates(docs), "verdicts")
-    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    rest = docs.join(small_broadcast(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
-    repeated = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = written(repeated.withColumnRenamed("doc_id", "repeated_id"), "repeated")
+    own = free_name(docs, "of_doc")
+    gone = written(verdicts.where("NOT kept").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    rest = docs.join(small_broadcast(gone), docs["doc_id"] == gone[own], "left_anti")
+    repeated = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias(own)), "repeated")
     if repeated.isEmpty():
         return rest
-    same = rest["doc_id"] == F.col("repeated_id")
+    same = rest["doc_id"] == repeated[own]
     once = rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
     return rest.join(repeated, same, "left_anti").unionByName(once)
