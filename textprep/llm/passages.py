@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
+from textprep.llm.annotate import free_name
 from textprep.llm.batches import SPACED_WORD, Words, in_pieces, signed, spans, windows
 from textprep.llm.tables import small_broadcast, written
 
@@ -84,12 +85,12 @@ def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the word ranges `cut_from`, `cut_to` (sorted, apart) out of each text."""
+    """Cut word ranges (sorted, apart) out of each text; the last two columns have their starts and ends."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for rows, data, offsets in in_pieces(batch, "text"):
             words = Words(data, offsets, SPACED_WORD)
-            starts, ends = rows.column("cut_from").to_pylist(), rows.column("cut_to").to_pylist()
+            starts, ends = rows.column(rows.num_columns - 2).to_pylist(), rows.column(rows.num_columns - 1).to_pylist()
             texts = []
             for i in range(rows.num_rows):
                 byte = np.append(words.start[words.offsets[i] : words.offsets[i + 1]], offsets[i + 1])
@@ -101,8 +102,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(b"".join(parts))
             columns = [*rows.columns]
             columns[at] = pa.array(texts, pa.binary()).cast(rows.schema.field(at).type)
-            names = [n for n in rows.schema.names if n not in ("cut_from", "cut_to")]
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+            yield pa.RecordBatch.from_arrays(columns[:-2], rows.schema.names[:-2])
 
 
 def _digest():
@@ -196,23 +196,23 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """
     passages = repeated_passages(docs)
     cuts = passages.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("x"))
+    of_id, of_digest, first, last = (free_name(docs, n) for n in ("of_doc", "of_digest", "cut_from", "cut_to"))
     cuts = written(
         cuts.select(
-            F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), F.col("x.start_word").alias("cut_from"),
-            F.expr("transform(x, y -> y.start_word + y.n_words)").alias("cut_to"),
+            F.col("doc_id").alias(of_id), F.col("digest").alias(of_digest), F.col("x.start_word").alias(first),
+            F.expr("transform(x, y -> y.start_word + y.n_words)").alias(last),
         ),
         "cuts",
     )
-    ids = written(cuts.select(F.col("cut_id").alias("some_id")).distinct(), "cut-ids")
-    known = docs["doc_id"] == F.col("some_id")
+    ids = written(cuts.select(of_id).distinct(), "cut-ids")
+    known = docs["doc_id"] == ids[of_id]
     names = docs.columns
     hit = docs.join(small_broadcast(ids), known, "left_semi")
     rest = docs.join(small_broadcast(ids), known, "left_anti")
-    matched = hit.join(cuts, (hit["doc_id"] == F.col("cut_id")) & (_digest() == F.col("cut_digest")), "left")
+    matched = hit.join(cuts, (hit["doc_id"] == cuts[of_id]) & (_digest() == cuts[of_digest]), "left")
+    none = F.expr("cast(array() as array<bigint>)")
     matched = matched.select(
-        *[hit[c] for c in names],
-        F.coalesce("cut_from", F.expr("cast(array() as array<bigint>)")).alias("cut_from"),
-        F.coalesce("cut_to", F.expr("cast(array() as array<bigint>)")).alias("cut_to"),
+        *[hit[c] for c in names], F.coalesce(cuts[first], none).alias(first), F.coalesce(cuts[last], none).alias(last)
     )
     done = matched.mapInArrow(_without, docs.schema)
     if "n_chars" in names:

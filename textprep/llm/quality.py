@@ -159,7 +159,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFram
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = sent.value
-        score = _WORKER[key].scores(data, offsets)
+        score = _WORKER[key].scores(data, offsets).round(6)  # the last bits depend on what else is in the batch
         return [score, (score >= THRESHOLD).astype(np.int32)]
 
     return annotated(docs, name, "score double, predicted int", work, PIECE_BYTES), name
