@@ -91,27 +91,21 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     hosts = measured.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed")
     )
-    totals = hosts.agg(F.sum("n").alias("all_n"), F.sum("failed").alias("all_failed"), F.count(F.lit(1)).alias("hosts"))
     rate = F.col("failed") / F.col("n")
-    mean = F.col("all_failed") / F.col("all_n")
-    both = hosts.join(F.broadcast(totals))  # one row
-    spread = both.agg(
-        F.sum(F.col("n") * (rate - mean) * (rate - mean)).alias("between"),
-        F.max(mean).alias("mean"),
-        F.max("all_n").alias("all_n"),
-        F.max("hosts").alias("hosts"),
-    )
-    m = F.col("mean")
-    explained = (F.col("hosts") - 1) * m * (1 - m)
-    variance = (F.col("between") - explained) / F.col("all_n")
-    strength = F.when(variance > 0, F.greatest(m * (1 - m) / variance - 1, F.lit(0.0)))
-    prior = spread.select(m.alias("prior_mean"), strength.alias("strength"))
-    shrunk = F.when(F.col("strength").isNull(), F.col("prior_mean")).otherwise(
-        (F.col("failed") + F.col("strength") * F.col("prior_mean")) / (F.col("n") + F.col("strength"))
-    )
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate")).withColumn(
-        "rejected", F.col("rate") > MAX_HOST_RATE
-    )
+    sums = hosts.agg(
+        F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.count(F.lit(1)).alias("hosts"),
+        F.sum(F.col("n") * rate * rate).alias("squares"),
+    ).first()
+    n = sums["n"] or 1
+    mean = (sums["failed"] or 0) / n
+    between = (sums["squares"] or 0.0) - n * mean * mean
+    variance = (between - (sums["hosts"] - 1) * mean * (1 - mean)) / n
+    if variance > 0:
+        strength = max(mean * (1 - mean) / variance - 1, 0.0)
+        shrunk = (F.col("failed") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))
+    else:
+        shrunk = F.lit(mean)
+    return hosts.select("host", "n", "failed", shrunk.alias("rate")).withColumn("rejected", F.col("rate") > MAX_HOST_RATE)
 
 
 def rule_verdicts(docs: DataFrame) -> DataFrame:
