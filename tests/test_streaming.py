@@ -31,3 +31,36 @@ def test_a_lost_checkpoint_rewrites_the_same_rows(spark):
     for _ in range(2):
         incremental.run(spark, arrivals, frame.schema, sink, shared_path(spark, "state"), "id")
     assert [i for i, _ in sink_rows(spark, sink)] == list(range(20))
+
+
+def test_a_lost_checkpoint_after_two_batches(spark):
+    arrivals, sink = shared_path(spark, "in"), shared_path(spark, "out")
+    schema = "id long, v string"
+    for rows in ([(1, "a")], [(2, "b")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arrivals)
+    frame = spark.createDataFrame([], schema)
+    for _ in range(3):
+        incremental.run(spark, arrivals, frame.schema, sink, shared_path(spark, "state"), "id", files_per_batch=1)
+    assert sink_rows(spark, sink) == [(1, "a"), (2, "b")]
+
+
+def test_a_second_source_into_the_same_sink(spark):
+    sink = shared_path(spark, "out")
+    for rows in ([(1, "a"), (3, "x")], [(2, "b"), (3, "y")]):
+        arrivals = shared_path(spark, "in")
+        frame = spark.createDataFrame(rows, "id long, v string")
+        frame.write.parquet(arrivals)
+        incremental.run(spark, arrivals, frame.schema, sink, shared_path(spark, "state"), "id")
+    assert sink_rows(spark, sink) == [(1, "a"), (2, "b"), (3, "x")]
+
+
+def test_a_repeated_batch_writes_the_same_row(spark):
+    """Of several rows with one key the same one stays, whatever the order they come in."""
+    found = set()
+    for parts in (1, 3, 5):
+        arrivals, sink, state = (shared_path(spark, n) for n in ("in", "out", "state"))
+        frame = spark.createDataFrame([(1, c) for c in "abcdefgh"], "id long, v string").repartition(parts)
+        frame.write.parquet(arrivals)
+        incremental.run(spark, arrivals, frame.schema, sink, state, "id")
+        found |= set(sink_rows(spark, sink))
+    assert len(found) == 1
