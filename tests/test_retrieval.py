@@ -71,7 +71,7 @@ def test_empty_corpus(spark):
 
 def test_pruning_skips_far_cells(spark, data):
     queries, corpus = tables(spark, *data)
-    pivots = retrieval._pivots(corpus, 10, lambda x, is_query: x, 0)
+    pivots = retrieval._pivots(corpus, 10, corpus.count(), lambda x, is_query: x, 0)
     cells = retrieval.measure_cells(retrieval.assign_cells(corpus, pivots), pivots, 4, 32)
     assert cells.counts.sum() == 300
     visited = cells.reachable(data[1])
@@ -164,3 +164,59 @@ def test_external_encoder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
     encoded = retrieval.encode(df, "id", "text", lambda texts: [[len(t), 1.0] for t in texts])
     assert sorted((r["id"], r["embedding"]) for r in encoded.collect()) == [(1, [2.0, 1.0]), (2, [0.0, 1.0])]
+
+
+ODD = np.array([[0, 0, 0], [1, 0, 0], [0, 0, 0], [0, 2, 0], [1, 0, 0], [-1, 0.5, 0], [0, 0, 3], [2, 2, 2]] * 6, dtype=float)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_blocks_do_not_change_the_answer(spark, metric, exclude_self):
+    """Zero, equal and missing vectors: one block against many cells."""
+    ids = list(range(len(ODD)))
+    queries, corpus = tables(spark, ids, ODD, ids, ODD)
+    missing = spark.createDataFrame([(1000, None)], "id long, embedding array<float>")
+    queries = queries.union(missing.select("id", F.col("embedding").cast(queries.schema["embedding"].dataType)))
+    corpus = corpus.union(missing.select("id", F.col("embedding").cast(corpus.schema["embedding"].dataType)))
+    found = [
+        sorted(map(tuple, retrieval.knn(queries, corpus, 4, metric, exclude_self, block_rows=rows).collect()))
+        for rows in (None, 5, 1)
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4 * len(ids)
+
+
+def test_vectors_of_different_widths_are_an_error(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "doc_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="2 has 1"):
+        retrieval.knn(queries, corpus, 1)
+    with pytest.raises(ValueError, match="components"):
+        retrieval.knn(queries, corpus.where("doc_id = 2"), 1)
+
+
+def test_a_block_is_sent_only_where_a_query_needs_it(spark, data):
+    """Documents to shuffle: those of visited cells, once for each chunk of queries of their own cell."""
+    queries, corpus = tables(spark, *data)
+    visits = spark.createDataFrame([(i, [1.0], [0] if i < 9 else [0, 2]) for i in range(10)], "query_id long, embedding array<float>, cells array<int>")
+    chunks = retrieval._chunks_of_cells(visits, {0: 100, 1: 100, 2: 100}, 4)
+    assert chunks == {0: 3, 2: 1}
+    docs = spark.createDataFrame([(i, [1.0], i % 3) for i in range(30)], "doc_id long, embedding array<float>, cell int")
+    placed, asked = retrieval._place(docs, visits, {0: 1, 1: 1, 2: 2}, chunks, "embedding")
+    assert placed.count() == 3 * 10 + 10 and asked.count() == 10 + 2
+
+
+def test_only_probed_cells_are_read(spark, data):
+    queries, corpus = tables(spark, *data)
+    path = shared_path(spark, "index")
+    retrieval.build_index(corpus, path, cells=8)
+    one = queries.limit(1)
+    plan = retrieval.search_index(spark, one, path, 3, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
+
+
+def test_an_unfinished_index_is_built_anew(spark, data):
+    queries, corpus = tables(spark, *data)
+    path = shared_path(spark, "index")
+    retrieval.assign_cells(corpus, np.zeros((1, 8))).write.partitionBy("cell").parquet(f"{path}/vectors")  # and then a crash
+    assert retrieval.load_or_build(spark, path, lambda: retrieval.build_index(corpus, path, cells=4)).count() == 300
+    assert retrieval.search_index(spark, queries, path, 3).count() == 3 * queries.count()

@@ -13,7 +13,7 @@ from textprep.operators import sampling
 @pytest.fixture
 def narrow_always(monkeypatch):
     """Force the histogram path on small data."""
-    monkeypatch.setattr(sampling, "_TAKE_ORDERED_ROWS", 3)
+    monkeypatch.setattr(sampling, "_DIRECT_ROWS", 3)
     monkeypatch.setattr(sampling, "_BINS", 4)
 
 
@@ -48,11 +48,11 @@ def test_cut_of_a_hot_value(spark, narrow_always):
 def test_both_paths_agree(spark, monkeypatch):
     df = spark.range(500).withColumn("m", F.col("id") % 9)
     ordered = {r["id"] for r in sampling.top_n(df, 123, "m", "id").collect()}
-    monkeypatch.setattr(sampling, "_TAKE_ORDERED_ROWS", 5)
+    monkeypatch.setattr(sampling, "_DIRECT_ROWS", 5)
     monkeypatch.setattr(sampling, "_BINS", 8)
     assert {r["id"] for r in sampling.top_n(df, 123, "m", "id").collect()} == ordered
     sample = {r["id"] for r in sampling.sample_n(df, 77, "id").collect()}
-    monkeypatch.setattr(sampling, "_TAKE_ORDERED_ROWS", 10_000)
+    monkeypatch.setattr(sampling, "_DIRECT_ROWS", 10_000)
     assert {r["id"] for r in sampling.sample_n(df, 77, "id").collect()} == sample
 
 
@@ -105,7 +105,7 @@ def test_top_n_per_group_with_a_hot_group(spark, salts):
 
 
 def test_first_n_of_large_n_is_a_filter(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "_TAKE_ORDERED_ROWS", 10)
+    monkeypatch.setattr(sampling, "_DIRECT_ROWS", 10)
     df = spark.range(1000).withColumn("payload", F.lit("x"))
     plan = sampling.first_n(df, 100, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
@@ -123,3 +123,22 @@ def test_first_n_does_not_sort_the_payload(spark):
     kept = sampling.first_n(df, 10, "id").selectExpr("payload || 'y'")
     text = kept._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in text and "Exchange" not in text and kept.count() == 10
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "id long, n long")
+    assert sampling.running_totals(empty, "id", {"used": "n"}).count() == 0
+    assert sampling.shuffle_positions(empty, "id").count() == 0
+    assert sampling.first_n(empty, 3, "id").count() == 0 and sampling.exact_split(empty, "id").count() == 0
+    one = spark.createDataFrame([(7, 2)], "id long, n long")
+    assert [tuple(r) for r in sampling.running_totals(one, "id", {"used": "n"}).collect()] == [(7, 2, 1, 2)]
+
+
+def test_no_task_sorts_the_first_rows_of_all_others(spark, monkeypatch):
+    """Only the rows in question are ordered directly, however small n is."""
+    seen = []
+    plain = sampling._nth
+    monkeypatch.setattr(sampling, "_DIRECT_ROWS", 50)
+    monkeypatch.setattr(sampling, "_nth", lambda df, n: (seen.append(df.count()), plain(df, n))[1])
+    assert sampling.first_n(spark.range(20_000), 3, "id").count() == 3
+    assert seen and max(seen) <= 50

@@ -58,11 +58,11 @@ def build(
     parts: list[DataFrame],
     id_col: str,
     small: bool = True,
-    max_chunks: int = fixed.MAX_CHUNKS_PER_DATASET,
+    max_chunks: int | None = None,
     max_tokens: int = fixed.MAX_CHUNK_TOKENS,
     tok: Counter = token_count,
 ) -> DataFrame:
-    """Union of the parts; the small version limits each part, the full one only counts tokens."""
+    """Union of the parts; the small version drops long texts (and keeps the longest `max_chunks` of each part, if given), the full one only counts tokens."""
     if small:
         limited = [limit_tokens(p, id_col, max_tokens, max_chunks, tok=tok) for p in parts]
     else:

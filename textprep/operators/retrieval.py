@@ -34,7 +34,7 @@ SET_ROWS = 16_384  # token sets per block
 _TILE = 512  # queries multiplied at once,
 _TILE_SCORES = 16_000_000  # or fewer, when the block is long
 _MATCHES = 4_000_000  # shared words counted at once
-MAX_PIVOTS = 1024
+PIVOT_BYTES = 32 * 1024 * 1024  # vectors that the driver draws as pivots
 _CELLS_PER_BLOCK = 8  # finer cells prune better; a cell longer than a block is cut into blocks
 _SLACK = 1e-5  # absorbs rounding in the pruning bound
 ROUND = 6
@@ -130,14 +130,6 @@ def _keep_best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _chunks(queries: DataFrame, chunk_rows: int, blocks: int) -> int:
-    """Query chunks: bounded by `chunk_rows`, and more of them while blocks are too few to fill the cores."""
-    n_queries = queries.count()
-    idle = math.ceil(queries.sparkSession.sparkContext.defaultParallelism / max(1, blocks))
-    spread = min(idle, math.ceil(n_queries / _TILE))
-    return max(1, math.ceil(n_queries / chunk_rows), spread)
-
-
 def _join_blocks(docs: DataFrame, queries: DataFrame, search) -> DataFrame:
     keys = ["cell", "block", "chunk"]
     return docs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, _CANDIDATE)
@@ -145,10 +137,13 @@ def _join_blocks(docs: DataFrame, queries: DataFrame, search) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots and the extent of their cells: a few hundred rows, whatever the corpus size."""
+    """Pivots and the extent of their cells: bounded by PIVOT_BYTES, whatever the corpus size.
+
+    The last cell has no pivot: it holds vectors without a direction, which every query must see.
+    """
 
     pivots: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # one more entry than pivots
     radius: np.ndarray  # largest distance of a member from its pivot
     near: np.ndarray  # distance of the k-th nearest member, inf when there are fewer
     block_rows: int
@@ -159,12 +154,14 @@ class Cells:
     def reachable(self, query_vectors: np.ndarray) -> np.ndarray:
         """Which cells may hold one of the k nearest members of each query."""
         to_pivot = np.sqrt(_squared_l2(query_vectors, self.pivots))
+        to_pivot = np.hstack([to_pivot, np.zeros((len(to_pivot), 1))])
         bound = (to_pivot + self.near[None, :]).min(axis=1)
         occupied = self.counts[None, :] > 0
         return occupied & (to_pivot - self.radius[None, :] <= bound[:, None] + _SLACK)
 
     def nearest(self, query_vectors: np.ndarray, probes: int) -> np.ndarray:
         to_pivot = _squared_l2(query_vectors, self.pivots)
+        to_pivot = np.hstack([to_pivot, np.zeros((len(to_pivot), 1))])
         to_pivot[:, self.counts == 0] = np.inf
         mask = np.zeros(to_pivot.shape, dtype=bool)
         closest = np.argsort(to_pivot, axis=1, kind="stable")[:, :probes]
@@ -173,20 +170,28 @@ class Cells:
 
 
 def assign_cells(
-    corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query: x, with_vectors: bool = True
+    corpus: DataFrame,
+    pivots: np.ndarray,
+    space=lambda x, is_query: x,
+    with_vectors: bool = True,
+    zeros_apart: bool = False,
 ) -> DataFrame:
     """Each document's cell and its distance to the pivot, in one narrow pass.
 
-    Without vectors only (cell, reach) leave the Python worker.
+    Without vectors only (cell, reach) leave the Python worker.  With `zeros_apart`, zero vectors
+    fall into the cell after the last pivot.
     """
     kept = ["doc_id", "embedding"] if with_vectors else []
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                distance = _squared_l2(space(_matrix(batch.column("embedding")), False), pivots)
+                vectors = _matrix(batch.column("embedding"))
+                distance = _squared_l2(space(vectors, False), pivots)
                 cell = distance.argmin(axis=1)
                 reach = np.sqrt(distance[np.arange(len(cell)), cell])
+                if zeros_apart:
+                    cell[~vectors.any(axis=1)] = len(pivots)
                 columns = [*[batch.column(c) for c in kept], pa.array(cell, pa.int32()), pa.array(reach)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "cell", "reach"])
 
@@ -197,12 +202,6 @@ def assign_cells(
     return slim.mapInArrow(assign, result)
 
 
-def _block_rows(vectors: DataFrame) -> int:
-    """How many vectors of this width fill one block."""
-    row = vectors.select(F.size("embedding").alias("width")).first()
-    return max(1, BLOCK_BYTES // (8 * max(1, row["width"] if row else 1)))
-
-
 def measure_cells(reaches: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Cells:
     """Count, radius and k-th distance of each cell, from (cell, reach) rows.
 
@@ -214,29 +213,19 @@ def measure_cells(reaches: DataFrame, pivots: np.ndarray, k: int, block_rows: in
     nearest = reaches.withColumn("n", order).where(F.col("n") <= k)
     kth = nearest.groupBy("cell").agg(F.max("reach").alias("near"), F.max("n").alias("n"))
     extent = reaches.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.max("reach").alias("radius"))
-    size = len(pivots)
+    size = len(pivots) + 1
     counts, radius, near = np.zeros(size), np.zeros(size), np.full(size, np.inf)
     for row in extent.join(kth, "cell").collect():  # one row per pivot
         counts[row["cell"]], radius[row["cell"]] = row["count"], row["radius"]
         if row["n"] >= k:
             near[row["cell"]] = row["near"]
+    radius[-1], near[-1] = np.inf, np.inf  # never left out, and no bound for the others
     reaches.unpersist()
     return Cells(pivots, counts, radius, near, block_rows)
 
 
-def _place_docs(assigned: DataFrame, cells: Cells, chunks: int) -> DataFrame:
-    blocks = F.get(F.array(*[F.lit(int(b)) for b in cells.blocks()]), F.col("cell"))
-    return assigned.select(
-        "doc_id",
-        "embedding",
-        "cell",
-        F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-    )
-
-
-def _place_queries(queries: DataFrame, cells: Cells, chunks: int, space, visit) -> DataFrame:
-    """One row per (query, cell to visit, block of that cell)."""
+def _visits(queries: DataFrame, space, visit) -> DataFrame:
+    """Each query with the cells that it must visit."""
 
     def place(batches):
         for batch in batches:
@@ -248,16 +237,48 @@ def _place_queries(queries: DataFrame, cells: Cells, chunks: int, space, visit)
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "embedding", "cells"])
 
     slim = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>"))
-    visits = slim.mapInArrow(place, "query_id long, embedding array<float>, cells array<int>")
-    placed = visits.select("query_id", "embedding", F.explode("cells").alias("cell"))
-    last_block = F.get(F.array(*[F.lit(int(b) - 1) for b in cells.blocks()]), F.col("cell"))
-    return placed.select(
+    return slim.mapInArrow(place, "query_id long, embedding array<float>, cells array<int>")
+
+
+def _chunks_of_cells(visits: DataFrame, blocks: dict[int, int], chunk_rows: int) -> dict[int, int]:
+    """How many chunks the queries of each visited cell fall into, by the visits it gets.
+
+    A block is sent once for each chunk of its own cell: once, unless more than `chunk_rows` queries
+    reach it or there are too few blocks to fill the cores.
+    """
+    rows = visits.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()  # one per cell
+    visited = {row["cell"]: row["count"] for row in rows}
+    cores = visits.sparkSession.sparkContext.defaultParallelism
+    idle = math.ceil(cores / max(1, sum(blocks[c] for c in visited)))
+    return {c: max(math.ceil(n / chunk_rows), min(idle, math.ceil(n / _TILE))) for c, n in visited.items()}
+
+
+def _by_cell(values: dict[int, int]) -> Column:
+    table = [0] * (max(values, default=0) + 1)
+    for cell, value in values.items():
+        table[cell] = value
+    return F.coalesce(F.get(F.array(*[F.lit(int(v)) for v in table]), F.col("cell")), F.lit(0))
+
+
+def _place(docs: DataFrame, visits: DataFrame, blocks: dict[int, int], chunks: dict[int, int], payload: str):
+    """Documents and queries keyed by (cell, block, chunk); only keys that some query holds get documents."""
+    block_count, chunk_count = _by_cell({c: blocks[c] for c in chunks}), _by_cell(chunks)
+    placed_docs = docs.where(F.col("cell").isin(list(chunks))).select(
+        "doc_id",
+        payload,
+        "cell",
+        F.pmod(F.xxhash64("doc_id"), block_count).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), chunk_count - 1)).alias("chunk"),
+    )
+    exploded = visits.select("query_id", payload, F.explode("cells").alias("cell"))
+    placed_queries = exploded.select(
         "query_id",
-        "embedding",
+        payload,
         "cell",
-        F.explode(F.sequence(F.lit(0), last_block)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"),
+        F.pmod(F.xxhash64("query_id"), chunk_count).cast("int").alias("chunk"),
     )
+    return placed_docs, placed_queries
 
 
 def _search_vectors(score, k: int, exclude_self: bool):
@@ -284,10 +305,39 @@ def _finish(candidates: DataFrame, k: int, descending: bool) -> DataFrame:
     return best.select("query_id", "rank", "doc_id", score.alias("score"))
 
 
-def _pivots(corpus: DataFrame, n: int, space, seed: int) -> np.ndarray:
-    """`n` documents drawn by hash; any choice gives the same result, only the pruning differs."""
-    rows = corpus.orderBy(draws.hash_key(seed, F.col("doc_id")), "doc_id").limit(n).select("embedding").collect()
-    return space(np.array([row["embedding"] for row in rows], dtype=np.float64), False)
+def _pivots(corpus: DataFrame, n: int, n_docs: int, space, seed: int) -> np.ndarray:
+    """About `n` documents drawn by hash; any choice gives the same result, only the pruning differs."""
+    slim = corpus.select("doc_id", "embedding")
+    limit = int(min(1.0, n / n_docs) * 2**draws.HASH_BITS)
+    rows = slim.where(draws.hash_key(seed, F.col("doc_id")) < limit).limit(4 * n).collect() or slim.limit(1).collect()
+    vectors = np.array([row["embedding"] for row in rows], dtype=np.float64)
+    directed = vectors[vectors.any(axis=1)]
+    return space(directed if len(directed) else vectors[:1], False)
+
+
+def _extent(vectors: DataFrame, id_col: str, need_length: bool = False) -> tuple[int, int, float]:
+    """(rows, components, length of the longest); vectors of different widths are an error."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    width = F.size("embedding")
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(width).alias("low"),
+        F.max(width).alias("high"),
+        F.min_by(F.col(id_col), width).alias("odd"),
+        *([F.max(square).alias("square")] if need_length else []),
+    ).first()
+    if row["low"] != row["high"]:
+        raise ValueError(f"the vector of {id_col} {row['odd']} has {row['low']} components, others have {row['high']}")
+    longest = math.sqrt(row["square"] or 0.0) * (1 + 1e-9) if need_length else 0.0
+    return row["n"], row["high"] or 1, longest
+
+
+def _undirected(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Candidates of zero queries: every cosine is 0, so the smallest ids are the nearest."""
+    first = corpus.select(F.col("doc_id").cast("long")).orderBy("doc_id").limit(k + 1).collect()  # k + 1 rows
+    ids = F.array(*[F.lit(row["doc_id"]) for row in first]).cast("array<long>")
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(ids).alias("doc_id"), F.lit(0.0).alias("score"))
+    return rows.where(F.col("query_id") != F.col("doc_id")) if exclude_self else rows
 
 
 def knn(
@@ -304,65 +354,81 @@ def knn(
 
     `queries` is (query_id, embedding), `corpus` (doc_id, embedding).  The score is the squared
     distance for l2 and the similarity otherwise, rounded before ranking so that ties are stable.
+    Rows without a vector neither ask nor answer.  A zero vector has the cosine 0 with all others.
     Blocks and chunks are sized by bytes unless their rows are given.
     """
-    block_rows = block_rows or _block_rows(corpus)
+    queries, corpus = (df.where(F.col("embedding").isNotNull()) for df in (queries, corpus))
+    n_docs, width, longest = _extent(corpus, "doc_id", metric not in ("l2", "cosine"))
+    n_queries, query_width, _ = _extent(queries, "query_id")
+    if n_docs and n_queries and width != query_width:
+        raise ValueError(f"queries have {query_width} components, documents {width}")
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * width))
     chunk_rows = chunk_rows or block_rows
-    n_docs, longest = _corpus_extent(corpus, need_length=metric not in ("l2", "cosine"))
     how = _metric(metric, longest)
-    n_pivots = min(MAX_PIVOTS, _CELLS_PER_BLOCK * math.ceil(n_docs / block_rows))
+    n_pivots = max(1, min(PIVOT_BYTES // (8 * width), _CELLS_PER_BLOCK * math.ceil(n_docs / block_rows)))
     wanted = k + 1 if exclude_self else k
+    extra = None
     if n_docs <= block_rows:  # one block: nothing to prune
-        cells = Cells(np.zeros((1, 1)), np.array([n_docs]), np.zeros(1), np.zeros(1), block_rows)
         slim = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<float>"))
-        assigned = slim.withColumn("cell", F.lit(0))
+        assigned, blocks = slim.withColumn("cell", F.lit(0)), {0: 1}
 
         def visit(vectors):
             return np.ones((len(vectors), 1), dtype=bool)
 
     else:
-        pivots = _pivots(corpus, n_pivots, how.space, seed)
-        assigned = assign_cells(corpus, pivots, how.space)
-        reaches = assign_cells(corpus, pivots, how.space, with_vectors=False)
+        zeros_apart = metric == "cosine"
+        pivots = _pivots(corpus, n_pivots, n_docs, how.space, seed)
+        assigned = assign_cells(corpus, pivots, how.space, zeros_apart=zeros_apart)
+        reaches = assign_cells(corpus, pivots, how.space, with_vectors=False, zeros_apart=zeros_apart)
         cells = measure_cells(reaches, pivots, wanted, block_rows)
-        visit = cells.reachable
-    chunks = _chunks(queries, chunk_rows, int(cells.blocks().sum()))
-    docs = _place_docs(assigned, cells, chunks)
-    placed = _place_queries(queries, cells, chunks, how.space, visit)
+        visit, blocks = cells.reachable, dict(enumerate(cells.blocks().tolist()))
+        if zeros_apart:
+            directed = F.exists("embedding", lambda x: x != 0)
+            extra = _undirected(queries.where(~directed), corpus, k, exclude_self)
+            queries = queries.where(directed)
+    visits = _visits(queries, how.space, visit)
+    chunks = _chunks_of_cells(visits, blocks, chunk_rows)
+    docs, placed = _place(assigned, visits, blocks, chunks, "embedding")
     candidates = _join_blocks(docs, placed, _search_vectors(how.score, k, exclude_self))
-    return _finish(candidates, k, how.descending)
-
-
-def _corpus_extent(corpus: DataFrame, need_length: bool) -> tuple[int, float]:
-    if not need_length:
-        return corpus.count(), 0.0
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("square")).first()
-    return row["n"], math.sqrt(row["square"] or 0.0) * (1 + 1e-9)
+    return _finish(candidates if extra is None else candidates.unionByName(extra), k, how.descending)
 
 
 # --- persisted centroid partitions ------------------------------------------------------------------
 
 
 def build_index(corpus: DataFrame, path: str, cells: int, seed: int = 0, iterations: int = 5) -> None:
-    """Write the corpus partitioned by its nearest k-means centroid, and the centroids beside it."""
+    """Write the corpus partitioned by its nearest k-means centroid, and the centroids with their extents beside it.
+
+    The centroids are written last, so a path without them is not an index and is built anew.  Files
+    are packed by cell: Spark rebalances the shuffle, splitting large cells and joining small ones.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = corpus.sparkSession
+    corpus = corpus.where(F.col("embedding").isNotNull())
     featured = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(featured)
     centers = np.array([center for center in model.clusterCenters()])
-    assign_cells(corpus, centers).write.partitionBy("cell").parquet(f"{path}/vectors")
-    rows = [(i, [float(v) for v in center]) for i, center in enumerate(centers)]
-    spark.createDataFrame(rows, "cell int, center array<double>").write.parquet(f"{path}/centroids")
+    packed = assign_cells(corpus, centers).hint("rebalance", "cell")
+    packed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    reaches = spark.read.parquet(f"{path}/vectors").select("cell", "reach")
+    extent = {r["cell"]: r for r in reaches.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).collect()}
+    rows = [
+        (i, [float(v) for v in center], extent[i]["n"] if i in extent else 0, extent[i]["radius"] if i in extent else 0.0)
+        for i, center in enumerate(centers)
+    ]
+    table = spark.createDataFrame(rows, "cell int, center array<double>, n long, radius double")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
 def load_or_build(spark, path: str, build: Callable[[], None]) -> DataFrame:
-    """Vectors of an index, built first when the path holds none."""
+    """Vectors of an index, built first when the path holds no centroids; any other failure is raised."""
     try:
-        spark.read.parquet(f"{path}/centroids")
-    except AnalysisException:  # the centroids are written last
+        spark.read.parquet(f"{path}/centroids").count()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         build()
     return spark.read.parquet(f"{path}/vectors")
 
@@ -380,23 +446,28 @@ def search_index(
     """k nearest documents by squared distance over a written index.
 
     Exact without `probes`: a cell is skipped only when it cannot hold a neighbour.  With `probes`,
-    approximate: just that many nearest cells are searched.
+    approximate: just that many nearest cells are searched.  Only visited cells are read.
     """
+    queries = queries.where(F.col("embedding").isNotNull())
     assigned = spark.read.parquet(f"{path}/vectors")
-    block_rows = block_rows or _block_rows(assigned)
-    chunk_rows = chunk_rows or block_rows
     centers = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     pivots = np.array([row["center"] for row in centers], dtype=np.float64)
-    cells = measure_cells(assigned, pivots, k + 1 if exclude_self else k, block_rows)
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * max(1, pivots.shape[1])))
+    chunk_rows = chunk_rows or block_rows
+    if probes is None:
+        cells = measure_cells(assigned, pivots, k + 1 if exclude_self else k, block_rows)
+    else:  # the extents written with the index will do
+        counts, radius = np.array([[row["n"], row["radius"]] for row in centers] + [[0, np.inf]]).T
+        cells = Cells(pivots, counts, radius, np.full(len(counts), np.inf), block_rows)
 
     def visit(vectors: np.ndarray) -> np.ndarray:
         return cells.reachable(vectors) if probes is None else cells.nearest(vectors, probes)
 
-    chunks = _chunks(queries, chunk_rows, int(cells.blocks().sum()))
-    placed = _place_queries(queries, cells, chunks, lambda x, is_query: x, visit)
-    found = _join_blocks(
-        _place_docs(assigned, cells, chunks), placed, _search_vectors(_squared_l2, k, exclude_self)
-    )
+    visits = _visits(queries, lambda x, is_query: x, visit)
+    blocks = dict(enumerate(cells.blocks().tolist()))
+    chunks = _chunks_of_cells(visits, blocks, chunk_rows)
+    docs, placed = _place(assigned, visits, blocks, chunks, "embedding")
+    found = _join_blocks(docs, placed, _search_vectors(_squared_l2, k, exclude_self))
     return _finish(found, k, False)
 
 
@@ -492,29 +563,16 @@ def knn_jaccard(
         return max(1, math.ceil(row["rows"] / block_rows), math.ceil((row["tokens"] or 0) / block_tokens))
 
     blocks = {row["cell"]: pieces(row) for row in sizes} or {0: 1}
-    chunks = max(pieces(wanted.agg(*amount).first()), _chunks(wanted, block_rows, sum(blocks.values())))
-    block_count = F.create_map(*[F.lit(v) for item in sorted(blocks.items()) for v in item])
-    placed_docs = docs.select(
-        "doc_id",
-        "words",
-        "cell",
-        F.pmod(F.xxhash64("doc_id"), block_count[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-    )
+    asked = wanted.agg(*amount).first()
+    chunk_rows = max(1, min(block_rows, asked["rows"] // pieces(asked)))
 
-    def visiting(rows: DataFrame, cells: Column) -> DataFrame:
-        listed = rows.select("query_id", "words", F.explode(cells).alias("cell"))
-        return listed.select(
-            "query_id",
-            "words",
-            "cell",
-            F.explode(F.sequence(F.lit(0), block_count[F.col("cell")] - 1)).alias("block"),
-            F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        )
+    def search(visits: DataFrame) -> DataFrame:
+        chunks = _chunks_of_cells(visits, blocks, chunk_rows)
+        return _join_blocks(*_place(docs, visits, blocks, chunks, "words"), _search_sets(k))
 
     classes = F.array(*[F.lit(c) for c in sorted(blocks)])
     home = F.filter(classes, lambda c: c == F.col("home"))
-    first = _keep_best(_join_blocks(placed_docs, visiting(wanted, home), _search_sets(k)), k)
+    first = _keep_best(search(wanted.withColumn("cells", home)), k)
     shared_root(queries.sparkSession)
     first = first.checkpoint()  # k rows per query, read twice below
     reached = first.groupBy("query_id").agg(
@@ -531,7 +589,7 @@ def knn_jaccard(
         return F.when(c > F.col("home"), size / low).otherwise(high / size)
 
     rest = F.filter(classes, lambda c: (c != F.col("home")) & (possible(c) >= F.col("floor") - _SLACK))
-    second = _join_blocks(placed_docs, visiting(bounded, rest), _search_sets(k))
+    second = search(bounded.withColumn("cells", rest))
     return _finish(first.select("query_id", "doc_id", "score").unionByName(second), k, True)
 
 

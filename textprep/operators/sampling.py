@@ -18,7 +18,8 @@ from textprep.functions.text import Counter, token_count
 from textprep.plans.barrier import computed_once
 
 _BINS = 4096
-_TAKE_ORDERED_ROWS = 10_000
+_DIRECT_ROWS = 10_000
+_ROWS_PER_RANGE = 1_000_000
 _MAX_SALTS = 256
 
 
@@ -28,7 +29,7 @@ def _extent(df: DataFrame, key: str) -> tuple[int, int, int]:
 
 
 def _nth(df: DataFrame, n: int) -> tuple[int, list[int]]:
-    """(rows seen, values of the last of the first n rows); n is small, so Spark keeps n rows per task."""
+    """(rows seen, values of the last of the first n rows); the whole input is at most `_DIRECT_ROWS`."""
     first = df.orderBy(*df.columns).limit(n)
     row = first.agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(*df.columns)).alias("last")).first()
     return row["rows"], list(row["last"] or [])
@@ -37,7 +38,8 @@ def _nth(df: DataFrame, n: int) -> tuple[int, list[int]]:
 def _narrow(slim: DataFrame, n: int) -> list[int] | None:
     """Key by key, a pass counts at most `_BINS` bins on the executors and keeps the bin of row n.
 
-    As soon as few rows are in question they are ordered directly.
+    Once at most `_DIRECT_ROWS` rows are in question they are ordered directly, so no task ever gets
+    the first rows of all the others.
     """
     names, cut, rest = slim.columns, [], slim
     rows, low, high = _extent(rest, names[0])
@@ -46,7 +48,7 @@ def _narrow(slim: DataFrame, n: int) -> list[int] | None:
     for place, name in enumerate(names):
         if place > 0:
             rows, low, high = _extent(rest, name)
-        while low < high and min(rows, n) > _TAKE_ORDERED_ROWS:
+        while low < high and rows > _DIRECT_ROWS:
             width = math.ceil((high - low + 1) / _BINS)
             offset = F.col(name) - F.lit(low)
             bins = (
@@ -61,7 +63,7 @@ def _narrow(slim: DataFrame, n: int) -> list[int] | None:
                     break
                 n -= count
         rest = rest.where(F.col(name).between(low, high))
-        if min(rows, n) <= _TAKE_ORDERED_ROWS:
+        if rows <= _DIRECT_ROWS:
             return cut + _nth(rest.select(*names[place:]), n)[1]
         cut.append(low)
     return cut
@@ -77,15 +79,11 @@ def before_cut(df: DataFrame, n: int, keys: dict[str, Column]) -> Column | None:
     if n <= 0:
         return F.lit(False)
     slim = df.select(*[c.cast("long").alias(name) for name, c in keys.items()])
-    if n <= _TAKE_ORDERED_ROWS:
-        rows, cut = _nth(slim, n)
-        cut = cut if rows == n else None
-    else:
-        slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            cut = _narrow(slim, n)
-        finally:
-            slim.unpersist()
+    slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cut = _narrow(slim, n)
+    finally:
+        slim.unpersist()
     if cut is None:
         return None
     predicate = F.lit(True)
@@ -94,6 +92,22 @@ def before_cut(df: DataFrame, n: int, keys: dict[str, Column]) -> Column | None:
     return predicate
 
 
+def text_keys(df: DataFrame, column: str, descending: bool = False) -> dict[str, Column]:
+    """Integer keys that order like the bytes of a short text column (names, codes): seven bytes each.
+
+    There are as many as the longest value needs, so that no part of a value is left out.  NULL and
+    "" are one value, the first; values must not hold NUL characters.
+    """
+    longest = df.agg(F.max(F.octet_length(column))).first()[0] or 1
+    data = F.coalesce(F.col(column), F.lit("")).cast("binary")
+    keys = {}
+    for n in range(math.ceil(longest / 7)):
+        digits = F.rpad(F.hex(F.substring(data, 1 + 7 * n, 7)), 14, "0")
+        value = F.conv(digits, 16, 10).cast("long")
+        keys[f"{column}_{n}"] = -value if descending else value
+    return keys
+
+
 def _first(df: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
     predicate = before_cut(df, n, keys)
     return df if predicate is None else df.where(predicate)
@@ -168,24 +182,31 @@ def _running(df: DataFrame, bucket: list[str], order: list, sums: dict[str, str]
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = fixed.SEED, within: str | None = None) -> DataFrame:
     """Add `position`, the place of each row in the seeded shuffle (of its `within` group, e.g. the split).
 
-    Buckets are the leading bits of the hash, hence even whatever the ids look like.
+    Buckets are the leading bits of the hash, hence even whatever the ids look like; there are more of
+    them for more rows.
     """
-    bits = draws.HASH_BITS - int(math.log2(_BINS))
+    ranges = max(_BINS, math.ceil(df.count() / _ROWS_PER_RANGE))
+    bits = draws.HASH_BITS - math.ceil(math.log2(ranges))
     keyed = df.withColumn("_hash", draws.hash_key(seed, F.col(id_col)))
     keyed = keyed.withColumn("_bucket", F.shiftright("_hash", bits))
     groups = [] if within is None else [within]
     return _running(keyed, [*groups, "_bucket"], ["_hash", id_col], {}).drop("_hash")
 
 
-def running_totals(df: DataFrame, id_col: str, sums: dict[str, str], buckets: int = 1024) -> DataFrame:
+def running_totals(df: DataFrame, id_col: str, sums: dict[str, str], buckets: int | None = None) -> DataFrame:
     """Add `position` and running sums in the order of a numeric id; ranges come from its approximate quantiles.
 
-    Only `buckets` quantiles reach the driver, and any choice of them gives the same result.
+    Only `buckets` quantiles (1,024, or one for a million rows if that is more) reach the driver, and
+    any choice of them gives the same result.
     """
+    buckets = buckets or max(1024, math.ceil(df.count() / _ROWS_PER_RANGE))
     points = df.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     splits = [-math.inf, *sorted(set(points)), math.inf]
-    keyed = df.withColumn("_id", F.col(id_col).cast("double"))
-    keyed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(keyed).drop("_id")
+    if len(splits) > 2:
+        keyed = df.withColumn("_id", F.col(id_col).cast("double"))
+        keyed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(keyed).drop("_id")
+    else:  # no rows, or one id: one range
+        keyed = df.withColumn("_bucket", F.lit(0.0))
     return _running(keyed, ["_bucket"], [id_col], sums)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from textprep import fixed_values as fixed
@@ -9,7 +11,7 @@ from textprep.functions import draws, prompts
 from textprep.functions.text import token_ids
 from textprep.operators import corpus, mcq, raft, retrieval, sampling
 from textprep.plans.registry import hash_key, lit, n_tokens, query, render, strip, word, TOKENS
-from textprep.session import shared_path
+from textprep.session import shared_root
 
 SEED = fixed.SEED
 
@@ -50,15 +52,14 @@ def _(t):
 )
 def _(t):
     """Top two fifths by a key with very few values: whole priorities tie, the id decides."""
-    rows = t.orders.select("o_orderkey", "o_orderpriority").withColumn("level", F.ascii("o_orderpriority") * 256 + F.ascii(F.substring("o_orderpriority", 3, 1)))
-    keep = sampling.before_cut(rows, rows.count() * 2 // 5, {"level": -F.col("level"), "id": F.col("o_orderkey")})
-    return rows.where(keep).drop("level")
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    keys = sampling.text_keys(rows, "o_orderpriority", descending=True)
+    return rows.where(sampling.before_cut(rows, rows.count() * 2 // 5, {**keys, "id": F.col("o_orderkey")}))
 
 
 @query(
     "top_n_tokens",
     f"SELECT doc_id, {n_tokens('text')} AS token_count FROM documents ORDER BY token_count DESC, doc_id LIMIT 100",
-    spread=("documents",),
 )
 def _(t):
     counted = corpus.with_tokens(t.documents).select("doc_id", "token_count")
@@ -71,7 +72,6 @@ def _(t):
           SELECT doc_id, source, {n_tokens('text')} AS token_count,
                  row_number() OVER (PARTITION BY source ORDER BY {n_tokens('text')} DESC, doc_id) AS rk
           FROM documents WHERE {n_tokens('text')} <= 512) AS d WHERE rk <= 5""",
-    spread=("documents",),
 )
 def _(t):
     limited = corpus.limit_tokens(t.documents, "doc_id", max_chunks=5, by="source")
@@ -110,9 +110,12 @@ def _(t):
     return _qa(t)
 
 
-def _small(name: str, rows: str) -> str:
+def _small(name: str, rows: str, cut: str = "") -> str:
     return f"""SELECT * FROM (SELECT *, {n_tokens('text')} AS token_count FROM ({rows}) AS {name}_rows
-               WHERE {n_tokens('text')} <= 512 ORDER BY {n_tokens('text')} DESC, doc_id LIMIT 400) AS {name}"""
+               WHERE {n_tokens('text')} <= 512 {cut}) AS {name}"""
+
+
+_CUT = f"ORDER BY {n_tokens('text')} DESC, doc_id LIMIT 400"
 
 
 _CORPUS_VIEWS = ("v_wiki", "v_mcq_list")
@@ -120,15 +123,21 @@ _CORPUS_STEPS = {"corpus": f"{_small('wiki', _WIKI)} UNION ALL {_small('qa', _QA
 
 
 def _corpus(t):
+    return corpus.build([_wiki(t), _qa(t)], "doc_id")
+
+
+@query("corpus_budgeted", f"{_small('wiki', _WIKI, _CUT)} UNION ALL {_small('qa', _QA, _CUT)}", views=_CORPUS_VIEWS)
+def _(t):
+    """The budget of rows per part is this query's own feature."""
     return corpus.build([_wiki(t), _qa(t)], "doc_id", max_chunks=400)
 
 
-@query("corpus_union", "SELECT * FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS, spread=("documents",))
+@query("corpus_union", "SELECT * FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS)
 def _(t):
     return _corpus(t)
 
 
-@query("corpus_final", "SELECT text, source FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS, spread=("documents",))
+@query("corpus_final", "SELECT text, source FROM corpus", views=_CORPUS_VIEWS, steps=_CORPUS_STEPS)
 def _(t):
     return corpus.final_columns(_corpus(t))
 
@@ -137,7 +146,6 @@ def _(t):
     "corpus_full",
     f"SELECT doc_id, text, source, {n_tokens('text')} AS token_count FROM ({_WIKI} UNION ALL {_QA}) AS c",
     views=_CORPUS_VIEWS,
-    spread=("documents",),
 )
 def _(t):
     return corpus.build([_wiki(t), _qa(t)], "doc_id", small=False)
@@ -147,14 +155,13 @@ def _(t):
     "token_stats",
     f"""SELECT count(*) AS n, round(avg(token_count), 6) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens
         FROM (SELECT {n_tokens('text')} AS token_count FROM documents) AS d""",
-    spread=("documents",),
 )
 def _(t):
     stats = corpus.token_stats(corpus.with_tokens(t.documents.select("text")))
     return stats.withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
-@query("lexical_vectors", spread=("documents",))
+@query("lexical_vectors")
 def _(t):
     """No SQL form of the token hash; compared with a plain computation in the tests."""
     rows = retrieval.lexical_vectors(t.documents, "doc_id")
@@ -223,19 +230,62 @@ def _(t):
         "asked": f"SELECT item_id AS id, list_distinct(regexp_extract_all(text, {TOKENS})) AS words FROM benchmark",
         "docs": f"SELECT doc_id AS id, list_distinct(regexp_extract_all(text, {TOKENS})) AS words FROM documents",
     },
-    spread=("documents",),
 )
 def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return retrieval.knn_jaccard(asked, t.documents.select("doc_id", "text"), k=fixed.SERVE_K)
 
 
+def _index(t, docs) -> str:
+    """One index for each folder and application, built by whichever query comes first."""
+    mark = hashlib.md5(f"{t.spark.sparkContext.applicationId} {t._folder}".encode()).hexdigest()
+    path = f"{shared_root(t.spark)}/textprep/vector-index-{mark}"
+    retrieval.load_or_build(t.spark, path, lambda: retrieval.build_index(docs, path, cells=16))
+    return path
+
+
+# Vectors with zero, NULL and equal ones among them; both searches below must agree with the plain product.
+_ODD = {
+    "odd": f"""SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT)
+                      WHEN vec_id % 11 = 0 THEN first_one ELSE embedding END AS embedding
+               FROM embeddings, (SELECT embedding AS first_one FROM embeddings ORDER BY vec_id LIMIT 1) AS f"""
+}
+
+
+def _odd(t):
+    [first] = t.embeddings.agg(F.min_by("embedding", "vec_id")).first()  # one vector
+    first = F.array(*[F.lit(float(x)).cast("float") for x in first])
+    zero = F.transform("embedding", lambda x: F.lit(0).cast("float"))
+    odd = F.when(F.col("vec_id") % 9 == 0, None).when(F.col("vec_id") % 7 == 0, zero).when(F.col("vec_id") % 11 == 0, first)
+    rows = t.embeddings.select("vec_id", odd.otherwise(F.col("embedding")).alias("embedding"))
+    return rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "doc_id")
+
+
+def _odd_sql(score: str, descending: bool) -> str:
+    sql = _hits_sql(score, 5, descending, "q.embedding IS NOT NULL AND d.embedding IS NOT NULL")
+    return sql.replace("FROM embeddings AS q, embeddings AS d", "FROM odd AS q, odd AS d")
+
+
+@query("knn_l2_odd", _odd_sql(_L2, False), steps=_ODD)
+def _(t):
+    return retrieval.knn(*_odd(t), k=5, block_rows=64, chunk_rows=100)
+
+
+@query("knn_cosine_odd", _odd_sql(f"coalesce(nullif({_COS}, 'nan'::DOUBLE), 0)", True), steps=_ODD)
+def _(t):
+    return retrieval.knn(*_odd(t), k=5, metric="cosine", block_rows=64, chunk_rows=100)
+
+
+@query("knn_dot_odd", _odd_sql(_DOT, True), steps=_ODD)
+def _(t):
+    return retrieval.knn(*_odd(t), k=5, metric="dot", block_rows=64, chunk_rows=100)
+
+
 @query("knn_ivf_recall")
 def _(t):
     """Approximate by design; the tests hold it to a recall bound and to equality with all cells probed."""
     queries, docs = _vectors(t)
-    path = shared_path(t.spark, "vector-index")
-    retrieval.load_or_build(t.spark, path, lambda: retrieval.build_index(docs, path, cells=16))
+    path = _index(t, docs)
     found = retrieval.search_index(t.spark, queries, path, k=fixed.RETRIEVE_K, probes=8)
     measured = retrieval.recall(found, retrieval.knn(queries, docs, k=fixed.RETRIEVE_K))
     return measured.withColumn("recall", F.round("recall", 6))
@@ -245,9 +295,7 @@ def _(t):
 def _(t):
     """The exact search over a written index."""
     queries, docs = _vectors(t)
-    path = shared_path(t.spark, "vector-index")
-    retrieval.load_or_build(t.spark, path, lambda: retrieval.build_index(docs, path, cells=16))
-    return retrieval.search_index(t.spark, queries, path, k=fixed.RETRIEVE_K)
+    return retrieval.search_index(t.spark, queries, _index(t, docs), k=fixed.RETRIEVE_K)
 
 
 _HITS5 = {"hits": _hits_sql(_L2, 5, False)}
@@ -265,10 +313,8 @@ def _results(t):
     steps=_HITS5,
 )
 def _(t):
-    rows = retrieval.result_lists(_results(t)).select("query_id", F.explode("results").alias("hit"))
-    return rows.select(
-        "query_id", "hit.rank", F.round("hit.similarity", 6).alias("similarity"), "hit.doc_id", "hit.text", "hit.source"
-    )
+    similarity = F.round(retrieval.similarity(F.col("score")), 6).alias("similarity")
+    return _results(t).select("query_id", "rank", similarity, "doc_id", "text", "source")
 
 
 _LISTS = {
@@ -388,7 +434,8 @@ _PROMPT_STEPS = {
 def _(t):
     rows = raft_samples(t, exclude_self=True)
     kept = rows.where(raft.valid(F.col("question"), F.col("chain_of_thought_answer")))
-    return kept.select("query_id", _raft_prompt(t, answer=False).alias("prompt"), _raft_prompt(t).alias("text"))
+    built = kept.select("query_id", _raft_prompt(t, answer=False).alias("prompt"), "chain_of_thought_answer")
+    return built.select("query_id", "prompt", raft.completed(F.col("prompt"), F.col("chain_of_thought_answer")).alias("text"))
 
 
 _ID = "CAST(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 32000 AS BIGINT)"
