@@ -88,6 +88,29 @@ def test_templates_are_filled_literally(spark):
     assert rows(mcq.fill_templates(df, templates, "id").select("question")) == [("$1 \\ <b>|$1 \\ <b>",)]
 
 
+def test_templates_with_other_ids(spark):
+    """Gaps, and ids that two files share: every row gets exactly one template."""
+    df = spark.range(60).selectExpr("id", "'q' AS question")
+    for ids in ([10, 11], [0, 1, 0, 1], [5]):
+        items = [(i, f"{n} <question>") for n, i in enumerate(ids)]
+        filled = mcq.fill_templates(df, spark.createDataFrame(items, "template_id int, template string"), "id")
+        assert filled.count() == 60 and filled.select("question").distinct().count() == len(ids)
+
+
+def test_advantage_of_rows_without_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 2.0)], "g int, reward double")
+    assert evaluate.group_advantage(df, "g").count() == 3
+
+
+def test_text_keys_order_like_bytes(spark):
+    values = ["", "a", "ab", "abcdefg", "abcdefgh", "abcdefghz", "abcdefgi", "é", "b", "zz top zz top zz"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    keys = sampling.text_keys(df, "v")
+    assert len(keys) == 3
+    got = [r["v"] for r in df.orderBy(*keys.values()).collect()]
+    assert got == sorted(values, key=lambda v: v.encode())
+
+
 def test_filters_at_their_limits(spark):
     df = spark.createDataFrame([(1, "a b", "c"), (2, "a b", "c d")], "id long, question string, answer string")
     assert [r["id"] for r in sampling.within_pair_budget(df, "question", "answer", 4).collect()] == [1]
@@ -222,13 +245,15 @@ def test_group_advantage_of_a_constant_group(spark):
 
 
 def test_merge_splits_shuffles_each_split(spark):
-    def part(prefix, n):
+    def part(prefix, n, split):
         return spark.range(n).select(
-            F.concat(F.lit(prefix), "id").alias("row_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("s").alias("source")
+            F.concat(F.lit(prefix), "id").alias("row_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("s").alias("source"),
+            F.lit(split).alias("split"),
         )
 
     templates = spark.createDataFrame([(0, "T <question>")], "template_id int, template string")
-    merged = mcq.merge_splits({"train": [part("a", 30), part("b", 20)], "test": [part("c", 10)]}, templates, "row_id")
+    rows_ = part("a", 30, "train").union(part("b", 20, "train")).union(part("c", 10, "test"))
+    merged = mcq.merge_splits(rows_, templates, "row_id")
     places = {}
     for r in merged.collect():
         assert r["question"] == "T q"

@@ -88,9 +88,9 @@ def group_advantage(df: DataFrame, group: str, reward: str = "reward") -> DataFr
     """
     stats = df.groupBy(group).agg(F.avg(reward).alias("group_mean"), F.stddev_samp(reward).alias("group_std"))
     spread = F.coalesce(F.col("group_std"), F.lit(0.0)) + F.lit(1e-4)
-    return df.join(stats, group).withColumn(
-        "advantage", (F.col(reward) - F.col("group_mean")) / spread
-    )
+    stats = stats.withColumnRenamed(group, "_group")
+    joined = df.join(stats, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")  # rows without a group are one
+    return joined.withColumn("advantage", (F.col(reward) - F.col("group_mean")) / spread)
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:

@@ -7,13 +7,13 @@ output some users need to reproduce; the default does what was evidently meant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textprep import fixed_values as fixed
 from textprep.functions import draws
 from textprep.functions.prompts import eval_query
 from textprep.functions.text import letter, lettered_lines, present, strip
-from textprep.operators.sampling import sample_n, shuffle_positions
+from textprep.operators.sampling import shuffle_positions
 from textprep.plans.barrier import computed_once
 from textprep.plans.sizing import broadcast_if_small
 from textprep.sources.adapters import drop_source, union_by_name
@@ -189,22 +189,32 @@ def in_subjects(df: DataFrame, subjects: list[str] = fixed.STEM_SUBJECTS, unfilt
 def fill_templates(
     df: DataFrame, templates: DataFrame, id_col: str, column: str = "question", seed: int = fixed.SEED
 ) -> DataFrame:
-    """Put each text into a template drawn by row id; `<question>` is replaced literally."""
-    dimension, n = broadcast_if_small(templates.select("template_id", "template"))
+    """Put each text into a template drawn by row id; `<question>` is replaced literally.
+
+    Ids must be 0 to n-1; others (several files, gaps) are numbered anew in the order of id and text.
+    """
+    templates = templates.select("template_id", "template")
+    ids = templates.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("template_id").alias("different"), F.max("template_id").alias("last"), F.min("template_id").alias("first")
+    ).first()
+    if ids["n"] and not (ids["n"] == ids["different"] == ids["last"] + 1 and ids["first"] == 0):
+        place = F.row_number().over(W.orderBy("template_id", "template")) - 1  # one small dimension
+        templates = templates.select(place.alias("template_id"), "template")
+    dimension, n = broadcast_if_small(templates)
+    if not n:
+        raise ValueError("no templates")
     drawn = df.withColumn("template_id", draws.pick(seed, n, F.col(id_col)).cast("int"))
     filled = F.replace("template", F.lit("<question>"), F.col(column))
     joined = drawn.join(dimension, "template_id")
     return joined.withColumn(column, filled).drop("template", "template_id")
 
 
-def merge_splits(parts: dict[str, list[DataFrame]], templates: DataFrame, id_col: str, seed: int = fixed.SEED) -> DataFrame:
-    """All sources of each split, shuffled within the split and put into templates.
+def merge_splits(rows: DataFrame, templates: DataFrame, id_col: str, seed: int = fixed.SEED) -> DataFrame:
+    """All sources with their `split`, shuffled within the split and put into templates.
 
     `position` is the place in the shuffle of the split; rows are not physically sorted.
     """
-    splits = [union_by_name(tables).withColumn("split", F.lit(name)) for name, tables in parts.items()]
-    placed = shuffle_positions(union_by_name(splits), id_col, seed, within="split")
-    return fill_templates(placed, templates, id_col, seed=seed)
+    return fill_templates(shuffle_positions(rows, id_col, seed, within="split"), templates, id_col, seed=seed)
 
 
 def sft_mix(
@@ -226,12 +236,9 @@ def sft_mix(
     return shuffle_positions(union_by_name([*open_sets, repaired, explained]), id_col, seed)
 
 
-def calibration(
-    df: DataFrame, id_col: str, n: int = fixed.CALIBRATION_SAMPLES, seed: int = fixed.SEED
-) -> DataFrame:
-    """`n` sampled prompts with the gold letter; a record may be wrapped in a struct `train`."""
+def calibration(df: DataFrame, id_col: str) -> DataFrame:
+    """Prompts with the gold letter; a record may be wrapped in a struct `train`.  Sampling is `sample_n`."""
     record = "train." if "train" in df.columns else ""
-    sampled = sample_n(df, n, id_col, seed)
     options = F.slice(F.col(f"{record}choices"), 1, 4)
     lines = F.array_join(
         F.transform(options, lambda o, i: F.concat(letter(i), F.lit(". "), o, F.lit("\n"))), ""
@@ -240,7 +247,7 @@ def calibration(
         F.lit(fixed.EVAL_PREAMBLE), F.col(f"{record}question"), F.lit("\n"), lines, F.lit("Answer: "),
         letter(F.col(f"{record}answer")),
     )
-    return sampled.select(id_col, text.alias("text"))
+    return df.select(id_col, text.alias("text"))
 
 
 def choice_lines(question: Column) -> Column:

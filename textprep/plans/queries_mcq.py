@@ -261,13 +261,23 @@ def _(t):
     f"""SELECT row_id, {lit(fixed.EVAL_PREAMBLE)} || question || chr(10) ||
            array_to_string(list_transform(choices[1:4], lambda o, i: chr(CAST(64 + i AS INT)) || '. ' || o || chr(10)), '')
            || 'Answer: ' || chr(65 + answer) AS text
-        FROM v_mcq_idx ORDER BY {hash_key(SEED, 'row_id')}, row_id LIMIT 512""",
+        FROM v_mcq_idx""",
     views=("v_mcq_idx",),
 )
 def _(t):
     return mcq.calibration(t.v_mcq_idx, "row_id")
 
 
+@query(
+    "calibration_sample",
+    f"SELECT row_id, question FROM v_mcq_idx ORDER BY {hash_key(SEED, 'row_id')}, row_id LIMIT 512",
+    views=("v_mcq_idx",),
+)
+def _(t):
+    rows = t.v_mcq_idx.select("row_id", "question")
+    return sampling.sample_n(rows, fixed.CALIBRATION_SAMPLES, "row_id")
+
+
 @query(
     "template_fill",
     f"""SELECT q.row_id, replace(template, '<question>', q.question) AS question
@@ -371,8 +381,7 @@ def _(t):
        FROM conversations GROUP BY conv_id""",
 )
 def _(t):
-    pair = mcq.first_exchange(F.col("context"))
-    return nested_turns(t).select("conv_id", pair.alias("pair")).select("conv_id", "pair.*")
+    return mcq.exchange_rows(t.conversations, exact_turns=None).drop("turns")
 
 
 # --- whole tables ---------------------------------------------------------------------------------------------
@@ -382,35 +391,63 @@ def _tagged(df, prefix):
     return df.select(F.concat(F.lit(prefix), F.col("row_id").cast("string")).alias("row_id"), "question", "answer", "source")
 
 
-def _mcq_parts(t):
-    indexed = t.v_mcq_idx
-    validation = [
-        _tagged(mcq.from_prelettered(t.v_mcq_list, keep=("row_id",)), "aqua-"),
-        _tagged(_labelled(t, compat=False), "arc-"),
-    ]
-    train = [
-        _tagged(_indexed(t, compat=False), "med-"),
-        _tagged(mcq.from_columns_first(t.v_mcq_cols, ["first", "second", "third", "fourth"], "row_id", keep=("row_id",)), "sciq-"),
-        _tagged(mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",)), "mixed-"),
-    ]
-    test = [_tagged(mcq.from_index(indexed, keep=("row_id",)), "mmlu-")]
-    return {"train": train, "validation": validation, "test": test}
+_SPLIT = "CASE row_id % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END"
+
+
+def _mcq_rows(t):
+    """All sources with the split of each row.
+
+    The easy and the professional exam have no training rows, one source has no test rows, one nothing but training
+    rows; the subject filter holds for the exam's validation and test rows, not for its auxiliary training rows.
+    """
+    keep, tags, index = ("row_id", "split"), fixed.SOURCE_TAGS, t.v_mcq_idx
+
+    def tagged(df, prefix):
+        return df.select(F.concat(F.lit(prefix), F.col("row_id").cast("string")).alias("row_id"), "question", "answer", "source", "split")
+
+    listed, columns, labelled = (v.withColumn("split", F.expr(_SPLIT)) for v in (t.v_mcq_list, t.v_mcq_cols, t.v_mcq_label))
+    labelled = labelled.select(*keep, "question", F.struct("text", "label").alias("choices"), F.col("answer_key").alias("answerKey"))
+    options = ["first", "second", "third", "fourth"]
+    return adapters.union_by_name(
+        [
+            tagged(mcq.from_prelettered(listed, keep=keep), "aqua-"),
+            tagged(mcq.from_labels(labelled, tags["arc_challenge"], keep), "arc-"),
+            tagged(mcq.from_labels(labelled.where("split <> 'train'"), tags["arc_easy"], keep), "easy-"),
+            tagged(mcq.from_columns_index(mcq.single_choice(columns.where("split <> 'test'")), options, "cop", "row_id", keep=keep), "med-"),
+            tagged(mcq.from_columns_first(columns, options, "row_id", keep=keep), "sciq-"),
+            tagged(mcq.from_index(mcq.in_subjects(index), keep=keep), "mmlu-").replace("auxiliary_train", "train", "split"),
+            tagged(mcq.from_index(index.where("split <> 'auxiliary_train'"), source=tags["mmlu_pro"], keep=keep), "pro-"),
+            tagged(mcq.from_polymorphic(t.v_mixed, "mixed", ("row_id",)).withColumn("split", F.lit("train")), "mixed-"),
+        ]
+    )
 
 
+_LABELLED = _label_check("chr(CAST(64 + place AS INT))")
+_INDEX_ANSWER = "chr(65 + answer) || '. ' || choices[answer + 1]"
+_SUBJECTS = ", ".join(lit(s) for s in fixed.STEM_SUBJECTS)
+_DRAWN = f"template_id = {word(SEED, 'row_id')} % (SELECT count(*) FROM templates)"
 _UNION_STEPS = {
     **_STEP_ORDER,
     **_polymorphic_steps("NOT list_contains(listed[2:], o)"),
     **TEMPLATES,
     "every": f"""
         SELECT 'aqua-' || row_id AS row_id, question || array_to_string(list_transform(options, lambda o: chr(10) || {_dotted('o')}), '') AS question,
-               {_dotted('options[ascii(correct) - 64]')} AS answer, {_source('aqua')}, 'validation' AS split FROM v_mcq_list
-        UNION ALL SELECT 'arc-' || row_id, question, answer, source, 'validation' FROM ({_label_check("chr(CAST(64 + place AS INT))")})
-        UNION ALL SELECT 'med-' || row_id, question, answer, source, 'train' FROM ({_index_check("(list_position(list_transform(ord, lambda s: s.p), cop) - 1)")})
-        UNION ALL SELECT 'sciq-' || row_id, question || {lettered(_SHOWN)}, chr(CAST(64 + list_position({_SHOWN}, first) AS INT)) || '. ' || first, {_source('sciq')}, 'train' FROM ordered
-        UNION ALL SELECT 'mixed-' || row_id, question, answer, source, 'train' FROM ({_POLYMORPHIC})
-        UNION ALL SELECT 'mmlu-' || row_id, question || {lettered('choices')}, chr(65 + answer) || '. ' || choices[answer + 1], {_source('mmlu')}, 'test' FROM v_mcq_idx""",
+               {_dotted('options[ascii(correct) - 64]')} AS answer, {_source('aqua')}, {_SPLIT} AS split FROM v_mcq_list
+        UNION ALL SELECT 'arc-' || row_id, question, answer, source, {_SPLIT} FROM ({_LABELLED})
+        UNION ALL SELECT 'easy-' || row_id, question, answer, {_source('arc_easy')}, {_SPLIT} FROM ({_LABELLED}) WHERE row_id % 10 < 2
+        UNION ALL SELECT 'med-' || row_id, question, answer, source, {_SPLIT}
+                  FROM ({_index_check("(list_position(list_transform(ord, lambda s: s.p), cop) - 1)")}) WHERE row_id % 10 <> 1
+        UNION ALL SELECT 'sciq-' || row_id, question || {lettered(_SHOWN)}, chr(CAST(64 + list_position({_SHOWN}, first) AS INT)) || '. ' || first, {_source('sciq')}, {_SPLIT} FROM ordered
+        UNION ALL SELECT 'mmlu-' || row_id, question || {lettered('choices')}, {_INDEX_ANSWER}, {_source('mmlu')}, replace(split, 'auxiliary_train', 'train')
+                  FROM v_mcq_idx WHERE split = 'auxiliary_train' OR subject IN ({_SUBJECTS})
+        UNION ALL SELECT 'pro-' || row_id, question || {lettered('choices')}, {_INDEX_ANSWER}, {_source('mmlu_pro')}, split
+                  FROM v_mcq_idx WHERE split <> 'auxiliary_train'
+        UNION ALL SELECT 'mixed-' || row_id, question, answer, source, 'train' FROM ({_POLYMORPHIC})""",
+    "filled": f"""SELECT row_id, replace(template, '<question>', question) AS question, answer, source, split
+                  FROM every JOIN templates ON {_DRAWN}""",
 }
 _UNION_VIEWS = ("v_mcq_list", "v_mcq_label", "v_mcq_cols", "v_mixed", "v_mcq_idx")
+_PLACE = f"ORDER BY {hash_key(SEED, 'row_id')}, row_id"
 
 
 @query(
@@ -418,30 +455,26 @@ _UNION_VIEWS = ("v_mcq_list", "v_mcq_label", "v_mcq_cols", "v_mixed", "v_mcq_idx
     "SELECT row_id, question, answer, source FROM every WHERE split = 'train'",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
-    spread=("part",),
 )
 def _(t):
-    return adapters.union_by_name(_mcq_parts(t)["train"])
+    return _mcq_rows(t).where("split = 'train'").drop("split")
 
 
 @query(
     "mcq_table",
-    f"""SELECT row_id, replace(template, '<question>', question) AS question, answer, source, split,
-               row_number() OVER (PARTITION BY split ORDER BY {hash_key(SEED, 'row_id')}, row_id) AS position
-        FROM every JOIN templates ON template_id = {word(SEED, 'row_id')} % (SELECT count(*) FROM templates)""",
+    f"SELECT row_id, question, answer, source, split, row_number() OVER (PARTITION BY split {_PLACE}) AS position FROM filled",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
-    spread=("part",),
 )
 def _(t):
-    return mcq.merge_splits(_mcq_parts(t), template_table(t), "row_id")
+    return mcq.merge_splits(_mcq_rows(t), template_table(t), "row_id")
 
 
 @query(
     "sft_table",
-    f"""SELECT row_id, question, answer, source, row_number() OVER (ORDER BY {hash_key(SEED, 'row_id')}, row_id) AS position FROM (
+    f"""SELECT row_id, question, answer, source, 'train' AS split, row_number() OVER ({_PLACE}) AS position FROM (
           SELECT 'mcq-' || row_id AS row_id, {_dotted('question', chr(10))} AS question, {_dotted('answer')} AS answer, source
-          FROM every WHERE source IS DISTINCT FROM 'deepmind/aqua_rat'
+          FROM filled WHERE source IS DISTINCT FROM 'deepmind/aqua_rat' AND split = 'train'
           UNION ALL
           SELECT 'why-' || row_id, {_dotted(_RAW_LINES, chr(10))}, {_dotted("options[ascii(correct) - 64]")} || chr(10) || 'Explanation: ' || rationale,
                  'deepmind/aqua_rat' FROM v_mcq_list
@@ -453,27 +486,31 @@ def _(t):
           UNION ALL SELECT 'chat-' || conv_id, question, answer, 'allenai/tulu-3-sft-mixture' FROM (
               SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question, max(CASE WHEN turn = 1 THEN text END) AS answer
               FROM conversations GROUP BY conv_id) AS c
-        ) AS u""",
+        ) AS u
+        UNION ALL
+        SELECT row_id, question, answer, source, split, row_number() OVER (PARTITION BY split {_PLACE}) FROM filled WHERE split <> 'train'""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
-    spread=("part",),
 )
 def _(t):
-    docs, tags = t.documents, fixed.SOURCE_TAGS
+    """The mix for training; the other splits of the choice table pass through."""
+    docs, tags, templates = t.documents, fixed.SOURCE_TAGS, template_table(t)
     gsm = docs.selectExpr("doc_id AS row_id", "text AS question", "lang AS answer")
     forum = docs.selectExpr("doc_id AS row_id", "text AS Q", "source AS A")
     reasoning = docs.selectExpr("doc_id AS row_id", "text AS problem", "source AS generated_solution")
     reasoning = _tagged(adapters.adapt(reasoning, adapters.MATH_REASONING, tags["math_reasoning"], ("row_id",)), "reason-")
     chats = mcq.exchange_rows(t.conversations, exact_turns=None).selectExpr("conv_id AS row_id", "question", "answer")
-    choice = adapters.union_by_name([df for tables in _mcq_parts(t).values() for df in tables])
+    filled = mcq.fill_templates(_mcq_rows(t), templates, "row_id")
     aqua = t.v_mcq_list.withColumn("row_id", F.concat(F.lit("why-"), F.col("row_id").cast("string")))
     open_sets = [
         _tagged(adapters.adapt(gsm, adapters.GSM8K, tags["gsm8k"], ("row_id",)), "gsm-"),
         _tagged(adapters.adapt(forum, adapters.MATH_FORUM, tags["math_forum"], ("row_id",)), "forum-"),
-        mcq.fill_templates(reasoning, template_table(t), "row_id"),
+        mcq.fill_templates(reasoning, templates, "row_id"),
         _tagged(chats.withColumn("source", F.lit(tags["personas"])), "chat-"),
     ]
-    return mcq.sft_mix(_tagged(choice, "mcq-"), aqua, open_sets, "row_id")
+    train = mcq.sft_mix(_tagged(filled.where("split = 'train'"), "mcq-"), aqua, open_sets, "row_id")
+    rest = sampling.shuffle_positions(filled.where("split <> 'train'"), "row_id", within="split")
+    return train.withColumn("split", F.lit("train")).unionByName(rest)
 
 
 @query(
@@ -483,10 +520,9 @@ def _(t):
         WHERE {n_tokens('prompt')} + {n_tokens('final_answer')} < 25""",
     views=_UNION_VIEWS,
     steps=_UNION_STEPS,
-    spread=("part",),
 )
 def _(t):
-    return sampling.rl_view(adapters.union_by_name(_mcq_parts(t)["train"]), "row_id", max_length=25)
+    return sampling.rl_view(_mcq_rows(t).where("split = 'train'").drop("split"), "row_id", max_length=25)
 
 
 @query(
@@ -494,8 +530,7 @@ def _(t):
     f"""SELECT 'mixed:' || row_id AS row_id, question_body AS prompt, array_to_string(question_options, '|') AS options,
                coalesce(question_answer, '') AS answer, 'mixed' AS source FROM v_mixed
         UNION ALL SELECT 'science:' || row_id, question, array_to_string({_SHOWN}, '|'), first, 'sciq' FROM ordered
-        UNION ALL SELECT * FROM (SELECT 'math:' || doc_id, text, '', '', 'tulu3-personas-math'
-                                 FROM documents ORDER BY doc_id LIMIT 5000) AS m""",
+        UNION ALL SELECT 'math:' || doc_id, text, '', '', 'tulu3-personas-math' FROM documents""",
     views=("v_mcq_cols", "v_mixed"),
     steps=_STEP_ORDER,
 )

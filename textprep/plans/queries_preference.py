@@ -8,7 +8,6 @@ from textprep import fixed_values as fixed
 from textprep.functions import answers
 from textprep.functions.text import token_count
 from textprep.operators import preference
-from textprep.operators.sampling import first_n
 from textprep.plans.queries_mcq import CHATS, choose_sql, nested_turns
 from textprep.plans.registry import hash_key, lit, n_tokens, query, strip, word, WS
 from textprep.sources import adapters
@@ -189,9 +188,10 @@ def _(t):
 
 _DATASET_STEPS = {
     **_PAIR_STEPS,
-    "merged": """SELECT 2 * row_id AS pair_id, prompt, chosen, rejected, source FROM paired
-                 UNION ALL SELECT * FROM (SELECT 2 * doc_id + 1, lang, text, source, 'code-preference-pairs'
-                                          FROM documents ORDER BY doc_id LIMIT 5000) AS d""",
+    "merged": """SELECT 4 * row_id AS pair_id, prompt, chosen, rejected, source FROM paired
+                 UNION ALL SELECT 4 * doc_id + 1, lang, text, source, 'code-preference-pairs' FROM documents
+                 UNION ALL SELECT 4 * doc_id + 2, source, text, lang, 'python-dpo' FROM documents
+                 UNION ALL SELECT 4 * doc_id + 3, text, lang, source, 'math-dpo' FROM documents""",
 }
 
 
@@ -205,13 +205,16 @@ _DATASET_STEPS = {
 )
 def _(t):
     distilled = preference.pairs(t.v_candidates, "row_id", COLUMNS)
-    code = first_n(t.documents, fixed.PAIR_SUBSET_ROWS["code_pairs"], "doc_id").selectExpr(
-        "2 * doc_id + 1 AS pair_id", "lang AS input", "text AS accepted", "source AS rejected"
-    )
+    docs, tags = t.documents, fixed.SOURCE_TAGS
+    code = docs.selectExpr("4 * doc_id + 1 AS pair_id", "lang AS input", "text AS accepted", "source AS rejected")
+    python = docs.selectExpr("4 * doc_id + 2 AS pair_id", "source AS prompt", "text AS chosen", "lang AS rejected")
+    math = docs.selectExpr("4 * doc_id + 3 AS pair_id", "text AS question", "lang AS chosen", "source AS rejected")
     return preference.dataset(
         [
-            distilled.withColumn("pair_id", 2 * F.col("row_id")).drop("row_id"),
-            adapters.adapt(code, adapters.CODE_PAIRS, fixed.SOURCE_TAGS["code_pairs"], ("pair_id",)),
+            distilled.withColumn("pair_id", 4 * F.col("row_id")).drop("row_id"),
+            adapters.adapt(code, adapters.CODE_PAIRS, tags["code_pairs"], ("pair_id",)),
+            adapters.adapt(python, adapters.PYTHON_PAIRS, tags["python_pairs"], ("pair_id",)),
+            adapters.adapt(math, adapters.MATH_PAIRS, tags["math_pairs"], ("pair_id",)),
         ],
         "pair_id",
     )
@@ -228,7 +231,6 @@ _JUDGE_STEPS = {"judged": f"SELECT row_id, {_JUDGE_SQL} AS prompt FROM v_candida
     f"SELECT row_id, prompt, {n_tokens('prompt')} AS n_tokens FROM judged",
     views=_CANDIDATES,
     steps=_JUDGE_STEPS,
-    spread=("part",),
 )
 def _(t):
     return preference.judge_requests(t.v_candidates, "row_id", COLUMNS)
@@ -250,7 +252,6 @@ def _(t):
                CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS BIGINT) AS used_tokens,
                (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch_id
         FROM (SELECT doc_id, {n_tokens('text')} AS n_tokens FROM documents) AS d""",
-    spread=("documents",),
 )
 def _(t):
     requests = t.documents.select("doc_id", token_count(F.col("text")).cast("long").alias("n_tokens"))

@@ -49,11 +49,11 @@ def _(t):
     )
 
 
-_TEMPLATE = "concat('About ', p_type, ' and ', p_brand, ':\\n\\n<question>\\nAnswer:')"
+_TEMPLATE = "concat('About ', p_brand, ':\\n\\n<question>\\nAnswer:')"
 
 
 def template_table(t):
-    """Templates made from the part table, written as one JSON array of strings and read back."""
+    """One template for each brand (there are 25), written as one JSON array of strings and read back."""
     path = shared_path(t.spark, "templates")
     distinct = t.part.selectExpr(f"{_TEMPLATE} AS template").distinct()
     array = distinct.agg(F.to_json(F.sort_array(F.collect_list("template"))).alias("value"))
@@ -63,7 +63,7 @@ def template_table(t):
 
 TEMPLATES = {
     "templates": """SELECT CAST(row_number() OVER (ORDER BY template) - 1 AS BIGINT) AS template_id, template
-                    FROM (SELECT DISTINCT 'About ' || p_type || ' and ' || p_brand || ':' || chr(10) || chr(10)
+                    FROM (SELECT DISTINCT 'About ' || p_brand || ':' || chr(10) || chr(10)
                                  || '<question>' || chr(10) || 'Answer:' AS template FROM part) AS d"""
 }
 
@@ -273,7 +273,6 @@ def _(t):
 @query(
     "filter_token_limit",
     "SELECT doc_id, {0} AS token_count FROM documents WHERE {0} <= 512".format(n_tokens("text")),
-    spread=("documents",),
 )
 def _(t):
     return corpus.limit_tokens(t.documents, "doc_id").select("doc_id", "token_count")
@@ -292,7 +291,7 @@ def _(t):
 # --- texts ------------------------------------------------------------------------------------------------
 
 
-@query("token_count", "SELECT doc_id, {} AS token_count FROM documents".format(n_tokens("text")), spread=("documents",))
+@query("token_count", "SELECT doc_id, {} AS token_count FROM documents".format(n_tokens("text")))
 def _(t):
     return t.documents.select("doc_id", token_count(F.col("text")).alias("token_count"))
 
@@ -350,4 +349,4 @@ def _(t):
     for arrival in (first, first.unionByName(added)):
         arrival.write.mode("append").parquet(arrivals)
         incremental.run(spark, arrivals, first.schema, sink, state, "doc_id", stripped)
-    return incremental.read_sink(spark, sink).drop("batch_id")
+    return incremental.read_sink(spark, sink)

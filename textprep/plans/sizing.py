@@ -19,12 +19,3 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> t
     rows, size = measured(df)
     return (F.broadcast(df) if size <= max_bytes else df), rows
 
-
-def spread_if_few(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input whose files give fewer tasks than there are cores.
-
-    A large input has more splits than cores and passes through untouched; a single small file would
-    otherwise keep one core busy and the others idle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

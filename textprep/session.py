@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Only a local master may run without the setting; it then gets a temporary folder of its own.
+    Only a local master, where driver and executors are one process, may run without the setting (tests); it
+    then gets a temporary folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _local_roots:

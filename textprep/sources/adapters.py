@@ -40,9 +40,9 @@ def distill_pool(
     math: DataFrame,
     mixed_source: str,
     seed: int = fixed.SEED,
-    math_rows: int = fixed.MATH_POOL_ROWS,
+    math_rows: int | None = None,
 ) -> DataFrame:
-    """The question pool: mixed questions, four-option science questions, the first math prompts.
+    """The question pool: mixed questions, four-option science questions, math prompts (the first `math_rows` if given).
 
     Each input carries a `row_id`; the output key is that id prefixed by the part it came from.
     """
@@ -78,7 +78,8 @@ def distill_pool(
             fixed.SOURCE_TAGS["pool_sciq"],
         )
     )
-    math_part = first_n(math, math_rows, "row_id").select(
+    math = math if math_rows is None else first_n(math, math_rows, "row_id")
+    math_part = math.select(
         *row("math", F.col("prompt"), F.array(F.lit("")), F.lit(""), fixed.SOURCE_TAGS["pool_math"])
     )
     return union_by_name([mixed_part, science_part, math_part])

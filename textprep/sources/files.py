@@ -26,13 +26,16 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, id_col: str, per_file_rows: int = 10_000) -> None:
-    """Write records as JSON arrays, one per file, of about `per_file_rows` records each.
+def write_json_arrays(
+    df: DataFrame, path: str, id_col: str, per_file_rows: int = 10_000, per_file_bytes: int = 32 << 20
+) -> None:
+    """Write records as JSON arrays, one per file, of about `per_file_rows` records or `per_file_bytes` each.
 
     Files are filled by the hash of the id, so their size does not depend on how ids are spread.
     """
-    files = max(1, math.ceil(df.count() / per_file_rows))
     record = F.to_json(F.struct(*[c for c in df.columns if c != id_col]), {"ignoreNullFields": "false"})
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(record)).alias("bytes")).first()
+    files = max(1, math.ceil(size["rows"] / per_file_rows), math.ceil((size["bytes"] or 0) / per_file_bytes))
     keyed = df.select(record.alias("record"), F.pmod(F.xxhash64(id_col), F.lit(files)).alias("file"))
     arrays = keyed.groupBy("file").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("record"), ",\n"), F.lit("]")).alias("value")
