@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
 
 import duckdb
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -220,3 +220,18 @@ def test_an_unfinished_index_is_built_anew(spark, data):
     retrieval.assign_cells(corpus, np.zeros((1, 8))).write.partitionBy("cell").parquet(f"{path}/vectors")  # and then a crash
     assert retrieval.load_or_build(spark, path, lambda: retrieval.build_index(corpus, path, cells=4)).count() == 300
     assert retrieval.search_index(spark, queries, path, 3).count() == 3 * queries.count()
+
+
+def test_samples_from_texts(spark):
+    """Golden and distractor are the nearest and the k-th nearest text of a plain search over the same vectors."""
+    random = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{n}" for n in random.integers(0, 40, random.integers(5, 12)))) for i in range(60)]
+    corpus = spark.createDataFrame(texts, "doc_id long, text string")
+    qa = spark.createDataFrame([(i, texts[i][1] + " w1", "a", "s") for i in range(0, 60, 7)] + [(99, "w3", "", "s")], "query_id long, question string, answer string, source string")
+    made = {r["query_id"]: r for r in raft.from_corpus(qa, corpus, k=3, features=64, block_rows=16).collect()}
+    both = corpus.selectExpr("doc_id AS id", "text").union(qa.where("answer <> ''").selectExpr("query_id + 1000 AS id", "question AS text"))
+    vectors = {r["id"]: np.array(r["embedding"]) for r in retrieval.lexical_vectors(both, "id", features=64).collect()}
+    assert set(made) == set(range(0, 60, 7))
+    for i, row in made.items():
+        near = sorted(range(60), key=lambda d: (round(((vectors[1000 + i] - vectors[d]) ** 2).sum(), 6), d))
+        assert row["golden_document"] == texts[near[0]][1] and row["distractor_documents"] == texts[near[2]][1]

@@ -22,7 +22,6 @@ SOURCE_TAGS = {
     "mmlu": "cais/mmlu",
     "mmlu_pro": "TIGER-Lab/MMLU-Pro",
     "math_reasoning": "unsloth/OpenMathReasoning",
-    "two_turn_chat": "mlabonne/FineTome-100k",
     "personas": "allenai/tulu-3-sft-mixture",
     "gsm8k": "cais/gsm8k",
     "math_forum": "math-ai/StackMathQA",
@@ -80,7 +79,6 @@ END_OF_TEXT = "</s>"
 ASSISTANT_MARK = "assistant"
 RANKING_MARK = "Ranking:"
 RANKING_LABELS = ["A", "B", "C"]
-DISTRACTOR_SEPARATOR = "|||"
 BLANK_WORDS = ["", "nan", "null"]
 
 # --- answer columns, in label order A, B, C ------------------------------------------------------

@@ -29,8 +29,17 @@ def accuracy_runs(df: DataFrame, by: list[str], run: str, correct: str, seconds:
     )
 
 
-def macro_summary(results: DataFrame, config: str = "config") -> DataFrame:
-    """Mean and population deviation over the subjects of each configuration."""
+def macro_summary(results: DataFrame, config: str = "config", compat: bool = False) -> DataFrame:
+    """Mean and population deviation over the subjects of each configuration.
+
+    Compat takes a row for every configuration whose name its own name contains, as the original
+    does: `thinking` then also takes the rows of `no_thinking`.
+    """
+    if compat:
+        names = results.groupBy(F.col(config).alias("_name")).count().collect()  # the configurations: a handful
+        every = F.array(*[F.lit(r["_name"]) for r in names if r["_name"] is not None]).cast("array<string>")
+        held = F.filter(every, lambda n: F.contains(F.col(config), n))
+        results = results.withColumn(config, F.explode(held))
     return results.groupBy(config).agg(
         F.avg("mean_accuracy").alias("macro_mean"),
         F.stddev_pop("mean_accuracy").alias("macro_std"),

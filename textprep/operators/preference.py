@@ -25,16 +25,24 @@ def answer_requests(df: DataFrame, id_col: str, templates: dict[str, str], batch
     return in_batches(placed, batch_size)
 
 
-def attach(requests: DataFrame, responses: DataFrame, key: str, models: list[str], clean=CLEANERS) -> DataFrame:
+def attach(
+    requests: DataFrame, responses: DataFrame, key: str, models: list[str], clean=CLEANERS, arrival: str | None = None
+) -> DataFrame:
     """One answer column per model, joined by key.
 
-    `responses` is (key, model, response).  The models are combined in one aggregation on the key,
-    which leaves the rows partitioned for the join that follows.
+    `responses` is (key, model, response) and may have an `arrival` column: of several answers to one
+    request the one that arrived last counts.  Without it the greatest text counts; `duplicated` lists
+    such requests.  The models are combined in one aggregation on the key, which leaves the rows
+    partitioned for the join that follows.
     """
-    columns = [
-        F.max(F.when(F.col("model") == model, clean.get(model, lambda c: c)(F.col("response")))).alias(model)
-        for model in models
-    ]
+
+    def one(model: str) -> Column:
+        own, text = F.col("model") == model, clean.get(model, lambda c: c)(F.col("response"))
+        if arrival is None:
+            return F.max(F.when(own, text))
+        return F.max_by(text, F.when(own, F.struct(F.col(arrival), F.col("response"))))
+
+    columns = [one(model).alias(model) for model in models]
     return requests.join(responses.groupBy(key).agg(*columns), key, "left")
 
 

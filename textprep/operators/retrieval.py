@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textprep.functions import draws
-from textprep.functions.text import tokens
+from textprep.functions.text import token_ids, tokens
 from textprep.session import shared_root
 
 # The helpers travel with the task, so executors need not have this package installed.
@@ -624,21 +624,24 @@ def encode(df: DataFrame, id_col: str, text_col: str, encode_batch: Callable[[li
     return df.select(id_col, vectors(F.col(text_col)).alias("embedding"))
 
 
-def lexical_vectors(df: DataFrame, id_col: str, text_col: str = "text", features: int = 1024) -> DataFrame:
+def lexical_vectors(
+    df: DataFrame, id_col: str, text_col: str = "text", features: int = 1024, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Unit-length tf-idf vectors over hashed tokens: the stand-in for a neural encoder.
 
     Fitting aggregates one vector of `features` counts; the rest is a narrow projection.  The result
     has the `embedding` column that `knn` and `build_index` read.
     """
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
+    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    counted = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features).transform(
-        df.select(id_col, words.alias("tokens"))
-    )
+    # The feature of a token is its hashed id, so the vocabulary is fixed and nothing is fitted for it.
+    buckets = F.transform(token_ids(F.coalesce(F.col(text_col), F.lit("")), features), lambda i: i.cast("string"))
+    vocabulary = [str(i) for i in range(features)]
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="tf")
+    counted = counter.transform(df.select(id_col, *keep, buckets.alias("tokens")))
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="tfidf", outputCol="vector").transform(weighted)
     return unit.select(
-        id_col, F.size("tokens").alias("n_tokens"), vector_to_array("vector", "float32").alias("embedding")
+        id_col, *keep, F.size("tokens").alias("n_tokens"), vector_to_array("vector", "float32").alias("embedding")
     )

@@ -144,6 +144,26 @@ def _(t):
     )
 
 
+_THINKING = "CASE config WHEN 'zero_shot' THEN 'thinking' ELSE 'no_thinking' END"
+
+
+@query(
+    "eval_macro_summary_compat",
+    f"""SELECT name AS config, round(avg(mean_accuracy), 6) AS macro_mean, round(stddev_pop(mean_accuracy), 6) AS macro_std,
+               count(*) AS n_subjects
+        FROM (SELECT {_THINKING} AS config, mean_accuracy FROM results) AS r
+        JOIN (VALUES ('thinking'), ('no_thinking')) AS names(name) ON contains(r.config, name) GROUP BY name""",
+    views=("v_graded",),
+    steps=_RUN_STEPS,
+)
+def _(t):
+    """One name contains the other, so its line takes the rows of both."""
+    summary = evaluate.macro_summary(_results(t).withColumn("config", F.expr(_THINKING)), compat=True)
+    return summary.select(
+        "config", F.round("macro_mean", 6).alias("macro_mean"), F.round("macro_std", 6).alias("macro_std"), "n_subjects"
+    )
+
+
 @query(
     "eval_loglik_acc",
     """SELECT count(*) AS n_items, round(avg((plain = gold)::INT::DOUBLE), 6) AS acc,
