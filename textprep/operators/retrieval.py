@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textprep.functions import draws
 from textprep.functions.text import token_ids, tokens
-from textprep.session import shared_root
+from textprep.session import shared_path
 
 # The helpers travel with the task, so executors need not have this package installed.
 register_pickle_by_value(sys.modules[__name__])
@@ -549,11 +549,16 @@ def knn_jaccard(
 
     `queries` is (query_id, text), `corpus` (doc_id, text).  Round one searches the documents of
     about the query's own size.  Its k-th score then rules out all sizes whose best possible ratio
-    is smaller, and round two searches the rest; the result is exact.
+    is smaller, and round two searches the rest; the result is exact.  The corpus is split into
+    tokens once; its sets are handed off by size class, so a round reads the classes that it visits.
     """
+    spark = corpus.sparkSession
     words = F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("words")
     docs = corpus.select(F.col("doc_id").cast("long"), words)
     docs = docs.withColumn("cell", _size_class(F.size("words")))
+    path = shared_path(spark, "word-sets")
+    docs.write.partitionBy("cell").parquet(path)
+    docs = spark.read.schema(docs.schema).parquet(path)
     wanted = queries.select(F.col("query_id").cast("long"), words)
     wanted = wanted.withColumn("home", _size_class(F.size("words")))
     amount = [F.count(F.lit(1)).alias("rows"), F.sum(F.size("words")).alias("tokens")]
@@ -573,8 +578,9 @@ def knn_jaccard(
     classes = F.array(*[F.lit(c) for c in sorted(blocks)])
     home = F.filter(classes, lambda c: c == F.col("home"))
     first = _keep_best(search(wanted.withColumn("cells", home)), k)
-    shared_root(queries.sparkSession)
-    first = first.checkpoint()  # k rows per query, read twice below
+    path = shared_path(spark, "first-round")  # k rows per query, read twice below
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
     reached = first.groupBy("query_id").agg(
         F.max("rank").alias("found"), F.max("score").alias("worst")
     )
