@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import byte_bpe, decontaminate, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
+from textprep.llm import byte_bpe, checks, decontaminate, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op2_suffix_decontamination": checks.DECONTAMINATION,
+    "op3_minhash_near_dedup": checks.NEAR_DUPLICATES,
+    "op6_host_rules": checks.HOST_RULES,
+}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op1_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
-    return decontaminate.contamination(spark, documents, benchmark).drop("found")
+    return decontaminate.contamination(spark, documents, benchmark).drop("found", "longest")
 
 
 @_query
@@ -68,7 +72,8 @@ def op5_boosted_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op6_host_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return host_rules.rule_verdicts(_table(spark, folder, "documents"))
+    found = host_rules.rule_verdicts(_table(spark, folder, "documents"))
+    return found.withColumn("host_rate", F.round("host_rate", 6))
 
 
 @_query
