@@ -13,7 +13,7 @@ import pyarrow as pa
 
 # Texts are worked on in pieces of about this many bytes (one text is never cut), so that a task's memory is
 # a small multiple of it plus the longest text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _MIX_1, _MIX_2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -47,8 +47,7 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-if True:  # the table of small powers is filled once, at import
-    _POWERS = _powers(256)
+_POWERS = _powers(256)
 
 _ALL = np.arange(256)
 LOWER = np.where((_ALL >= 65) & (_ALL <= 90), _ALL + 32, _ALL).astype(np.uint8)  # A-Z only
@@ -88,6 +87,7 @@ def in_pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     for first, last in pieces(offsets, limit):
         own = offsets[first : last + 1]
         yield batch.slice(first, last - first), data[own[0] : own[-1]], own - own[0]
+    pa.default_memory_pool().release_unused()  # workers live on for the next stage
 
 
 class Words:

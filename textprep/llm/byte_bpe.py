@@ -24,17 +24,18 @@ from textprep.llm.annotate import annotated, free_name
 from textprep.llm.batches import spans
 from textprep.llm.chunk_store import ChunkStore, chunks_at, letter_edges
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+# How many encoded chunks a worker remembers: some 200 bytes each; fewer take less memory and more time.
+REMEMBERED = 400_000
+_NONE = 1 << 62  # the rank of a pair that never merges
 _SHORT = 24  # bytes: windows up to this are merged by plain search
 
 
 class TreeEncoder:
     """Encodes byte strings under ranks (bytes to id, lower merges first)."""
 
-    MAX_KNOWN = 200_000
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], remembered: int = 200_000):
+        self.ranks, self.remembered = ranks, remembered
         self._halves: dict[bytes, tuple[bytes, ...]] = {}
         self._windows: dict[bytes, tuple[bytes, ...]] = {}
 
@@ -44,26 +45,26 @@ class TreeEncoder:
         if known is None:
             known = tuple(self._merged(piece))
             if len(piece) <= _SHORT:
-                if len(self._windows) >= self.MAX_KNOWN:
+                if len(self._windows) >= self.remembered:
                     self._windows.clear()
                 self._windows[piece] = known
         return known
 
     def _merged(self, piece: bytes) -> list[bytes]:
         """The lowest-ranked neighbours merge first, the leftmost of equals."""
-        ranks = self.ranks
+        rank = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
         if len(parts) > _SHORT:
             return self._merged_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        pairs = [rank(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+        while pairs and (best := min(pairs)) < _NONE:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], _NONE)
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
         return parts
 
     def _merged_long(self, parts: list[bytes]) -> list[bytes]:
@@ -115,10 +116,12 @@ class TreeEncoder:
             return (piece,) if piece else ()
         known = self._halves.get(piece)
         if known is None:
+            if piece in self.ranks and len(piece) <= _SHORT:  # a leaf: as a rule one token
+                return self._window(piece)
             half = len(piece) // 2
             known = self.join(self.tokens(piece[:half]), self.tokens(piece[half:]))
             if len(piece) <= 16:  # short halves recur in many words
-                if len(self._halves) >= self.MAX_KNOWN:
+                if len(self._halves) >= self.remembered:
                     self._halves.clear()
                 self._halves[piece] = known
         return known
@@ -158,9 +161,9 @@ _WIDE = np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
 class _Tokens:
     """Encoder and decoder of a worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.encoder, self.pattern = TreeEncoder(ranks), regex.compile(pattern)
-        self.store = ChunkStore(self._encode_chunks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.encoder, self.pattern = TreeEncoder(ranks, remembered * 2 // 5), regex.compile(pattern)
+        self.store = ChunkStore(self._encode_chunks, remembered)
         tokens = sorted(ranks, key=ranks.get)
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         sizes, order = np.array([len(t) for t in tokens], np.int64), np.array(sorted(ranks.values()))
@@ -194,7 +197,9 @@ class _Tokens:
 _WORKER: dict[str, _Tokens] = {}
 
 
-def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> tuple[DataFrame, str]:
+def encoded(
+    spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, remembered: int = REMEMBERED
+) -> tuple[DataFrame, str]:
     """(`docs` with a struct column, its name): ids, their number and sha256, and that of the decoded bytes.
 
     `vocabulary` is a file of ranks, read by the driver and broadcast (its size does not depend on the data). Null texts are
@@ -205,7 +210,7 @@ def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str)
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list:
         if key not in _WORKER:
             _WORKER.clear()
-            _WORKER[key] = _Tokens(sent.value, pattern)
+            _WORKER[key] = _Tokens(sent.value, pattern, remembered)
         tokens = _WORKER[key]
         ids, ends = tokens.encode(data, offsets)
         firsts = np.concatenate([[0], ends[:-1]]).astype(np.int64)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: suffix arrays over shards of the training texts, searched for every test suffix.
 
-A shard is a piece of a few megabytes of documents. Of its suffixes (word positions) the array keeps those whose
+A shard is a piece of about a megabyte of documents. Of its suffixes (word positions) the array keeps those whose
 first two words stand side by side somewhere in the benchmark: no other suffix can start a match of two words. They
 are sorted by their first 13 words; each test suffix is then found by binary search, and matches that continue one
 another (the same distance between item and document position) join to the longest verbatim match.
@@ -22,7 +22,7 @@ from textprep.llm.tables import written
 
 WINDOW = 13
 PERCENT_PARTS = 20  # a document is contaminated when at least one word in 20 is hit
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 # The benchmark is sent to all tasks in blocks of at most this many bytes of text.
 BLOCK_BYTES = 32 << 20
 
