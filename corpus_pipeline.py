@@ -32,7 +32,8 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, beside all columns of its document, with digests of the ids and of the bytes decoded from them."""
-    coded, name = byte_bpe.encoded(spark, docs, *byte_vocabulary())
+    # workers that have run four stages before this one remember fewer chunks
+    coded, name = byte_bpe.encoded(spark, docs, *byte_vocabulary(), remembered=150_000)
     wanted = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     taken = {c.lower() for c in docs.columns}
     return coded.select(*docs.columns, *[f"{name}.{c}" for c in wanted if c not in taken])
