@@ -3,7 +3,7 @@
 A document has two small collections of half-keys, U_1..U_a and V_1..V_a, each made of `k` minima. Table (i, j)
 has the key (U_i, V_j): a * a tables of 2k minima each come from 2 * a * k minhashes instead of 2 * a * a * k. Two
 sets of similarity s meet in some table with probability (1 - (1 - s^k)^a)^2, which is 0.99999 for s = 0.75, k = 4
-and a = 32; links found by more than one path make the loss of a component rarer still.
+and a = 32. All pairs of a table are settled: each is verified, or its documents are in one component already.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ SHINGLE_WORDS = 5
 HALF_KEYS = 32  # a
 MINIMA = 4  # k
 NUMERATOR, DENOMINATOR = 75, 100
+LEADERS = 32  # of a table in the second round; each further round has that many times more
 
 _SEEDS = 2 * HALF_KEYS * MINIMA
 _HIGH = np.uint64(32)
@@ -135,16 +136,54 @@ def _table_rows(representatives: DataFrame) -> DataFrame:
     return written(_live(written(tables, "tables-all"), "tables-shared"), "tables")
 
 
-def _stars(tables: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each table's leader with its other members: n - 1 of them for n documents.
+def _pair(left: str, right: str) -> list:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
-    Half of the tables are led by the smallest id, the others by the smallest hash, so that a pair that meets in a
-    hundred tables is compared itself or through documents that both resemble.
+
+def _linked(tables: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of all documents that similar pairs of the tables join.
+
+    In the first round each table's leader (half of the tables by the smallest id, half by the smallest hash) is compared
+    with its other members. Then, until no table holds documents of two components, leaders leave their tables and a
+    block of new ones is compared with all members of other components; blocks grow, so the rounds are few. A
+    member that is linked stays: it may be what joins another member. Left out are pairs of one component, pairs
+    already tested, and pairs whose sizes alone rule a link out; every other pair of a table is verified.
     """
     order = F.when(F.col("key") % 2 == 0, F.col("doc")).otherwise(F.xxhash64("doc"))
-    leaders = tables.groupBy("key").agg(F.min(F.struct(order.alias("place"), "doc")).alias("led"))
-    pairs = tables.join(leaders.select("key", F.col("led.doc").alias("leader")), "key").where("doc <> leader")
-    return pairs.select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+    leaders = tables.groupBy("key").agg(F.min(F.struct(order.alias("place"), "doc")).alias("led"), F.count(F.lit(1)).alias("n"))
+    led = tables.join(leaders.select("key", "n", F.col("led.doc").alias("leader")), "key").where("doc <> leader")
+    tested = _verified(written(led.select(*_pair("leader", "doc")).distinct(), "pairs"), docs, "pairs")
+    links = tested.where("linked").select("a", "b")
+    rest = written(led.where("n > 2").select("key", "doc"), "rest")
+    block, found = LEADERS, components(links, "components")
+    while True:
+        labels = sizes.join(found, F.col("doc") == F.col("node"), "left").select(
+            "doc", "n_shingles", F.coalesce("component", "doc").alias("component")
+        )
+        rest = written(rest.select("key", "doc").join(labels, "doc"), "rest")
+        mixed_tables = rest.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        mixed_tables = written(mixed_tables.where("low < high").select("key", "n", "first"), "mixed-tables")
+        if mixed_tables.isEmpty():
+            return found
+        drawn = (F.col("doc") == F.col("first")) | (F.pmod(F.xxhash64("key", "doc"), F.col("n")) < block)
+        rest = written(rest.join(mixed_tables, "key").select("key", "doc", "n_shingles", "component", drawn.alias("leads")), "rest")
+        fore = rest.where("leads").select(
+            "key", F.col("doc").alias("leader"), F.col("n_shingles").alias("leader_size"), F.col("component").alias("of_leader")
+        )
+        alike = DENOMINATOR * F.least("n_shingles", "leader_size") >= NUMERATOR * F.greatest("n_shingles", "leader_size")
+        once = ~F.col("leads") | (F.col("leader") < F.col("doc"))
+        pairs = rest.join(fore, "key").where((F.col("component") != F.col("of_leader")) & alike & once)
+        pairs = written(pairs.select(*_pair("leader", "doc")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        rest, block = rest.where("NOT leads"), block * LEADERS
+        if pairs.isEmpty():
+            continue
+        fresh = _verified(pairs, docs, "pairs")
+        tested, linked = tested.union(fresh), fresh.where("linked").select("a", "b")
+        if not linked.isEmpty():
+            links = links.union(linked)
+            found = components(links, "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -165,9 +204,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves")),
         "classes",
     )
-    pairs = written(_stars(_table_rows(classes.select("doc", "halves"))), "pairs")
-    links = _verified(pairs, docs, "pairs").where("linked").select("a", "b")
-    found = classes.drop("halves").join(components(links, "components"), F.col("doc") == F.col("node"), "left")
+    parts = _linked(_table_rows(classes.select("doc", "halves")), classes.select("doc", "n_shingles"), docs)
+    found = classes.drop("halves").join(parts, F.col("doc") == F.col("node"), "left")
     found = written(
         found.select("set_1", "set_2", "n_shingles", F.coalesce("component", "doc").alias("component_id")), "found"
     )
