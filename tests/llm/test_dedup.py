@@ -122,6 +122,17 @@ def test_hub_in_the_middle(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
+def test_texts_of_one_id(spark):
+    """Rows with one doc_id and two texts are two texts: each is linked with its own near copy only."""
+    one, two = ([f"{mark}{i}" for i in range(60)] for mark in "pq")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, " ".join([*one, "x"])), (7, " ".join([*two, "x"])), (8, " ".join([*two, "y"]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, "text")
+    found = sorted(tuple(r) for r in near_dedup.near_duplicates(frame).collect())
+    assert found == [(3, 57, 3, True), (5, 56, 3, False), (5, 56, 5, True), (7, 57, 5, False), (8, 57, 5, False)]
+    left = sorted(tuple(r) for r in near_dedup.drop_near_duplicates(frame).collect())
+    assert left == sorted([rows[2], rows[1]])
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     found = near_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

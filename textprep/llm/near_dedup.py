@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textprep.llm.annotate import free_name
+from textprep.llm.annotate import annotated, free_name
 from textprep.llm.batches import LOWER, SPACED_WORD, Words, in_pieces, mixed, signed, stream, windows
-from textprep.llm.tables import components, small_broadcast, written
+from textprep.llm.tables import MAX_BROADCAST_ROWS, components, small_broadcast, written
 
 SHINGLE_WORDS = 5
 HALF_KEYS = 32  # a
 MINIMA = 4  # k
 NUMERATOR, DENOMINATOR = 75, 100
+CLASS = ("n_shingles", "set_1", "set_2")  # the key of equal sets
 LEADERS = 32  # of a table in the second round; each further round has that many times more
 
 _SEEDS = 2 * HALF_KEYS * MINIMA
@@ -55,6 +56,17 @@ def _half_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(keys ^ _TABLE_MARKS)
 
 
+def _class_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """n_shingles, set_1 and set_2, which equal sets share."""
+    whole, full = np.zeros((2, len(sets)), np.uint64), np.array([len(s) > 0 for s in sets], bool)
+    if filled := [s for s in sets if len(s)]:
+        sizes = np.array([len(s) for s in filled])
+        firsts, joined = np.cumsum(sizes) - sizes, np.concatenate(filled)
+        whole[0, full] = mixed(np.add.reduceat(joined, firsts))
+        whole[1, full] = np.add.reduceat(mixed(joined ^ np.uint64(0x5851F42D4C957F2D)), firsts)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(whole[0])), pa.array(signed(whole[1]))]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in in_pieces(batch, "text"):
@@ -62,30 +74,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.array([len(s) > 0 for s in sets])
             filled = [s for s in sets if len(s)]
             keys = _half_keys(filled) if filled else np.zeros((0, 2 * HALF_KEYS), np.uint64)
-            whole = np.zeros((2, len(sets)), np.uint64)
-            if filled:
-                sizes = np.array([len(s) for s in filled])
-                firsts, joined = np.cumsum(sizes) - sizes, np.concatenate(filled)
-                whole[0, full] = mixed(np.add.reduceat(joined, firsts))
-                whole[1, full] = np.add.reduceat(mixed(joined ^ np.uint64(0x5851F42D4C957F2D)), firsts)
             lists = np.cumsum(np.concatenate([[0], full * 2 * HALF_KEYS])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(signed(whole[0])),
-                    pa.array(signed(whole[1])),
+                    *_class_keys(sets),
                     pa.ListArray.from_arrays(lists, pa.array(signed(keys.ravel()))),
                 ],
-                ["doc_id", "n_shingles", "set_1", "set_2", "halves"],
+                ["doc_id", *CLASS, "halves"],
             )
 
 
+def _class_of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list:
+    return _class_keys(_sets(Words(data, offsets, SPACED_WORD, LOWER)))
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in in_pieces(batch, "text"):
-            sets = [s.tobytes() for s in _sets(Words(data, offsets, SPACED_WORD, LOWER))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            sets = _sets(Words(data, offsets, SPACED_WORD, LOWER))
+            columns = [*_class_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*CLASS, "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +111,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Every pair (a, b) with whether its full sets are alike enough; only documents of pairs are read for it."""
-    ends = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), f"{name}-ends")
-    needed = docs.join(small_broadcast(ends), "doc_id", "left_semi")
-    sets = written(needed.mapInArrow(_set_rows, "doc bigint, shingles binary").dropDuplicates(["doc"]), f"{name}-sets")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Every pair (a, b) of classes with whether its full sets are alike enough; only documents of pairs are read for it."""
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc")
+    ends = written(ends.join(classes.select("doc", "doc_id", *CLASS), "doc"), f"{name}-ends")
+    ids = written(ends.select("doc_id").distinct(), f"{name}-ids")
+    needed = docs.join(small_broadcast(ids), "doc_id", "left_semi")
+    sets = needed.mapInArrow(_set_rows, "n_shingles bigint, set_1 bigint, set_2 bigint, shingles binary")
+    # a row that repeats a doc_id has a text, and so perhaps a class, of its own
+    sets = sets.join(small_broadcast(ends.select("doc", *CLASS), MAX_BROADCAST_ROWS // 2), [*CLASS]).select("doc", "shingles")
+    sets = written(sets.dropDuplicates(["doc"]), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left_set")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right_set")), "b"
     )
@@ -140,8 +154,8 @@ def _pair(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _linked(tables: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of all documents that similar pairs of the tables join.
+def _linked(tables: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of all classes (doc) that similar pairs of the tables join.
 
     In the first round each table's leader (half of the tables by the smallest id, half by the smallest hash) is compared
     with its other members. Then, until no table holds documents of two components, leaders leave their tables and a
@@ -152,12 +166,12 @@ def _linked(tables: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
     order = F.when(F.col("key") % 2 == 0, F.col("doc")).otherwise(F.xxhash64("doc"))
     leaders = tables.groupBy("key").agg(F.min(F.struct(order.alias("place"), "doc")).alias("led"), F.count(F.lit(1)).alias("n"))
     led = tables.join(leaders.select("key", "n", F.col("led.doc").alias("leader")), "key").where("doc <> leader")
-    tested = _verified(written(led.select(*_pair("leader", "doc")).distinct(), "pairs"), docs, "pairs")
+    tested = _verified(written(led.select(*_pair("leader", "doc")).distinct(), "pairs"), classes, docs, "pairs")
     links = tested.where("linked").select("a", "b")
     rest = written(led.where("n > 2").select("key", "doc"), "rest")
     block, found = LEADERS, components(links, "components")
     while True:
-        labels = sizes.join(found, F.col("doc") == F.col("node"), "left").select(
+        labels = classes.join(found, F.col("doc") == F.col("node"), "left").select(
             "doc", "n_shingles", F.coalesce("component", "doc").alias("component")
         )
         rest = written(rest.select("key", "doc").join(labels, "doc"), "rest")
@@ -179,7 +193,7 @@ def _linked(tables: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
         rest, block = rest.where("NOT leads"), block * LEADERS
         if pairs.isEmpty():
             continue
-        fresh = _verified(pairs, docs, "pairs")
+        fresh = _verified(pairs, classes, docs, "pairs")
         tested, linked = tested.union(fresh), fresh.where("linked").select("a", "b")
         if not linked.isEmpty():
             links = links.union(linked)
@@ -193,41 +207,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lower-cased words; a text of fewer words is one shingle, and a null, empty or blank text has none and is linked
     with nothing. Documents with 100 * intersection >= 75 * union are linked; component_id is the smallest doc_id
     that links reach. Equal sets are one class, whose smallest id stands for it in all further steps, so a third of
-    the rows may be copies. Rows that repeat a doc_id are judged each by its own text. A row without doc_id has its
+    the rows may be copies. Rows that repeat a doc_id are judged each by its own text: the class, not the id, is
+    what tables, verification and links name. A row without doc_id has its
     set size, no component, and is kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    linked = _judged(docs)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_duplicates of `docs` (doc_id, text) with the class key of every row."""
     schema = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, halves array<bigint>"
     signatures = written(docs.mapInArrow(_signatures, schema), "signatures")
     named = signatures.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(
-        named.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves")),
-        "classes",
-    )
-    parts = _linked(_table_rows(classes.select("doc", "halves")), classes.select("doc", "n_shingles"), docs)
-    found = classes.drop("halves").join(parts, F.col("doc") == F.col("node"), "left")
-    found = written(
-        found.select("set_1", "set_2", "n_shingles", F.coalesce("component", "doc").alias("component_id")), "found"
-    )
-    linked = signatures.join(found, ["set_1", "set_2", "n_shingles"], "left")
+    classes = named.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
+    # a number of its own for each class: two classes may have the same smallest doc_id
+    classes = written(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    sized = classes.select("doc", "doc_id", *CLASS)
+    parts = _linked(_table_rows(classes.select("doc", "halves")), sized, docs)
+    found = sized.join(parts, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc"))
+    found = written(found.select("part", "doc_id", *CLASS), "parts")
+    least = found.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    found = written(found.join(least, "part").select(*CLASS, "component_id"), "found")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    named_ids = linked.select("doc_id", "n_shingles", own.alias("component_id"))
-    return named_ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = signatures.drop("halves").join(found, [*CLASS], "left").withColumn("component_id", own)
+    return linked.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component left, all its columns kept; rows without doc_id stay.
 
-    Of rows that repeat a doc_id one stays.
+    Of rows that repeat a doc_id one stays, of those whose text is kept; none stays if no text of them is kept.
     """
-    verdicts = written(near_duplicates(docs), "verdicts")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    verdicts = written(_judged(plain), "verdicts")
     own = free_name(docs, "of_doc")
-    gone = written(verdicts.where("NOT kept").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    of_id = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
+    of_id = written(of_id.where("n > 1 OR NOT any").select(F.col("doc_id").alias(own), "n", "any"), "of-id")
+    gone = written(of_id.where("NOT any").select(own), "gone")
     rest = docs.join(small_broadcast(gone), docs["doc_id"] == gone[own], "left_anti")
-    repeated = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    repeated = written(repeated.select(F.col("doc_id").alias(own)), "repeated")
+    repeated = written(of_id.where("n > 1 AND any").select(own), "repeated")
     if repeated.isEmpty():
         return rest
     same = rest["doc_id"] == repeated[own]
-    once = rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    key = free_name(docs, "class")
+    keyed = annotated(rest.join(repeated, same, "left_semi"), key, "n_shingles bigint, set_1 bigint, set_2 bigint", _class_of)
+    kept = verdicts.where("kept").join(repeated, F.col("doc_id") == F.col(own), "left_semi")
+    kept = written(kept.select(F.col("doc_id").alias(own), F.struct(*CLASS).alias("of_class")).distinct(), "kept-texts")
+    match = (keyed["doc_id"] == kept[own]) & (keyed[key] == kept["of_class"])
+    once = keyed.join(kept, match, "left_semi").dropDuplicates(["doc_id"]).drop(key)
     return rest.join(repeated, same, "left_anti").unionByName(once)
