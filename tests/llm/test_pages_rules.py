@@ -72,6 +72,28 @@ def test_one_page(model):
     ]
 
 
+def test_hidden_by_attributes_only():
+    """Words in attribute values hide nothing; hidden, aria-hidden and display: none do, in any form."""
+    seen = [
+        'title="The hidden cost of rain"', 'aria-label="A hidden history"', 'class="md hidden lg"', "title='x hidden=1'", 'aria-hidden="false"',
+        'data-x="display: none"', 'title="aria-hidden=true"', 'data-hidden="1"', 'style="display: block"', '[hidden]="x"', "",
+    ]
+    unseen = [
+        "hidden", 'class="a" HIDDEN', 'hidden=""', "hidden='hidden' id=x", "aria-hidden=true", 'aria-hidden = "TRUE"', "style=display:none",
+        'style="color: red; Display : none"', "title='x' hidden",
+    ]
+    for tag in ("a", "section", "article"):
+        for attributes in (*seen, *unseen):
+            forest = Forest()
+            forest.add(f"<body>before<{tag} {attributes}>its <b>text</b></{tag}>after</body>")
+            assert ("".join(forest.text) == "beforeits textafter") == (attributes in seen), attributes
+
+
+def test_math_and_object_text(model):
+    page = PAGE.replace("<p>Second", "<p>The sum <math><mi>x</mi><mo>+</mo><mn>2</mn></math> is shown, <object data=a><param name=b>a fallback</object> too.<p>Second")
+    assert page != PAGE and "The sum x+2 is shown, a fallback too." in model.texts([page])[0].split("\n\n")
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None), (2, None, ""), (None, "u", PAGE), (4, "u", "<"), (5, "u", "<p"), (6, "u", "plain text, no markup"), (7, "u", "</div></p>"),

@@ -19,7 +19,7 @@ BLOCKS = set(
     "caption blockquote pre figure figcaption hr fieldset address details summary center dialog menu hgroup search legend".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style title textarea noscript iframe template xmp noembed noframes head svg math object select datalist canvas audio video".split())
+UNSEEN = set("script style title textarea noscript iframe template xmp noembed noframes head svg select datalist canvas audio video".split())
 RAW = set("script style title textarea noscript iframe template xmp noembed noframes".split())
 CLOSED_BY = {  # an open element that the start of others ends, unless one of the barriers lies between
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -44,10 +44,25 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_GIVEN = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")  # with a value or without
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NOT_DISPLAYED = re.compile(r"(?:^|[;\s])display\s*:\s*none\b", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether a start tag's own attributes hide it: hidden, aria-hidden="true" or display: none in its style."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for key, *values in _GIVEN.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+        if key == "style" and _NOT_DISPLAYED.search(html.unescape(value)):
+            return True
+    return False
+
+
 @dataclass
 class Forest:
     """Nodes of some pages in document order; a page's first node is its root. Children follow their parents."""
@@ -150,7 +165,7 @@ class Forest:
                 continue
             if name in VOID:
                 continue
-            if unseen or name in UNSEEN or (attributes and _HIDDEN.search(attributes)):
+            if unseen or name in UNSEEN or _hidden(attributes):
                 if not attributes.rstrip().endswith("/"):
                     stack.append((name, -1))
                     unseen += 1
