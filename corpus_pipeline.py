@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.llm import byte_bpe, decontaminate, near_dedup, passages, quality
+from textprep.llm.annotate import free_name
 from textprep.llm.queries import byte_vocabulary
 from textprep.session import shared_path
 
@@ -31,12 +32,14 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, beside all columns of its document, with digests of the ids and of the bytes decoded from them."""
+    """The ids of every text, beside all columns of its document, with digests of the ids and of the bytes decoded from them.
+
+    Where the table has a column of such a name (in any case), the stage's own has underscores appended.
+    """
     # workers that have run four stages before this one remember fewer chunks
     coded, name = byte_bpe.encoded(spark, docs, *byte_vocabulary(), remembered=150_000)
     wanted = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
-    taken = {c.lower() for c in docs.columns}
-    return coded.select(*docs.columns, *[f"{name}.{c}" for c in wanted if c not in taken])
+    return coded.select(*docs.columns, *[F.col(f"{name}.{c}").alias(free_name(docs, c)) for c in wanted])
 
 
 STAGES = [

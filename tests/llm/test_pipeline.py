@@ -45,3 +45,12 @@ def test_empty_and_odd_tables(spark, odd_docs, no_docs):
             after = stage(spark, docs, "/root/testdata/sf0.001")
             assert after.columns[: len(docs.columns)] == docs.columns, name
             assert after.count() <= docs.count()
+
+
+def test_columns_of_the_last_stage(spark):
+    """A document's own columns of the same names stay, and the stage's are all there under free names."""
+    docs = spark.createDataFrame([(1, "two words", 7, "own")], "doc_id bigint, text string, N_Tokens int, ids string")
+    after = dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, "")
+    assert after.columns == [*docs.columns, "n_tokens_", "ids_sha256", "decoded_sha256", "ids_"]
+    row = after.collect()[0]
+    assert tuple(row)[:4] == (1, "two words", 7, "own") and row["n_tokens_"] == len(row["ids_"]) > 0
