@@ -1,10 +1,11 @@
-"""Passages that repeat verbatim across documents, by a sparse suffix array.
+"""Passages that repeat verbatim across documents, by sparse suffixes grouped by hash.
 
 Suffixes are retained only at minimisers: of the 8-word shingles at 26 neighbouring positions the least one. Every
 passage of 50 words thus holds a retained suffix that its own words select, with at least 25 words of the passage to
-the right, so equal passages retain equal suffixes. Suffixes are sorted and neighbours compared on those 25
-words (a sort on their fingerprint); where neighbours of different documents agree, the match is extended to the
-left and right, window by window of 50 words, as far as some other document agrees.
+the right, so equal passages retain equal suffixes. Suffixes are not sorted and neighbours not compared: grouping by
+a hash of those 25 words stands in for it. Where a group holds different documents, all windows of 50 words that
+select its suffix are grouped by hash in turn; windows that some other document holds and that overlap or touch
+are one passage.
 """
 
 from __future__ import annotations
