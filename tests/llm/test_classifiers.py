@@ -110,3 +110,15 @@ def test_thresholds_by_language():
     p = np.where(labels == 1, 0.7, 0.5) - 0.3 * (languages == 1) + random.normal(0, 0.01, 120)
     found = toxicity._thresholds(p, labels, languages)
     assert 0.55 < found[0] < 0.65 and 0.25 < found[1] < 0.35 and 0.55 < found[2] < 0.65
+
+
+def test_more_languages_than_one_model_holds(spark, monkeypatch):
+    """All 600 languages are learned, and blocks of them give what one model gives."""
+    rows = [(9 * i + k, (chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i)) * 5, f"x{i:03}") for i in range(600) for k in range(9)]
+    docs = spark.createDataFrame([*rows, (-1, "12", "x000"), (-2, None, "x001")], "doc_id bigint, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted_languages(spark, docs).collect()}
+    assert found.pop(-1) == found.pop(-2) == ("und", 0.0)
+    assert len(found) == len(rows) and sum(found[i][0] == lang for i, _, lang in rows) > 0.99 * len(rows)
+    monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 600)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted_languages(spark, docs).collect()}
+    assert all(whole[i][0] == name and abs(whole[i][1] - score) < 1e-9 for i, (name, score) in found.items())

@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams per language come from a bounded sample of labelled rows and are summed by Spark; the driver gets
-one matrix of languages x buckets, takes logarithms and broadcasts it. Scoring hashes the n-grams of a batch of texts and sums the
+a matrix of languages x buckets for each 512 languages, takes logarithms and broadcasts it. Scoring hashes the n-grams of a batch of texts and sums the
 log-probabilities of those that occur, a sparse product in numpy.
 """
 
@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from textprep.llm.annotate import annotated, free_name
 from textprep.llm.batches import in_pieces, stream
 from textprep.llm.labelled import held_out
+from textprep.llm.tables import small_broadcast, written
 
 GRAMS = (1, 2, 3)
 BUCKET_BITS = 15
 SMOOTHING = 0.5
 # The bound of the sample: about this many rows of each language are counted, all their text.
 SAMPLE_PER_LANGUAGE = 3000
-MAX_LANGUAGES = 512
+LANGUAGES_AT_ONCE = 512  # of a model; any number is learned, in as many models as it takes
 UNKNOWN = "und"
 PIECE_BYTES = 1 << 19
 
@@ -81,17 +82,17 @@ class Model:
     weights: np.ndarray  # languages x buckets, log-probabilities
     prior: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the likeliest language, its logarithm, the sum of all relative to it, and whether there is a letter."""
         bucket, owner, lettered = grams(texts)
         totals = np.tile(self.prior[:, None], (1, len(texts)))
         for row, weights in zip(totals, self.weights, strict=True):
             row += np.bincount(owner, weights=weights[bucket], minlength=len(texts))
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts)), np.zeros(len(texts), bool)
         best = totals.argmax(0)  # of equal ones the first in alphabetical order
-        score = 1 / np.exp(totals - totals.max(0)).sum(0)
-        names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, np.where(lettered, score, 0.0)
+        top = totals.max(0)
+        return np.array(self.languages, object)[best], top, np.exp(totals - top).sum(0), lettered
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,51 +112,74 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, learned: Column) -> Model:
-    """A model from the rows where `learned` holds; it needs the columns doc_id, text and lang."""
+def fit(docs: DataFrame, learned: Column) -> Iterator[Model]:
+    """Models of LANGUAGES_AT_ONCE languages each, in alphabetical order, from the rows where `learned` holds.
+
+    `docs` has the columns doc_id, text and lang. Priors are those among all languages; without any there is one empty model.
+    """
     rows = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    of_language = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")), "language-rows")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < SAMPLE_PER_LANGUAGE / n))
-    sample = rows.where(chosen).select("text", F.col("lang").cast("string").alias("lang"))
+    sample = rows.join(small_broadcast(of_language), "lang").where(draw < SAMPLE_PER_LANGUAGE / F.col("n_rows")).select("text", "lang")
     counted = sample.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # at most languages x buckets
-    languages = sorted(set(table.column("lang").to_pylist()))
-    counts = np.full((len(languages), 1 << BUCKET_BITS), SMOOTHING)
-    place = {lang: i for i, lang in enumerate(languages)}
-    at = np.array([place[x] for x in table.column("lang").to_pylist()], int)
-    counts[at, table.column("bucket").to_numpy()] += table.column("n").to_numpy()
-    prior = np.log(np.array([sizes[x] for x in languages], float) / max(1, sum(sizes[x] for x in languages)))
-    return Model(languages, np.log(counts / counts.sum(1, keepdims=True)), prior)
+    counted = written(counted, "language-counts")
+    used = of_language.join(counted.select("lang").distinct(), "lang", "left_semi")
+    sizes = {r["lang"]: r["n_rows"] for r in used.collect()}
+    names, total = sorted(sizes), max(1, sum(sizes.values()))
+    for first in range(0, max(1, len(names)), LANGUAGES_AT_ONCE):
+        languages = names[first : first + LANGUAGES_AT_ONCE]
+        counts = np.full((len(languages), 1 << BUCKET_BITS), SMOOTHING)
+        if languages:
+            table = counted.where(F.col("lang").between(languages[0], languages[-1])).toArrow()  # at most languages x buckets
+            place = {lang: i for i, lang in enumerate(languages)}
+            at = np.array([place[x] for x in table.column("lang").to_pylist()], int)
+            counts[at, table.column("bucket").to_numpy()] += table.column("n").to_numpy()
+        prior = np.log(np.array([sizes[x] for x in languages], float) / total)
+        yield Model(languages, np.log(counts / counts.sum(1, keepdims=True)), prior)
 
 
 _MODELS: dict[str, Model] = {}
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
-    """(`docs` with a struct column, its name): lang_pred and score of each whole text.
-
-    A null, empty or letterless text is `und` with score 0, as is every text when nothing was learned. Ties go to
-    the first language in alphabetical order. The score is the posterior probability of the prediction.
-    """
+def _identified(spark: SparkSession, docs: DataFrame, model: Model, earlier: str | None) -> tuple[DataFrame, str]:
+    """`docs` with the judgement of `model`, joined with that of the models before it in the column `earlier`."""
     sent, key, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex, free_name(docs, "language")
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list:
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = sent.value
-        return list(_MODELS[key].predict(_texts(data, offsets)))
+        names, top, rest, lettered = _MODELS[key].judged(_texts(data, offsets))
+        if earlier is not None:
+            old_names, _, old_top, old_rest = rows.column(earlier).flatten()
+            old_names, old_top, old_rest = np.array(old_names.to_pylist(), object), old_top.to_numpy(), old_rest.to_numpy()
+            both = np.maximum(top, old_top)
+            rest = rest * np.exp(top - both) + old_rest * np.exp(old_top - both)
+            names, top = np.where(top > old_top, names, old_names), both
+        return [pa.array(np.where(lettered, names, UNKNOWN), pa.string()), np.where(lettered, 1 / rest, 0.0), top, rest]
 
-    return annotated(docs, name, "lang_pred string, score double", work, PIECE_BYTES), name
+    found = annotated(docs, name, "lang_pred string, score double, top double, rest double", work, PIECE_BYTES)
+    return (found if earlier is None else found.drop(earlier)), name
+
+
+def identify(spark: SparkSession, docs: DataFrame, models: Iterator[Model]) -> tuple[DataFrame, str]:
+    """(`docs` with a struct column, its name): lang_pred and score of each whole text.
+
+    A null, empty or letterless text is `und` with score 0, as is every text when nothing was learned. Ties go to
+    the first language in alphabetical order. The score is the posterior probability of the prediction among the languages
+    of all models. Each model after the first is a pass over a written table, so a worker holds one model.
+    """
+    found, name = docs, None
+    for model in models:
+        if name is not None:
+            found = written(found, "languages")
+        found, name = _identified(spark, found, model, name)
+    return found.withColumn(name, F.struct(f"{name}.lang_pred", f"{name}.score")), name
 
 
 def predicted_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from rows that are not held out."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    model = fit(docs, ~held_out(3, 1))
-    named, name = identify(spark, docs.select("doc_id", "text"), model)
+    named, name = identify(spark, docs.select("doc_id", "text"), fit(docs, ~held_out(3, 1)))
     return named.select("doc_id", held_out(3, 1).alias("held_out"), f"{name}.lang_pred", f"{name}.score")
