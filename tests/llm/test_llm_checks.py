@@ -11,6 +11,6 @@ def test_sql(name, spark, sf_dir):
     assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), CHECKS[name]) is None
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_one_query_each(number):
     assert sum(name.startswith(f"op{number}_") for name in QUERIES) == 1
