@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import byte_bpe, checks, decontaminate, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
+from textprep.llm import byte_bpe, checks, decontaminate, hard_negatives, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {
     "op2_suffix_decontamination": checks.DECONTAMINATION,
     "op3_minhash_near_dedup": checks.NEAR_DUPLICATES,
     "op6_host_rules": checks.HOST_RULES,
+    "op11_threshold_negatives": checks.HARD_NEGATIVES,
 }
 
 
@@ -94,3 +95,10 @@ def op9_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(spark, _table(spark, folder, "documents"), *byte_vocabulary())
+
+
+@_query
+def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, folder, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
