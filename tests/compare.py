@@ -43,7 +43,7 @@ def compare(df, con, sql: str) -> str | None:
     expected = cursor.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
-    wide = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+    wide = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
     types = {d[0]: wide.get(str(d[1]), str(d[1])) for d in cursor.description}
     differing = {c: (t, types[c]) for c, t in df.dtypes if types[c] != t}
     got, want = rows_of(df.columns, df.collect()), rows_of(names, expected)
