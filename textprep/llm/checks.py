@@ -74,3 +74,16 @@ found AS (SELECT p.anchor_id, positive_id, positive_score, s.other_id AS negativ
           FROM positives AS p JOIN scores AS s ON s.anchor_id = p.anchor_id AND NOT s.same
            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3"""
+
+VECTOR_DUPLICATES = """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM rows AS a JOIN rows AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+          AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.y FROM reached AS r JOIN links AS l ON l.x = r.other),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least_id AS component_id, e.vec_id = least_id AS kept
+FROM embeddings AS e JOIN (SELECT vec_id, min(other) AS least_id FROM reached GROUP BY vec_id) AS m USING (vec_id)
+LEFT JOIN counts ON x = e.vec_id"""

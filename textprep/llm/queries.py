@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import byte_bpe, checks, decontaminate, hard_negatives, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity
+from textprep.llm import byte_bpe, checks, decontaminate, hard_negatives, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {
@@ -15,6 +15,7 @@ CHECKS: dict[str, str] = {
     "op3_minhash_near_dedup": checks.NEAR_DUPLICATES,
     "op6_host_rules": checks.HOST_RULES,
     "op11_threshold_negatives": checks.HARD_NEGATIVES,
+    "op12_tiled_vector_dedup": checks.VECTOR_DUPLICATES,
 }
 
 
@@ -102,3 +103,8 @@ def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = _table(spark, folder, "embeddings").withColumn("label", label)
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op12_tiled_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.vector_duplicates(_table(spark, folder, "embeddings"))
