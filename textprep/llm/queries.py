@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import byte_bpe, checks, decontaminate, hard_negatives, host_rules, language, main_text, near_dedup, passages, quality, token_store, toxicity, vector_dedup
+from textprep.llm import byte_bpe, checks, decontaminate, hard_negatives, host_rules, language, main_text, near_dedup, passages, prefix_trie, quality, token_store, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {
@@ -16,6 +16,7 @@ CHECKS: dict[str, str] = {
     "op6_host_rules": checks.HOST_RULES,
     "op11_threshold_negatives": checks.HARD_NEGATIVES,
     "op12_tiled_vector_dedup": checks.VECTOR_DUPLICATES,
+    "op13_rollup_trie": checks.PREFIX_TRIE,
 }
 
 
@@ -108,3 +109,10 @@ def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op12_tiled_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.vector_duplicates(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_rollup_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, convs = prefix_trie.numbered_turns(_table(spark, folder, "conversations"))
+    head, shared = F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns, convs, head, shared, most=5))
