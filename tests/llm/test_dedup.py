@@ -280,3 +280,20 @@ def test_longest_match(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = decontaminate.contamination(spark, docs, benchmark).first()
     assert row.longest == 25 and {tuple(f) for f in row.found} == {(9, 5, 2, 25), (9, 20, 28, 16)}
+
+
+def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """A hub's variants: few pairs are verified for each text, whatever their number."""
+    verified, counted = near_dedup._verified, []
+
+    def counting(pairs, sets):
+        counted.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_verified", counting)
+    for variants in (200, 400, 800):
+        counted.clear()
+        rows = hub_rows(variants, at=variants // 2)
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r.component_id for r in found} == {1000}
+        assert sum(counted) <= 10 * variants, counted  # of all pairs: 19,900, 79,800 and 319,600

@@ -9,12 +9,29 @@ from textprep.session import shared_path
 # Rows of at most three numbers: a broadcast of this many stays below about 64 MB on every executor.
 MAX_BROADCAST_ROWS = 1_000_000
 
+_MADE = "_handoff_folder"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe from the loss of executors."""
     path = shared_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__[_MADE] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove hand-offs that nothing reads any more, since what follows from them is written.
+
+    Only what `written` returned itself can be removed; other DataFrames are left alone.
+    """
+    for table in tables:
+        made = table.__dict__.pop(_MADE, None)
+        if made is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -48,10 +65,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # small star: smaller neighbours, and the node itself, go to the least of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(
+        earlier, edges = edges, written(
             small.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-{steps}"
         )
         after = signature(edges)
+        discard(earlier)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), f"{name}-found")
+            discard(edges)
+            return found
         before = after
