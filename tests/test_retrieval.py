@@ -201,7 +201,7 @@ def test_a_block_is_sent_only_where_a_query_needs_it(spark, data):
     chunks = retrieval._chunks_of_cells(visits, {0: 100, 1: 100, 2: 100}, 4)
     assert chunks == {0: 3, 2: 1}
     docs = spark.createDataFrame([(i, [1.0], i % 3) for i in range(30)], "doc_id long, embedding array<float>, cell int")
-    placed, asked = retrieval._place(docs, visits, {0: 1, 1: 1, 2: 2}, chunks, "embedding")
+    placed, asked = retrieval._place(docs, visits, {0: 1, 1: 1, 2: 2}, chunks)
     assert placed.count() == 3 * 10 + 10 and asked.count() == 10 + 2
 
 

@@ -130,20 +130,17 @@ def _keep_best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _join_blocks(docs: DataFrame, queries: DataFrame, search) -> DataFrame:
+def _join_blocks(docs: DataFrame, queries: DataFrame, search, schema: str = _CANDIDATE) -> DataFrame:
     keys = ["cell", "block", "chunk"]
-    return docs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, _CANDIDATE)
+    return docs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, schema)
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots and the extent of their cells: bounded by PIVOT_BYTES, whatever the corpus size.
-
-    The last cell has no pivot: it holds vectors without a direction, which every query must see.
-    """
+    """Pivots and the extent of their cells: bounded by PIVOT_BYTES, whatever the corpus size."""
 
     pivots: np.ndarray
-    counts: np.ndarray  # one more entry than pivots
+    counts: np.ndarray
     radius: np.ndarray  # largest distance of a member from its pivot
     near: np.ndarray  # distance of the k-th nearest member, inf when there are fewer
     block_rows: int
@@ -154,14 +151,12 @@ class Cells:
     def reachable(self, query_vectors: np.ndarray) -> np.ndarray:
         """Which cells may hold one of the k nearest members of each query."""
         to_pivot = np.sqrt(_squared_l2(query_vectors, self.pivots))
-        to_pivot = np.hstack([to_pivot, np.zeros((len(to_pivot), 1))])
         bound = (to_pivot + self.near[None, :]).min(axis=1)
         occupied = self.counts[None, :] > 0
         return occupied & (to_pivot - self.radius[None, :] <= bound[:, None] + _SLACK)
 
     def nearest(self, query_vectors: np.ndarray, probes: int) -> np.ndarray:
         to_pivot = _squared_l2(query_vectors, self.pivots)
-        to_pivot = np.hstack([to_pivot, np.zeros((len(to_pivot), 1))])
         to_pivot[:, self.counts == 0] = np.inf
         mask = np.zeros(to_pivot.shape, dtype=bool)
         closest = np.argsort(to_pivot, axis=1, kind="stable")[:, :probes]
@@ -170,16 +165,11 @@ class Cells:
 
 
 def assign_cells(
-    corpus: DataFrame,
-    pivots: np.ndarray,
-    space=lambda x, is_query: x,
-    with_vectors: bool = True,
-    zeros_apart: bool = False,
+    corpus: DataFrame, pivots: np.ndarray, space=lambda x, is_query: x, with_vectors: bool = True
 ) -> DataFrame:
     """Each document's cell and its distance to the pivot, in one narrow pass.
 
-    Without vectors only (cell, reach) leave the Python worker.  With `zeros_apart`, zero vectors
-    fall into the cell after the last pivot.
+    Without vectors only (cell, reach) leave the Python worker.
     """
     kept = ["doc_id", "embedding"] if with_vectors else []
 
@@ -190,8 +180,6 @@ def assign_cells(
                 distance = _squared_l2(space(vectors, False), pivots)
                 cell = distance.argmin(axis=1)
                 reach = np.sqrt(distance[np.arange(len(cell)), cell])
-                if zeros_apart:
-                    cell[~vectors.any(axis=1)] = len(pivots)
                 columns = [*[batch.column(c) for c in kept], pa.array(cell, pa.int32()), pa.array(reach)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "cell", "reach"])
 
@@ -213,13 +201,12 @@ def measure_cells(reaches: DataFrame, pivots: np.ndarray, k: int, block_rows: in
     nearest = reaches.withColumn("n", order).where(F.col("n") <= k)
     kth = nearest.groupBy("cell").agg(F.max("reach").alias("near"), F.max("n").alias("n"))
     extent = reaches.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.max("reach").alias("radius"))
-    size = len(pivots) + 1
+    size = len(pivots)
     counts, radius, near = np.zeros(size), np.zeros(size), np.full(size, np.inf)
     for row in extent.join(kth, "cell").collect():  # one row per pivot
         counts[row["cell"]], radius[row["cell"]] = row["count"], row["radius"]
         if row["n"] >= k:
             near[row["cell"]] = row["near"]
-    radius[-1], near[-1] = np.inf, np.inf  # never left out, and no bound for the others
     reaches.unpersist()
     return Cells(pivots, counts, radius, near, block_rows)
 
@@ -253,30 +240,36 @@ def _chunks_of_cells(visits: DataFrame, blocks: dict[int, int], chunk_rows: int)
     return {c: max(math.ceil(n / chunk_rows), min(idle, math.ceil(n / _TILE))) for c, n in visited.items()}
 
 
-def _by_cell(values: dict[int, int]) -> Column:
-    table = [0] * (max(values, default=0) + 1)
-    for cell, value in values.items():
-        table[cell] = value
-    return F.coalesce(F.get(F.array(*[F.lit(int(v)) for v in table]), F.col("cell")), F.lit(0))
-
+def _place(
+    docs: DataFrame,
+    visits: DataFrame,
+    blocks: dict[int, int],
+    chunks: dict[int, int],
+    doc_payload: tuple[str, ...] = ("embedding",),
+    query_payload: tuple[str, ...] = ("embedding",),
+):
+    """Documents and queries keyed by (cell, block, chunk); only keys that some query holds get documents.
 
-def _place(docs: DataFrame, visits: DataFrame, blocks: dict[int, int], chunks: dict[int, int], payload: str):
-    """Documents and queries keyed by (cell, block, chunk); only keys that some query holds get documents."""
-    block_count, chunk_count = _by_cell({c: blocks[c] for c in chunks}), _by_cell(chunks)
-    placed_docs = docs.where(F.col("cell").isin(list(chunks))).select(
+    The cells' blocks and chunks are a broadcast table of three numbers for each visited cell, at most one row
+    per pivot, so the plan does not grow with the cells.
+    """
+    columns = ([int(v) for v in part] for part in (chunks, (blocks[c] for c in chunks), chunks.values()))
+    rows = pa.table([pa.array(c, pa.int32()) for c in columns], ["cell", "n_blocks", "n_chunks"])
+    cells = F.broadcast(docs.sparkSession.createDataFrame(rows))
+    placed_docs = docs.join(cells, "cell").select(
         "doc_id",
-        payload,
+        *doc_payload,
         "cell",
-        F.pmod(F.xxhash64("doc_id"), block_count).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), chunk_count - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
     )
-    exploded = visits.select("query_id", payload, F.explode("cells").alias("cell"))
+    exploded = visits.select("query_id", *query_payload, F.explode("cells").alias("cell")).join(cells, "cell")
     placed_queries = exploded.select(
         "query_id",
-        payload,
+        *query_payload,
         "cell",
-        F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), chunk_count).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("query_id"), F.col("n_chunks")).cast("int").alias("chunk"),
     )
     return placed_docs, placed_queries
 
@@ -333,7 +326,7 @@ def _extent(vectors: DataFrame, id_col: str, need_length: bool = False) -> tuple
 
 
 def _undirected(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """Candidates of zero queries: every cosine is 0, so the smallest ids are the nearest."""
+    """Candidates where one side is zero: every cosine is 0, so the smallest ids of `corpus` are the nearest."""
     first = corpus.select(F.col("doc_id").cast("long")).orderBy("doc_id").limit(k + 1).collect()  # k + 1 rows
     ids = F.array(*[F.lit(row["doc_id"]) for row in first]).cast("array<long>")
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(ids).alias("doc_id"), F.lit(0.0).alias("score"))
@@ -365,34 +358,49 @@ def knn(
     block_rows = block_rows or max(1, BLOCK_BYTES // (8 * width))
     chunk_rows = chunk_rows or block_rows
     how = _metric(metric, longest)
-    n_pivots = max(1, min(PIVOT_BYTES // (8 * width), _CELLS_PER_BLOCK * math.ceil(n_docs / block_rows)))
     wanted = k + 1 if exclude_self else k
-    extra = None
     if n_docs <= block_rows:  # one block: nothing to prune
-        slim = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<float>"))
-        assigned, blocks = slim.withColumn("cell", F.lit(0)), {0: 1}
-
-        def visit(vectors):
-            return np.ones((len(vectors), 1), dtype=bool)
-
-    else:
-        zeros_apart = metric == "cosine"
-        pivots = _pivots(corpus, n_pivots, n_docs, how.space, seed)
-        assigned = assign_cells(corpus, pivots, how.space, zeros_apart=zeros_apart)
-        reaches = assign_cells(corpus, pivots, how.space, with_vectors=False, zeros_apart=zeros_apart)
-        cells = measure_cells(reaches, pivots, wanted, block_rows)
-        visit, blocks = cells.reachable, dict(enumerate(cells.blocks().tolist()))
-        if zeros_apart:
-            directed = F.exists("embedding", lambda x: x != 0)
-            extra = _undirected(queries.where(~directed), corpus, k, exclude_self)
-            queries = queries.where(directed)
-    visits = _visits(queries, how.space, visit)
+        candidates = _one_block(queries, corpus, _search_vectors(how.score, k, exclude_self), n_queries, chunk_rows)
+        return _finish(candidates, k, how.descending)
+    n_pivots = max(1, min(PIVOT_BYTES // (8 * width), _CELLS_PER_BLOCK * math.ceil(n_docs / block_rows)))
+    corpus = _handed_off(corpus)  # read for the pivots, the cells' extents and the search
+    extra = None
+    if metric == "cosine":
+        directed = F.exists("embedding", lambda x: x != 0)
+        extra = _undirected(queries.where(~directed), corpus, k, exclude_self)
+        queries, zeros, corpus = queries.where(directed), corpus.where(~directed), corpus.where(directed)
+        extra = extra.unionByName(_undirected(queries, zeros, k, exclude_self))
+    pivots = _pivots(corpus, n_pivots, n_docs, how.space, seed)
+    assigned = assign_cells(corpus, pivots, how.space)
+    cells = measure_cells(assign_cells(corpus, pivots, how.space, with_vectors=False), pivots, wanted, block_rows)
+    blocks = dict(enumerate(cells.blocks().tolist()))
+    visits = _visits(queries, how.space, cells.reachable)
     chunks = _chunks_of_cells(visits, blocks, chunk_rows)
-    docs, placed = _place(assigned, visits, blocks, chunks, "embedding")
-    candidates = _join_blocks(docs, placed, _search_vectors(how.score, k, exclude_self))
+    candidates = _join_blocks(*_place(assigned, visits, blocks, chunks), _search_vectors(how.score, k, exclude_self))
     return _finish(candidates if extra is None else candidates.unionByName(extra), k, how.descending)
 
 
+def _handed_off(corpus: DataFrame) -> DataFrame:
+    """(doc_id, embedding) as a table of its own, so that a costly upstream plan, e.g. an encoder, runs once."""
+    path = shared_path(corpus.sparkSession, "vectors")
+    corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<float>")).write.parquet(path)
+    return corpus.sparkSession.read.schema("doc_id long, embedding array<float>").parquet(path)
+
+
+def _one_block(queries: DataFrame, corpus: DataFrame, search, n_queries: int, chunk_rows: int) -> DataFrame:
+    """All documents against the queries, which are divided among the cores."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, math.ceil(n_queries / chunk_rows), min(cores, math.ceil(n_queries / _TILE)))
+    vector, zero = F.col("embedding").cast("array<float>").alias("embedding"), F.lit(0)
+    docs = corpus.select(
+        F.col("doc_id").cast("long"), vector, zero.alias("cell"), zero.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+    )
+    chunk = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(chunks)).cast("int").alias("chunk")
+    asked = queries.select(F.col("query_id").cast("long"), vector, zero.alias("cell"), zero.alias("block"), chunk)
+    return _join_blocks(docs, asked, search)
+
+
 # --- persisted centroid partitions ------------------------------------------------------------------
 
 
@@ -457,7 +465,7 @@ def search_index(
     if probes is None:
         cells = measure_cells(assigned, pivots, k + 1 if exclude_self else k, block_rows)
     else:  # the extents written with the index will do
-        counts, radius = np.array([[row["n"], row["radius"]] for row in centers] + [[0, np.inf]]).T
+        counts, radius = np.array([[row["n"], row["radius"]] for row in centers]).T
         cells = Cells(pivots, counts, radius, np.full(len(counts), np.inf), block_rows)
 
     def visit(vectors: np.ndarray) -> np.ndarray:
@@ -466,8 +474,9 @@ def search_index(
     visits = _visits(queries, lambda x, is_query: x, visit)
     blocks = dict(enumerate(cells.blocks().tolist()))
     chunks = _chunks_of_cells(visits, blocks, chunk_rows)
-    docs, placed = _place(assigned, visits, blocks, chunks, "embedding")
-    found = _join_blocks(docs, placed, _search_vectors(_squared_l2, k, exclude_self))
+    if len(chunks) < int((cells.counts > 0).sum()):
+        assigned = assigned.where(F.col("cell").isin(list(chunks)))  # folders of other cells are not read
+    found = _join_blocks(*_place(assigned, visits, blocks, chunks), _search_vectors(_squared_l2, k, exclude_self))
     return _finish(found, k, False)
 
 
@@ -573,7 +582,7 @@ def knn_jaccard(
 
     def search(visits: DataFrame) -> DataFrame:
         chunks = _chunks_of_cells(visits, blocks, chunk_rows)
-        return _join_blocks(*_place(docs, visits, blocks, chunks, "words"), _search_sets(k))
+        return _join_blocks(*_place(docs, visits, blocks, chunks, ("words",), ("words",)), _search_sets(k))
 
     classes = F.array(*[F.lit(c) for c in sorted(blocks)])
     home = F.filter(classes, lambda c: c == F.col("home"))

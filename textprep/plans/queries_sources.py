@@ -34,21 +34,30 @@ def _(t):
     return table.select("doc_id", "lang", "source", "n_chars", F.length("text").alias("chars"))
 
 
-@query(
-    "source_json",
-    """SELECT question_type, question_body, array_to_string(question_options, '|') AS options,
-              question_answer FROM v_mixed""",
-    views=("v_mixed",),
-)
-def _(t):
+_MIXED = """SELECT question_type, question_body, array_to_string(question_options, '|') AS options,
+                   question_answer FROM v_mixed"""
+
+
+def _mixed_records(t, **how):
     path = shared_path(t.spark, "mixed-json")
     files.write_json_arrays(t.v_mixed, path, "row_id")
-    records = files.read_json_array(t.spark, path, MIXED_QUESTION)
+    records = files.read_json_array(t.spark, path, MIXED_QUESTION, **how)
     return records.select(
         "question_type", "question_body", F.array_join("question_options", "|").alias("options"), "question_answer"
     )
 
 
+@query("source_json", _MIXED, views=("v_mixed",))
+def _(t):
+    return _mixed_records(t)
+
+
+@query("source_json_split", _MIXED, views=("v_mixed",))
+def _(t):
+    """The same with every array read in byte ranges."""
+    return _mixed_records(t, split_above=0)
+
+
 _TEMPLATE = "concat('About ', p_brand, ':\\n\\n<question>\\nAnswer:')"
 
 

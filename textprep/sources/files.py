@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from textprep.sources import json_splits
+
 # Text cells hold newlines, quotes and commas; nothing is trimmed, "" and NULL are one value.
 _CSV = {
     "header": "true",
@@ -18,12 +20,22 @@ _CSV = {
 }
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_array(
+    spark: SparkSession, path: str, schema: T.StructType, split_above: int = json_splits.SPLIT_ABOVE
+) -> DataFrame:
     """Files that each hold one JSON array of records; a number in a text field arrives as text.
 
-    One array cannot be split, so a file is the unit of work: large inputs come as a folder of arrays.
+    A file of more than `split_above` bytes is read in ranges by many tasks, any other by one.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    large = json_splits.large_files(spark, path, split_above)
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    if not large:
+        return whole
+    records = json_splits.array_records(spark, large).select(F.from_json("text", schema).alias("r")).select("r.*")
+    listed = spark.createDataFrame([(p,) for p in large], "large_file string")
+    rest = whole.withColumn("large_file", F.col("_metadata.file_path"))
+    rest = rest.where(~F.col("large_file").isin(large)) if len(large) <= 1000 else rest.join(listed, "large_file", "left_anti")
+    return rest.drop("large_file").unionByName(records)
 
 
 def write_json_arrays(
