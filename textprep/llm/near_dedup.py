@@ -6,8 +6,8 @@ sets of similarity s meet in some table with probability (1 - (1 - s^k)^a)^2, wh
 and a = 32. Two documents share a table if they share a half-key of either collection, so tables are not written
 out: documents meet by a left half-key, and a pair is verified only if it has a right one in common.
 
-Families of copies are joined first, through few pairs: under every left half-key one leader is compared with
-members that it resembles most. Then every pair that still lies in two components is settled. Four bits of each of the
+Families of copies are joined first, through few pairs: every document is compared with those leaders of its left
+half-keys that it resembles most. Then every pair that still lies in two components is settled. Four bits of each of the
 256 minima, as 1,024 bits beside the half-keys, tell from a pair's rows alone how many minima agree; pairs
 with fewer than 162 matches are left out of verification. At a similarity of 0.75 that loses a pair with a
 probability of 7e-7, less than the tables do; of pairs at 0.5 it lets one in a thousand through.
@@ -30,7 +30,7 @@ HALF_KEYS = 32  # a
 MINIMA = 4  # k
 NUMERATOR, DENOMINATOR = 75, 100
 CLASS = ("n_shingles", "set_1", "set_2")  # the key of equal sets
-WAVES = 2  # of leaders, before all remaining pairs are settled
+NEAREST = 3  # leaders that a document is compared with, before all remaining pairs are settled
 PLANES = 4  # bits kept of each minimum
 LEAST_MATCHES = 162  # of the 2 * a * k minima, for a pair to be verified
 
@@ -189,18 +189,18 @@ def _pair(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _led(rows: DataFrame, wave: int) -> DataFrame:
-    """At most one pair for each document: with the leader of its half-keys, in another component, that is most alike.
+def _led(rows: DataFrame) -> DataFrame:
+    """At most NEAREST pairs for each document: with the leaders of its half-keys that are most alike.
 
-    The leader of a half-key is its most central holder in the first wave, and one drawn by hash later on.
+    The leader of a half-key is its most central holder: of a family made from one text, most likely that text.
     """
-    place = F.struct("central", "doc") if wave == 0 else F.struct(F.xxhash64(F.lit(wave), "doc").alias("central"), "doc")
-    leader = F.max_by(F.struct("doc", "n_shingles", "sketch", "component"), place).alias("leader")
-    led = rows.join(rows.groupBy("key").agg(leader), "key").where("component <> leader.component")
+    leader = F.max_by(F.struct("doc", "n_shingles", "sketch"), F.struct("central", "doc")).alias("leader")
+    led = rows.join(rows.groupBy("key").agg(leader), "key").where("doc <> leader.doc")
     led = led.where(_alike("n_shingles", "leader.n_shingles", "sketch", "leader.sketch"))
-    nearest = F.struct(_mismatches("sketch", "leader.sketch").alias("n"), F.col("leader.doc").alias("doc"))
-    led = led.select("doc", nearest.alias("near")).groupBy("doc").agg(F.min("near").alias("near"))
-    return led.select(*_pair("near.doc", "doc")).distinct()
+    nearest = F.struct(_mismatches("sketch", "leader.sketch").alias("n"), F.col("leader.doc").alias("leader"))
+    led = led.select("doc", nearest.alias("near")).groupBy("doc").agg(F.sort_array(F.collect_set("near")).alias("near"))
+    led = led.select("doc", F.explode(F.slice("near", 1, NEAREST)).alias("near"))  # of one leader per half-key
+    return led.select(*_pair("near.leader", "doc")).distinct()
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -230,21 +230,16 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of all classes (doc) that similar pairs of the tables join."""
     members = _members(classes)
     sets = _full_sets(members, classes, docs)
-    tested, links, found = None, None, None
-    for wave in range(WAVES + 1):
-        labelled = members.withColumn("component", F.col("doc"))
-        if found is not None:
-            labelled = members.join(found, F.col("doc") == F.col("node"), "left")
-            labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
-        rows = labelled.select(F.explode("us").alias("key"), "doc", "n_shingles", "sketch", "component", "central")
-        pairs = written(_led(rows, wave) if wave < WAVES else _unsettled(rows), "pairs")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = _verified(pairs, sets)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = fresh if links is None else links.union(fresh)
-        if found is None or not fresh.isEmpty():
-            found = components(links, "components")
+    def rows(labelled: DataFrame) -> DataFrame:
+        return labelled.select(F.explode("us").alias("key"), "doc", "n_shingles", "sketch", "component", "central")
+
+    led = written(_led(rows(members.withColumn("component", F.col("doc")))), "led")
+    found = components(_verified(led, sets), "components")
+    labelled = members.join(found, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
+    rest = _unsettled(rows(labelled))
+    links = _verified(rest.join(led, ["a", "b"], "left_anti"), sets)
+    if not links.isEmpty():
+        found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "components")
     discard(sets, members)
     return found
 

@@ -45,33 +45,27 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Alternating large and small stars; each step joins on node ids only and is written to the shared folder.
     A hub with very many edges is one key of a sort-merge join, which adaptive execution splits.
     """
-    steps = 0
-    edges = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-        f"{name}-0",
-    )
-
-    def signature(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = signature(edges)
-    while True:
-        steps += 1
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges = written(edges, f"{name}-edges")
+
+    def stars(df: DataFrame) -> bool:
+        """Whether every node has one edge, to a node that has none: its component."""
+        ends = df.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("led"))
+        ends = ends.union(df.select("b", F.lit(0), F.lit(1))).groupBy("n").agg(F.sum("out").alias("out"), F.max("led").alias("led"))
+        return ends.where("out > 1 OR (out = 1 AND led = 1)").isEmpty()
+
+    while not stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours go to the least of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: smaller neighbours, and the node itself, go to the least of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         earlier, edges = edges, written(
-            small.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-{steps}"
+            small.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-edges"
         )
-        after = signature(edges)
         discard(earlier)
-        if after == before:
-            found = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), f"{name}-found")
-            discard(edges)
-            return found
-        before = after
+    found = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), name)
+    discard(edges)
+    return found
