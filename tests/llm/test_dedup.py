@@ -282,6 +282,23 @@ def test_longest_match(spark):
     assert row.longest == 25 and {tuple(f) for f in row.found} == {(9, 5, 2, 25), (9, 20, 28, 16)}
 
 
+def test_maps_and_minima_let_links_pass(spark):
+    """Pairs at and above the limit, short and long, are alike by their rows; far ones are not."""
+    random, pairs = np.random.default_rng(9), []
+    for n in (4, 20, 130, 900, 5_000):
+        for changed in (0, n // 20, n // 8, n // 2):
+            one = random.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            two = np.concatenate([one[changed:], random.integers(0, 2**63, changed).astype(np.uint64)])
+            one, two = np.unique(one), np.unique(two)
+            both = len(np.intersect1d(one, two))
+            _, rows = near_dedup._half_keys([one, two])
+            pairs.append((len(one), len(two), *(r.view(np.int64).tolist() for r in rows), 100 * both >= 75 * (len(one) + len(two) - both), changed * 2 < n))
+    frame = spark.createDataFrame(pairs, "n int, m int, x array<bigint>, y array<bigint>, linked boolean, near boolean")
+    alike = frame.select("linked", "near", near_dedup._alike("n", "m", "x", "y").alias("alike")).collect()
+    assert sum(r.linked for r in alike) >= 12
+    assert all(r.alike for r in alike if r.linked) and not any(r.alike for r in alike if not r.near)
+
+
 def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
     """A hub's variants: few pairs are verified for each text, whatever their number."""
     verified, counted = near_dedup._verified, []
