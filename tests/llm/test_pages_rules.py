@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -37,7 +38,7 @@ def test_other_layouts(model):
     """Pages of forms that the trees have not seen: nearly all text nodes are judged right."""
     draw, forest = random.Random(12345), Forest()
     for _ in range(150):
-        forest.add(main_text._layout(draw, ["some", "other", "words.", "here"]))
+        forest.add(main_text._layout(draw, ["some", "other", "words.", "here"]), labelled=True)
     truth, kept = main_text._labels(forest), model.kept(forest)
     nodes = np.unique(forest.text_node)
     nodes = nodes[np.array(forest.depth)[nodes] > 0]
@@ -48,7 +49,7 @@ def test_decoding_is_consistent(model):
     forest = Forest()
     draw = random.Random(7)
     for _ in range(50):
-        forest.add(main_text._layout(draw, ["a", "b"]))
+        forest.add(main_text._layout(draw, ["a", "b"]), labelled=True)
     kept, parent = model.kept(forest), np.array(forest.parent)
     assert not (kept & ~kept[parent]).any()
 
@@ -89,6 +90,34 @@ def test_hidden_by_attributes_only():
             assert ("".join(forest.text) == "beforeits textafter") == (attributes in seen), attributes
 
 
+def test_marks_of_training_are_read_in_training_only():
+    for value in ("yes", "", "0", "1.5", "0x1", "-1"):
+        forest = Forest()
+        forest.add(f"<article data-main='{value}'><p data-main=\"{value}\">text</p></article>")
+        assert set(forest.label) == {-1} and forest.text == ["text"]
+
+
+def test_broken_pages_take_time_by_their_length():
+    """100,000 nested elements, a megabyte without a tag's end, quotes that never close, ends of nothing."""
+    pages = {
+        "nested": "<div>" * 100_000, "mixed": "<p><b><li>" * 40_000, "unterminated": "<a b " * 200_000, "quotes": '<a b=">" ' * 60_000,
+        "one quote": "<a b='x>" * 100_000, "ends": "<b>" * 40_000 + "<div>" * 40_000 + "</b>" * 40_000, "of nothing": "<div>" * 20_000 + "</i></zz>" * 60_000,
+        "comments": "<!-- " * 100_000, "declared": "<!x " * 100_000,
+    }
+    for name, page in pages.items():
+        start = time.process_time()
+        forest = Forest()
+        forest.add(page + "end")
+        assert time.process_time() - start < 10, name
+    assert Forest().pages == 0
+
+
+def test_text_of_pictures_and_players(model):
+    extra = "<svg><text>A label</text></svg><video>no video <track></video><canvas>drawn</canvas><audio>no sound</audio>"
+    page = PAGE.replace("<p>Second", f"<p>Shown: {extra} here.<p>Second")
+    assert "Shown: A labelno video drawnno sound here." in model.texts([page])[0].split("\n\n")
+
+
 def test_math_and_object_text(model):
     page = PAGE.replace("<p>Second", "<p>The sum <math><mi>x</mi><mo>+</mo><mn>2</mn></math> is shown, <object data=a><param name=b>a fallback</object> too.<p>Second")
     assert page != PAGE and "The sum x+2 is shown, a fallback too." in model.texts([page])[0].split("\n\n")

@@ -286,7 +286,7 @@ def train(words: list[str], seed: int = 17) -> Model:
     words = sorted(set(words)) or ["text"]
     forest = Forest()
     for _ in range(LAYOUTS):
-        forest.add(_layout(draw, words))
+        forest.add(_layout(draw, words), labelled=True)
     y = _labels(forest)
     token, node = np.array(forest.token), np.array(forest.token_node)
     hits = [np.bincount(token[y[node] == v], minlength=ATTRIBUTE_BUCKETS) + 1.0 for v in (1, 0)]

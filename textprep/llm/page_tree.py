@@ -19,7 +19,7 @@ BLOCKS = set(
     "caption blockquote pre figure figcaption hr fieldset address details summary center dialog menu hgroup search legend".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style title textarea noscript iframe template xmp noembed noframes head svg select datalist canvas audio video".split())
+UNSEEN = set("script style title textarea noscript iframe template xmp noembed noframes head select".split())
 RAW = set("script style title textarea noscript iframe template xmp noembed noframes".split())
 CLOSED_BY = {  # an open element that the start of others ends, unless one of the barriers lies between
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -37,12 +37,9 @@ _TAG_PLACE = {t: i for i, t in enumerate(TAGS)}
 N_TAGS = len(TAGS) + 1  # the last is any other
 ATTRIBUTE_BUCKETS = 2048
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>"
-    r"|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>",
-    re.S,
-)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s>/]*))")
+_STOP = re.compile("[>\"']")
+_QUOTED_TRIES = 8  # tags whose quotes may run on to the end of the page before quotes are no longer heeded
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _GIVEN = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")  # with a value or without
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
@@ -63,6 +60,102 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """The tags of a page, one after another: (start, end, slash, name, attributes). A comment's or declaration's name is empty.
+
+    A tag ends at the first > outside of quotes, or, if there is none, at the first > at all. What follows the last > or the
+    last quote is known beforehand, so that broken tags are not looked through again and again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
+        self.tries = _QUOTED_TRIES
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at `at`; -1 without any."""
+        place, source = at, self.source
+        while self.tries and (stop := _STOP.search(source, place)):
+            place, mark = stop.end(), stop.group()
+            if mark == ">":
+                return place - 1
+            if place > self.last_quote[mark]:  # nothing closes it
+                break
+            place = source.index(mark, place) + 1
+            if place > self.last:
+                break
+        else:
+            return source.find(">", at)
+        self.tries -= 1
+        return source.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        source = self.source
+        while found := _START.search(source, at):
+            comment, declared, slash, name = found.groups()
+            if comment:
+                end = source.find("-->", found.end())
+                return found.start(), len(source) if end < 0 else end + 3, "", "", ""
+            if found.end() <= self.last:
+                end = source.find(">", found.end()) if declared else self._end(found.end())
+                attributes = "" if declared else source[found.end() : end]
+                return found.start(), end + 1, slash or "", "" if declared else name.lower(), attributes
+            at = found.end()
+        return None
+
+
+class _Open:
+    """The elements that are open, with the places of each name, so that none is looked for step by step."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int]] = [("", root)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.unseen = self.dead = 0
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names; 0 without any."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    @property
+    def top(self) -> tuple[str, int]:
+        return self.stack[-1]
+
+    @property
+    def depth(self) -> int:
+        return len(self.stack) - self.dead
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, node))
+        self.unseen += node < 0
+
+    def close(self, place: int) -> None:
+        """End the element at `place` and all in it."""
+        while len(self.stack) > place or self.stack[-1][0] == _ENDED:
+            name, node = self.stack.pop()
+            if name == _ENDED:
+                self.dead -= 1
+                continue
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.unseen -= node < 0
+
+    def end_inside(self, place: int) -> None:
+        """End an inline element alone; what began in it goes on."""
+        name, node = self.stack[place]
+        self.places[name].pop()
+        self.stack[place] = (_ENDED, node)
+        self.dead += 1
+        self.unseen -= node < 0
+
+
+_ENDED = "/"  # the name of no element
+
+
 @dataclass
 class Forest:
     """Nodes of some pages in document order; a page's first node is its root. Children follow their parents."""
@@ -81,8 +174,11 @@ class Forest:
     pages: int = 0
     runs: int = 0
 
-    def add(self, source: str) -> None:
-        """Parse one page. Unseen elements (scripts, styles, hidden ones) leave nothing."""
+    def add(self, source: str, labelled: bool = False) -> None:
+        """Parse one page, in time proportional to its length. Unseen elements (scripts, styles, hidden ones) leave nothing.
+
+        Of a page that is `labelled`, for training, the attribute data-main tells what is main text; else it is as any other.
+        """
         page, self.pages = self.pages, self.pages + 1
         self.runs += 1
         children: dict[int, int] = {}
@@ -99,78 +195,60 @@ class Forest:
 
         root = node("", -1, 0)
         self.parent[root] = root
-        stack: list[tuple[str, int]] = [("", root)]
-        at, size, unseen = 0, len(source), 0
-
-        def close(k: int) -> None:
-            nonlocal unseen
-            unseen -= sum(n < 0 for _, n in stack[k:])
-            del stack[k:]
+        tags, opened = _Tags(source), _Open(root)
+        at, size = 0, len(source)
 
         def say(text: str) -> None:
-            if not unseen and text:
-                self.text_node.append(stack[-1][1])
+            if not opened.unseen and text:
+                self.text_node.append(opened.top[1])
                 self.text_run.append(self.runs)
                 self.text.append(text)
 
         while at < size:
-            found = _TOKEN.search(source, at)
+            found = tags.after(at)
             if found is None:
                 say(source[at:])
                 break
-            say(source[at : found.start()])
-            at = found.end()
-            name = (found.group(2) or found.group(5) or "").lower()
+            start, end, slash, name, attributes = found
+            say(source[at:start])
+            at = end
             if not name:
                 continue
             if name in BLOCKS:
                 self.runs += 1
-            if found.group(1) or found.group(4):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if name in BLOCKS or name in UNSEEN or not any(t in BLOCKS for t, _ in stack[k + 1 :]):
-                            close(k)
-                        else:  # an inline element ends inside a block that began in it: the block goes on
-                            unseen -= stack[k][1] < 0
-                            del stack[k]
-                        break
+            if slash:
+                if place := opened.last((name,)):
+                    inside = opened.blocks[-1] if opened.blocks else 0
+                    if name in BLOCKS or name in UNSEEN or inside <= place:
+                        opened.close(place)
+                    else:  # an inline element ends inside a block that began in it: the block goes on
+                        opened.end_inside(place)
                 continue
             if name == "br":
                 say(" ")
                 continue
-            if name in ("html", "body") and any(t == name for t, _ in stack):
+            if name in ("html", "body") and opened.last((name,)):
                 continue
-            if name in BLOCKS and name not in P_STAYS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in P_BARRIERS:
-                        break
+            if name in BLOCKS and name not in P_STAYS and opened.last(("p",)) > opened.last(P_BARRIERS):
+                opened.close(opened.last(("p",)))
             ends, barriers = CLOSED_BY.get(name, ((), ()))
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in barriers:
-                        break
-                    if stack[k][0] in ends:
-                        close(k)
-                        if name != "tr":
-                            break
-            if name == "body" and stack[-1][0] == "head":
-                close(len(stack) - 1)
-            attributes = found.group(3) or found.group(6) or ""
+            while ends and opened.last(ends) > opened.last(barriers):
+                opened.close(opened.last(ends))
+                if name != "tr":
+                    break
+            if name == "body" and opened.top[0] == "head":
+                opened.close(len(opened.stack) - 1)
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(source, at)
-                at = size if end is None else source.find(">", end.start()) + 1 or size
+                closing = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(source, at)
+                at = size if closing is None else source.find(">", closing.start()) + 1 or size
                 continue
             if name in VOID:
                 continue
-            if unseen or name in UNSEEN or _hidden(attributes):
+            if opened.unseen or name in UNSEEN or _hidden(attributes):
                 if not attributes.rstrip().endswith("/"):
-                    stack.append((name, -1))
-                    unseen += 1
+                    opened.push(name, -1)
                 continue
-            own = node(name, stack[-1][1], len(stack))
+            own = node(name, opened.top[1], opened.depth)
             if attributes:
                 for key, *values in _ATTRIBUTE.findall(attributes):
                     key, value = key.lower(), values[0] or values[1] or values[2]
@@ -178,10 +256,10 @@ class Forest:
                         for word in _NAME.findall(value):
                             self.token_node.append(own)
                             self.token.append(zlib.crc32(word.lower().encode()) % ATTRIBUTE_BUCKETS)
-                    elif key == "data-main":
+                    elif labelled and key == "data-main":
                         self.label[own] = int(value)
             if not (name not in BLOCKS and attributes.rstrip().endswith("/")):
-                stack.append((name, own))
+                opened.push(name, own)
 
     def blocks(self, kept: np.ndarray) -> list[str]:
         """The text of each page's kept nodes: blocks of single-spaced words, joined by two line feeds."""
