@@ -1,9 +1,14 @@
 """Quality, toxicity and language: held-out accuracy, and defined results for odd rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textprep.llm import language, quality, toxicity
+from textprep.llm.batches import ALNUM_WORD, LOWER, Words
 from textprep.llm.labelled import flat
 
 
@@ -64,6 +69,65 @@ def test_bayes_matches_plain_counts():
     assert sorted(again.tolist()) == sorted(bucket[owner == 0].tolist()) and not own.any()
 
 
+def test_bayes_matches_plain_posterior():
+    """Scores of a small model against products of probabilities, one n-gram after another."""
+    random = np.random.default_rng(2)
+    counts = random.integers(1, 50, (3, 1 << language.BUCKET_BITS)).astype(float)
+    model = language.Model(["aa", "bb", "cc"], np.log(counts / counts.sum(1, keepdims=True)), np.log(np.array([0.5, 0.3, 0.2])))
+    texts = ["Some words", "und noch mehr, 12 Wörter", "x", "漢字 kana"]
+    names, top, rest, lettered = model.judged(texts)
+    assert lettered.all()
+    bucket, owner, _ = language.grams(texts)
+    for i in range(len(texts)):
+        plain = [math.log(p) + sum(math.log(counts[k, b] / counts[k].sum()) for b in bucket[owner == i]) for k, p in enumerate((0.5, 0.3, 0.2))]
+        best = max(range(3), key=plain.__getitem__)
+        assert names[i] == ["aa", "bb", "cc"][best]
+        assert abs(1 / rest[i] - 1 / sum(math.exp(x - plain[best]) for x in plain)) < 1e-6
+
+
+def test_more_languages_than_a_task_holds(monkeypatch):
+    """Counters are given out and begun anew; their sums stay the same."""
+    rows = pa.RecordBatch.from_arrays([pa.array(["abc abd"] * 40), pa.array([f"l{i % 20}" for i in range(40)])], ["text", "lang"])
+
+    def summed():
+        total = Counter()
+        for batch in language._counts(iter([rows, rows])):
+            for lang, bucket, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[lang, bucket] += n
+        return total
+
+    whole = summed()
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 3)
+    assert summed() == whole and len({lang for lang, _ in whole}) == 20
+
+
+def test_equally_near_rows_vote_in_order():
+    """Thirty equal labelled texts, of which fifteen may vote: the first ones do."""
+    texts = [b"one text that is there many times"] * 30 + [f"BAD!! ### {i} something else".encode() for i in range(10)]
+    labels = np.array([1] * quality.NEIGHBOURS + [0] * (40 - quality.NEIGHBOURS))
+    model = quality.train(texts, labels)
+    assert model.scores(*flat([texts[0]] * 3)).tolist() == pytest.approx([1.0] * 3)
+
+
+def test_network_matches_a_plain_forward_pass():
+    """Embeddings, filters of each width and maxima, word by word."""
+    texts = [b"some words of a text", b"one", b"", b"words words toxic words again and again"]
+    net = toxicity.train([b"good words here", b"bad toxic words"] * 30, np.tile([0, 1], 30))
+    words = Words(*flat(texts), ALNUM_WORD, LOWER)
+    rows, counts = toxicity.features(words), words.counts
+    found, first = net.logits(rows, counts), 0
+    for i, n in enumerate(counts):
+        vectors = [net.embeddings[r].sum(0).astype(float) for r in rows[first : first + n]]
+        vectors += [np.zeros(toxicity.DIMENSIONS)] * (max(toxicity.WIDTHS) - 1)
+        first += n
+        tops = []
+        for kernel, bias in zip(net.kernels, net.biases, strict=True):
+            for f in range(toxicity.FILTERS):
+                values = [sum(float(vectors[p + k] @ kernel[k][:, f]) for k in range(len(kernel))) + float(bias[f]) for p in range(n)]
+                tops.append(max([0.0, *values]))
+        assert abs(found[i] - (np.dot(tops, net.out) + net.shift)) < 1e-3
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 1, 0), (5, 0, 1), (6, 0, None), (7, None, 1), (8, 1, 0), (99, 1, 1), (None, 0, 0), (2, 1, 1)],

@@ -227,7 +227,7 @@ def encoded(
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row per document, repeated rows included: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     coded, name = encoded(spark, slim, vocabulary, pattern)
     return coded.select("doc_id", f"{name}.n_tokens", f"{name}.ids_sha256", f"{name}.decoded_sha256")

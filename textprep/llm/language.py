@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams per language come from a bounded sample of labelled rows and are summed by Spark; the driver gets
-a matrix of languages x buckets for each 512 languages, takes logarithms and broadcasts it. Scoring hashes the n-grams of a batch of texts and sums the
-log-probabilities of those that occur, a sparse product in numpy.
+a matrix of languages x buckets for each 256 languages, takes logarithms and broadcasts it. Scoring hashes the n-grams
+of a batch of texts and sums the log-probabilities of those that occur, a sparse product in numpy.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.llm.annotate import annotated, free_name
@@ -25,7 +26,8 @@ BUCKET_BITS = 15
 SMOOTHING = 0.5
 # The bound of the sample: about this many rows of each language are counted, all their text.
 SAMPLE_PER_LANGUAGE = 3000
-LANGUAGES_AT_ONCE = 512  # of a model; any number is learned, in as many models as it takes
+LANGUAGES_AT_ONCE = 256  # of a model; any number is learned, in as many models as it takes
+HELD_LANGUAGES = 64  # whose counters a task holds, 256 KB each; then it gives them out and begins anew
 UNKNOWN = "und"
 PIECE_BYTES = 1 << 19
 
@@ -101,9 +103,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in in_pieces(batch, "text", PIECE_BYTES):
             bucket, owner, _ = grams(_texts(data, offsets))
             names = np.array(rows.column("lang").to_pylist(), object)
-            for name in set(names.tolist()):
-                own = np.bincount(bucket[names[owner] == name], minlength=1 << BUCKET_BITS)
-                totals[name] = totals.get(name, 0) + own
+            language = {name: i for i, name in enumerate(dict.fromkeys(names.tolist()))}
+            numbers = np.array([language[x] for x in names.tolist()], np.int64)[owner]
+            order = np.argsort(numbers, kind="stable")
+            ends = np.searchsorted(numbers[order], np.arange(len(language) + 1))
+            for name, i in language.items():
+                found = bucket[order[ends[i] : ends[i + 1]]]
+                if name not in totals and len(totals) >= HELD_LANGUAGES:
+                    yield from _given_out(totals)
+                    totals.clear()
+                own = totals.setdefault(name, np.zeros(1 << BUCKET_BITS, np.int64))
+                if len(found) > len(own) // 8:
+                    own += np.bincount(found, minlength=len(own))
+                else:
+                    np.add.at(own, found, 1)
+    yield from _given_out(totals)
+
+
+def _given_out(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for name, own in totals.items():
         used = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays(
@@ -132,8 +149,7 @@ def fit(docs: DataFrame, learned: Column) -> Iterator[Model]:
         counts = np.full((len(languages), 1 << BUCKET_BITS), SMOOTHING)
         if languages:
             table = counted.where(F.col("lang").between(languages[0], languages[-1])).toArrow()  # at most languages x buckets
-            place = {lang: i for i, lang in enumerate(languages)}
-            at = np.array([place[x] for x in table.column("lang").to_pylist()], int)
+            at = pc.index_in(table.column("lang"), value_set=pa.array(languages)).to_numpy()
             counts[at, table.column("bucket").to_numpy()] += table.column("n").to_numpy()
         prior = np.log(np.array([sizes[x] for x in languages], float) / total)
         yield Model(languages, np.log(counts / counts.sum(1, keepdims=True)), prior)

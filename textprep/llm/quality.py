@@ -104,6 +104,9 @@ class Model:
             cosines = self.latent(counted) @ self.vectors.T
             k = min(NEIGHBOURS, len(self.labels))
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(cosines, near, 1).min(1)
+            for row in np.flatnonzero((cosines >= last[:, None]).sum(1) > k):  # equally near ones: in the order of the labelled rows
+                near[row] = np.argsort(-cosines[row], kind="stable")[:k]
             weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
             total = weight.sum(1)
             vote = (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
@@ -172,7 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted; learned from rows that are not held out."""
+    """One row per document: doc_id, held_out, score, predicted; learned from rows that are not held out.
+
+    Of equally near labelled rows those that come first in the sample vote. Rows that repeat a doc_id are scored each by
+    its own text.
+    """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found, name = scored(spark, slim, fit(docs, labels))
     return found.select("doc_id", held_out(5, 0).alias("held_out"), f"{name}.score", f"{name}.predicted")

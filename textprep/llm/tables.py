@@ -8,6 +8,7 @@ from textprep.session import shared_path
 
 # Rows of at most three numbers: a broadcast of this many stays below about 64 MB on every executor.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 _MADE = "_handoff_folder"
 
@@ -35,8 +36,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` (narrow, already written) hinted for broadcast if it has at most `max_rows`; otherwise Spark shuffles."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """`df` (narrow, already written) hinted for broadcast if it is small; otherwise Spark shuffles.
+
+    Small are at most `max_rows` rows whose texts and bytes together have at most MAX_BROADCAST_BYTES.
+    """
+    lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(lengths, F.lit(0))), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    return F.broadcast(df) if row["n"] <= max_rows and row["bytes"] <= MAX_BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
