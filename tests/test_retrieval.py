@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textprep.operators import raft, retrieval
+from textprep.operators import raft, retrieval, set_search
 from textprep.session import shared_path
 
 SCORES = {
@@ -111,9 +111,8 @@ def _jaccard(a, b):
     return round(len(a & b) / len(a | b), 6)
 
 
-@pytest.mark.parametrize("block_tokens, block_rows", [(2_000_000, 16_384), (40, 4)])
-def test_jaccard_is_exact(spark, block_tokens, block_rows, monkeypatch):
-    monkeypatch.setattr(retrieval, "_MATCHES", 50)
+@pytest.mark.parametrize("seed_postings, salt_matches", [(2_000, 1_000_000), (20, 15)])
+def test_jaccard_is_exact(spark, seed_postings, salt_matches):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(80)]
@@ -123,8 +122,8 @@ def test_jaccard_is_exact(spark, block_tokens, block_rows, monkeypatch):
         spark.createDataFrame(asked, "query_id long, text string"),
         spark.createDataFrame([*docs, (999, None)], "doc_id long, text string"),
         3,
-        block_tokens=block_tokens,
-        block_rows=block_rows,
+        seed_postings=seed_postings,
+        salt_matches=salt_matches,
     )
     want = set()
     for query, text in asked:
@@ -134,6 +133,23 @@ def test_jaccard_is_exact(spark, block_tokens, block_rows, monkeypatch):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_jaccard_compares_few_pairs(spark, monkeypatch):
+    """Documents of a topic share rare words, all share frequent ones: a tenth of the pairs and less is compared."""
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(20)]
+    topics = [[f"t{n}w{i}" for i in range(60)] for n in range(40)]
+
+    def text(n):
+        return " ".join([*rng.choice(common, 12), *rng.choice(topics[n % 40], 25)])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(800)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, text(i)) for i in range(40)], "query_id long, text string")
+    counted, scored = [], set_search._scored
+    monkeypatch.setattr(set_search, "_scored", lambda pairs, *rest: counted.append(pairs.count()) or scored(pairs, *rest))
+    found = retrieval.knn_jaccard(asked, docs, 3)
+    assert found.count() == 120 and 0 < sum(counted) < 800 * 40 / 10
+
+
 def test_lexical_vectors(spark):
     df = spark.createDataFrame([(1, "a a b"), (2, "a c"), (3, None)], "id long, text string")
     got = {r["id"]: np.array(r["embedding"]) for r in retrieval.lexical_vectors(df, "id", features=64).collect()}
@@ -235,3 +251,24 @@ def test_samples_from_texts(spark):
     for i, row in made.items():
         near = sorted(range(60), key=lambda d: (round(((vectors[1000 + i] - vectors[d]) ** 2).sum(), 6), d))
         assert row["golden_document"] == texts[near[0]][1] and row["distractor_documents"] == texts[near[2]][1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_pivot_tree_finds_all_reachable_cells(n):
+    """Groups leave out no cell that the plain bounds keep."""
+    rng = np.random.default_rng(n)
+    pivots = rng.normal(size=(n, 5)) * 3
+    if n > 6:
+        pivots[3] = pivots[0]
+    radius, near = rng.random(n), rng.random(n) + 1
+    counts = np.where(rng.random(n) < 0.2, 0, 5)
+    counts[0] = 5
+    near[counts == 0] = np.inf
+    queries = rng.normal(size=(40, 5)) * 3
+    to_pivot = np.sqrt(retrieval._squared_l2(queries, pivots))
+    bound = (to_pivot + near).min(axis=1)
+    plain = (counts > 0) & (to_pivot - radius <= bound[:, None] + retrieval._SLACK)
+    found = retrieval.Cells(pivots, counts, radius, near, 4).reachable(queries)
+    assert (found >= plain).all() and found.sum() <= 1.2 * plain.sum() + 40
+    cell, squared = retrieval._tree(pivots).nearest(queries, pivots)
+    assert np.allclose(squared, retrieval._squared_l2(queries, pivots)[np.arange(40), cell])

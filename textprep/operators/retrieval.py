@@ -10,30 +10,29 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textprep.functions import draws
-from textprep.functions.text import token_ids, tokens
+from textprep.functions.text import token_ids
+from textprep.operators.set_search import knn_jaccard as knn_jaccard
 from textprep.session import shared_path
 
 # The helpers travel with the task, so executors need not have this package installed.
 register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 64 * 1024 * 1024  # vectors of one block of documents, or of one chunk of queries
-SET_ROWS = 16_384  # token sets per block
 _TILE = 512  # queries multiplied at once,
+_VISIT_ROWS = 1024  # queries whose cells are found at once
 _TILE_SCORES = 16_000_000  # or fewer, when the block is long
-_MATCHES = 4_000_000  # shared words counted at once
 PIVOT_BYTES = 32 * 1024 * 1024  # vectors that the driver draws as pivots
 _CELLS_PER_BLOCK = 8  # finer cells prune better; a cell longer than a block is cut into blocks
 _SLACK = 1e-5  # absorbs rounding in the pruning bound
@@ -135,6 +134,42 @@ def _join_blocks(docs: DataFrame, queries: DataFrame, search, schema: str = _CAN
     return docs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, schema)
 
 
+@dataclass(frozen=True)
+class _Tree:
+    """Pivots in groups, as many as the square root of their number, each around one of them, its head."""
+
+    heads: np.ndarray
+    group: np.ndarray  # of each pivot
+    to_head: np.ndarray
+    members: list[np.ndarray]
+
+    def nearest(self, vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pivot, squared distance): the nearest pivot of the nearest group, at the cost of two square roots.
+
+        Any assignment makes valid cells; one that is not quite the nearest makes them a little wider.
+        """
+        home = _squared_l2(vectors, pivots[self.heads]).argmin(axis=1)
+        cell, distance = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        for g in np.unique(home):
+            own = np.flatnonzero(home == g)
+            squared = _squared_l2(vectors[own], pivots[self.members[g]])
+            best = squared.argmin(axis=1)
+            cell[own], distance[own] = self.members[g][best], squared[np.arange(len(own)), best]
+        return cell, distance
+
+
+def _tree(pivots: np.ndarray) -> _Tree:
+    n = max(1, math.isqrt(len(pivots)))
+    heads = np.arange(len(pivots))[:: max(1, len(pivots) // n)]
+    squared = _squared_l2(pivots, pivots[heads])
+    group = squared.argmin(axis=1)
+    members = [np.flatnonzero(group == g) for g in range(len(heads))]
+    filled = [g for g, own in enumerate(members) if len(own)]  # equal pivots leave a later head without any
+    place = np.full(len(heads), -1)
+    place[filled] = np.arange(len(filled))
+    return _Tree(heads[filled], place[group], np.sqrt(squared[np.arange(len(pivots)), group]), [members[g] for g in filled])
+
+
 @dataclass(frozen=True)
 class Cells:
     """Pivots and the extent of their cells: bounded by PIVOT_BYTES, whatever the corpus size."""
@@ -149,11 +184,34 @@ class Cells:
         return np.maximum(1, np.ceil(self.counts / self.block_rows)).astype(np.int64)
 
     def reachable(self, query_vectors: np.ndarray) -> np.ndarray:
-        """Which cells may hold one of the k nearest members of each query."""
-        to_pivot = np.sqrt(_squared_l2(query_vectors, self.pivots))
-        bound = (to_pivot + self.near[None, :]).min(axis=1)
-        occupied = self.counts[None, :] > 0
-        return occupied & (to_pivot - self.radius[None, :] <= bound[:, None] + _SLACK)
+        """Which cells may hold one of the k nearest members of each query.
+
+        Pivots lie in groups around a few of them. A query looks at the pivots of its nearest group for a first bound, and
+        then only at those of groups that reach within it.
+        """
+        tree = _tree(self.pivots)
+        reach = np.where(self.counts > 0, tree.to_head + self.radius, -np.inf)
+        extent = np.full(len(tree.heads), -np.inf)
+        np.maximum.at(extent, tree.group, reach)
+        to_head = np.sqrt(_squared_l2(query_vectors, self.pivots[tree.heads]))
+        home = to_head.argmin(axis=1)
+        bound = np.full(len(query_vectors), np.inf)
+        for g in np.unique(home):
+            own = np.flatnonzero(home == g)
+            bound[own] = (np.sqrt(_squared_l2(query_vectors[own], self.pivots[tree.members[g]])) + self.near[tree.members[g]]).min(axis=1)
+        mask = np.zeros((len(query_vectors), len(self.pivots)), bool)
+        distance = {}
+        for g, members in enumerate(tree.members):
+            own = np.flatnonzero(to_head[:, g] - extent[g] <= bound + _SLACK)
+            if len(own):
+                to_pivot = np.sqrt(_squared_l2(query_vectors[own], self.pivots[members]))
+                bound[own] = np.minimum(bound[own], (to_pivot + self.near[members]).min(axis=1))
+                distance[g] = own, to_pivot
+        for g, (own, to_pivot) in distance.items():
+            members = tree.members[g]
+            near = (to_pivot - self.radius[members] <= bound[own, None] + _SLACK) & (self.counts[members] > 0)
+            mask[np.ix_(own, members)] = near
+        return mask
 
     def nearest(self, query_vectors: np.ndarray, probes: int) -> np.ndarray:
         to_pivot = _squared_l2(query_vectors, self.pivots)
@@ -174,12 +232,11 @@ def assign_cells(
     kept = ["doc_id", "embedding"] if with_vectors else []
 
     def assign(batches):
+        tree = _tree(pivots)
         for batch in batches:
             if batch.num_rows:
-                vectors = _matrix(batch.column("embedding"))
-                distance = _squared_l2(space(vectors, False), pivots)
-                cell = distance.argmin(axis=1)
-                reach = np.sqrt(distance[np.arange(len(cell)), cell])
+                cell, squared = tree.nearest(space(_matrix(batch.column("embedding")), False), pivots)
+                reach = np.sqrt(squared)
                 columns = [*[batch.column(c) for c in kept], pa.array(cell, pa.int32()), pa.array(reach)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "cell", "reach"])
 
@@ -215,8 +272,9 @@ def _visits(queries: DataFrame, space, visit) -> DataFrame:
     """Each query with the cells that it must visit."""
 
     def place(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _VISIT_ROWS):
+                batch = whole.slice(first, _VISIT_ROWS)
                 row, cell = np.nonzero(visit(space(_matrix(batch.column("embedding")), True)))
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 cells_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell, pa.int32()))
@@ -492,122 +550,6 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-# --- token sets ---------------------------------------------------------------------------------------
-
-
-def _size_class(size: Column) -> Column:
-    """Sets of 2^c to 2^(c+1)-1 tokens are in class c."""
-    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
-
-
-def _search_sets(k: int):
-    def search(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        if docs.num_rows == 0 or queries.num_rows == 0:
-            empty = np.empty(0, dtype=np.int64)
-            return _candidates(empty, empty, None, k, False)
-        docs = docs.sort_by("doc_id")
-        doc_words, query_words = docs["words"].combine_chunks(), queries["words"].combine_chunks()
-        vocabulary = pc.unique(query_words.flatten())
-        # Sparse lists of (document, word) and (word, query); words no query has cannot be shared.
-        word = pc.index_in(doc_words.flatten(), value_set=vocabulary)
-        known = pc.is_valid(word)
-        owner = pc.filter(pc.list_parent_indices(doc_words), known).to_numpy().astype(np.int64)
-        word = pc.filter(word, known).to_numpy()
-        query_word = pc.index_in(query_words.flatten(), value_set=vocabulary).to_numpy()
-        query_owner = pc.list_parent_indices(query_words).to_numpy().astype(np.int64)
-        doc_sizes = pc.list_value_length(doc_words).to_numpy()
-        query_sizes = pc.list_value_length(query_words).to_numpy()
-
-        def score(i: int, j: int) -> np.ndarray:
-            inside = (query_owner >= i) & (query_owner < j)
-            by_word = np.argsort(query_word[inside], kind="stable")
-            holders = query_owner[inside][by_word] - i
-            per_word = np.bincount(query_word[inside], minlength=len(vocabulary))
-            first = np.cumsum(per_word) - per_word
-            matches = per_word[word]
-            reached = np.cumsum(matches)
-            shared = np.zeros(len(doc_sizes) * (j - i))
-            start = 0
-            while start < len(word):  # expand a bounded number of matches at a time
-                already = reached[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(reached, already + _MATCHES, side="right")))
-                counts = matches[start:stop]
-                offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                query = holders[np.repeat(first[word[start:stop]], counts) + offsets]
-                pair = np.repeat(owner[start:stop], counts) * (j - i) + query
-                low = owner[start] * (j - i)
-                added = np.bincount(pair - low)
-                shared[low : low + len(added)] += added
-                start = stop
-            shared = shared.reshape(len(doc_sizes), j - i)
-            union = doc_sizes[:, None] + query_sizes[None, i:j] - shared
-            jaccard = (shared / np.maximum(union, 1)).T
-            return np.where(jaccard > 0, -jaccard, np.inf)
-
-        return _candidates(
-            queries["query_id"].to_numpy(), docs["doc_id"].to_numpy(), score, k, False
-        )
-
-    return search
-
-
-def knn_jaccard(
-    queries: DataFrame, corpus: DataFrame, k: int, block_tokens: int = 2_000_000, block_rows: int = SET_ROWS
-) -> DataFrame:
-    """The k documents with the largest Jaccard similarity of token sets, of those that share a token.
-
-    `queries` is (query_id, text), `corpus` (doc_id, text).  Round one searches the documents of
-    about the query's own size.  Its k-th score then rules out all sizes whose best possible ratio
-    is smaller, and round two searches the rest; the result is exact.  The corpus is split into
-    tokens once; its sets are handed off by size class, so a round reads the classes that it visits.
-    """
-    spark = corpus.sparkSession
-    words = F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("words")
-    docs = corpus.select(F.col("doc_id").cast("long"), words)
-    docs = docs.withColumn("cell", _size_class(F.size("words")))
-    path = shared_path(spark, "word-sets")
-    docs.write.partitionBy("cell").parquet(path)
-    docs = spark.read.schema(docs.schema).parquet(path)
-    wanted = queries.select(F.col("query_id").cast("long"), words)
-    wanted = wanted.withColumn("home", _size_class(F.size("words")))
-    amount = [F.count(F.lit(1)).alias("rows"), F.sum(F.size("words")).alias("tokens")]
-    sizes = docs.groupBy("cell").agg(*amount).collect()  # one row per class
-
-    def pieces(row) -> int:
-        return max(1, math.ceil(row["rows"] / block_rows), math.ceil((row["tokens"] or 0) / block_tokens))
-
-    blocks = {row["cell"]: pieces(row) for row in sizes} or {0: 1}
-    asked = wanted.agg(*amount).first()
-    chunk_rows = max(1, min(block_rows, asked["rows"] // pieces(asked)))
-
-    def search(visits: DataFrame) -> DataFrame:
-        chunks = _chunks_of_cells(visits, blocks, chunk_rows)
-        return _join_blocks(*_place(docs, visits, blocks, chunks, ("words",), ("words",)), _search_sets(k))
-
-    classes = F.array(*[F.lit(c) for c in sorted(blocks)])
-    home = F.filter(classes, lambda c: c == F.col("home"))
-    first = _keep_best(search(wanted.withColumn("cells", home)), k)
-    path = shared_path(spark, "first-round")  # k rows per query, read twice below
-    first.write.parquet(path)
-    first = spark.read.schema(first.schema).parquet(path)
-    reached = first.groupBy("query_id").agg(
-        F.max("rank").alias("found"), F.max("score").alias("worst")
-    )
-    bounded = wanted.join(reached, "query_id", "left").withColumn(
-        "floor", F.when(F.col("found") == k, -F.col("worst")).otherwise(F.lit(0.0))
-    )
-
-    def possible(c: Column) -> Column:
-        """Largest similarity between the query and any set of class c."""
-        size = F.greatest(F.size("words"), F.lit(1)).cast("double")
-        low, high = F.pow(F.lit(2.0), c), F.pow(F.lit(2.0), c + 1) - 1
-        return F.when(c > F.col("home"), size / low).otherwise(high / size)
-
-    rest = F.filter(classes, lambda c: (c != F.col("home")) & (possible(c) >= F.col("floor") - _SLACK))
-    second = search(bounded.withColumn("cells", rest))
-    return _finish(first.select("query_id", "doc_id", "score").unionByName(second), k, True)
-
-
 # --- hits ------------------------------------------------------------------------------------------------
 
 
@@ -629,12 +571,23 @@ def result_lists(hits: DataFrame) -> DataFrame:
 # --- vectors of texts ----------------------------------------------------------------------------------------
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, encode_batch: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """Vectors of an external encoder, called once per Arrow batch: (id, embedding)."""
+def encode(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    encode_batch: Callable[[list[str]], np.ndarray] | None = None,
+    load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+) -> DataFrame:
+    """Vectors of an external encoder, called once per Arrow batch: (id, embedding).
+
+    `load`, if given, sets the encoder up, once for each task. `vector_store` keeps the vectors as well.
+    """
 
     @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(encode_batch(texts.fillna("").tolist()), dtype=np.float32)))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = encode_batch if load is None else load()
+        for texts in batches:
+            yield pd.Series(list(np.asarray(run(texts.fillna("").tolist()), dtype=np.float32)))
 
     return df.select(id_col, vectors(F.col(text_col)).alias("embedding"))
 

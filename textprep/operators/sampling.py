@@ -16,10 +16,12 @@ from textprep import fixed_values as fixed
 from textprep.functions import draws
 from textprep.functions.text import Counter, token_count
 from textprep.plans.barrier import computed_once
+from textprep.session import shared_path
 
 _BINS = 4096
 _DIRECT_ROWS = 10_000
 _ROWS_PER_RANGE = 1_000_000
+_RANGES = 1 << 16  # of the seeded shuffle
 _MAX_SALTS = 256
 
 
@@ -182,32 +184,37 @@ def _running(df: DataFrame, bucket: list[str], order: list, sums: dict[str, str]
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = fixed.SEED, within: str | None = None) -> DataFrame:
     """Add `position`, the place of each row in the seeded shuffle (of its `within` group, e.g. the split).
 
-    Buckets are the leading bits of the hash, hence even whatever the ids look like; there are more of
-    them for more rows.
+    Buckets are the leading bits of the hash, hence even whatever the ids look like: `_RANGES` of them, so that
+    a hundred billion rows make some million a bucket, and the rows need not be counted first.
     """
-    ranges = max(_BINS, math.ceil(df.count() / _ROWS_PER_RANGE))
-    bits = draws.HASH_BITS - math.ceil(math.log2(ranges))
     keyed = df.withColumn("_hash", draws.hash_key(seed, F.col(id_col)))
-    keyed = keyed.withColumn("_bucket", F.shiftright("_hash", bits))
+    keyed = keyed.withColumn("_bucket", F.shiftright("_hash", draws.HASH_BITS - int(math.log2(_RANGES))))
     groups = [] if within is None else [within]
     return _running(keyed, [*groups, "_bucket"], ["_hash", id_col], {}).drop("_hash")
 
 
 def running_totals(df: DataFrame, id_col: str, sums: dict[str, str], buckets: int | None = None) -> DataFrame:
-    """Add `position` and running sums in the order of a numeric id; ranges come from its approximate quantiles.
+    """Add `position` and running sums in the order of a unique numeric id; ranges come from its approximate quantiles.
 
     Only `buckets` quantiles (1,024, or one for a million rows if that is more) reach the driver, and
-    any choice of them gives the same result.
+    any choice of them gives the same result. Ids and the columns to be summed are handed off once: a costly
+    one, e.g. a token count, is evaluated once, and other columns are not sorted but joined to the sums.
     """
-    buckets = buckets or max(1024, math.ceil(df.count() / _ROWS_PER_RANGE))
-    points = df.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    path = shared_path(df.sparkSession, "running-keys")
+    slim = df.select(id_col, *sorted(set(sums.values())))
+    slim.write.parquet(path)
+    slim = df.sparkSession.read.schema(slim.schema).parquet(path)
+    buckets = buckets or max(1024, math.ceil(slim.count() / _ROWS_PER_RANGE))
+    points = slim.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     splits = [-math.inf, *sorted(set(points)), math.inf]
     if len(splits) > 2:
-        keyed = df.withColumn("_id", F.col(id_col).cast("double"))
+        keyed = slim.withColumn("_id", F.col(id_col).cast("double"))
         keyed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(keyed).drop("_id")
     else:  # no rows, or one id: one range
-        keyed = df.withColumn("_bucket", F.lit(0.0))
-    return _running(keyed, ["_bucket"], [id_col], sums)
+        keyed = slim.withColumn("_bucket", F.lit(0.0))
+    summed = _running(keyed, ["_bucket"], [id_col], sums)
+    rest = [c for c in df.columns if c not in slim.columns]
+    return df.select(id_col, *rest).join(summed, id_col).select(*df.columns, "position", *sums)
 
 
 def in_batches(df: DataFrame, size: int, position: str = "position", name: str = "batch_id") -> DataFrame:
@@ -216,18 +223,20 @@ def in_batches(df: DataFrame, size: int, position: str = "position", name: str =
 
 
 def top_n_per_group(df: DataFrame, group: str, n: int, order: list, id_col: str, salts: int | None = None) -> DataFrame:
-    """The first n rows of every group.
+    """The first n rows of every group; `id_col` is unique.
 
     Two rounds: first per (group, salt), where Spark also prunes to n rows before the shuffle, then
     per group over at most n * salts survivors.  A group with a third of all rows is thus spread
-    over `salts` tasks, and no row that belongs to the answer can get lost.
+    over `salts` tasks, and no row that belongs to the answer can get lost.  Only the id and what the order
+    reads go through the shuffles; the rows themselves are picked by the ids that have won.
     """
     salts = salts or min(_MAX_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
     first = F.row_number().over(W.partitionBy(group, "_salt").orderBy(*order))
-    survivors = salted.withColumn("_rank", first).where(F.col("_rank") <= n).drop("_rank", "_salt")
+    survivors = salted.withColumn("_rank", first).where(F.col("_rank") <= n)
     second = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return survivors.withColumn("_rank", second).where(F.col("_rank") <= n).drop("_rank")
+    winners = survivors.withColumn("_rank", second).where(F.col("_rank") <= n).select(F.col(id_col).alias("_winner"))
+    return df.join(winners, df[id_col] == F.col("_winner"), "left_semi")
 
 
 def within_pair_budget(df: DataFrame, first: str, second: str, max_length: int, tok: Counter = token_count) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from textprep import fixed_values as fixed
 from textprep.functions import draws, prompts
 from textprep.functions.text import token_ids
-from textprep.operators import corpus, mcq, raft, retrieval, sampling, vector_index
+from textprep.operators import corpus, mcq, raft, retrieval, sampling, vector_index, vector_store
 from textprep.plans.registry import hash_key, lit, n_tokens, query, render, strip, word, TOKENS
 from textprep.session import shared_path, shared_root
 
@@ -188,6 +190,26 @@ def _(t):
     )
 
 
+def _measuring():
+    """A stand-in for an encoder: the length of a text, its spaces and its letters e."""
+    return lambda texts: np.array([[len(t), t.count(" "), t.count("e")] for t in texts], float).reshape(-1, 3)
+
+
+@query(
+    "vector_store",
+    """SELECT doc_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces,
+              CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS letters
+       FROM (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN coalesce(text, '') || ' e' ELSE coalesce(text, '') END AS text FROM documents) AS d""",
+)
+def _(t):
+    """Vectors of a corpus of which one text in a hundred has changed since the store was filled."""
+    path, encoder = shared_path(t.spark, "vector-store"), vector_store.Encoder("measures-1", _measuring)
+    vector_store.add(t.documents, path, encoder)
+    changed = F.when(F.col("doc_id") % 100 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit(" e"))).otherwise(F.col("text"))
+    rows = vector_store.encoded(t.documents.withColumn("text", changed), path, encoder, "doc_id")
+    return rows.select("doc_id", *[F.get("embedding", F.lit(n)).cast("double").alias(c) for n, c in enumerate(("length", "spaces", "letters"))])
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------
 
 

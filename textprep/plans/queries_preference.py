@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from textprep import fixed_values as fixed
 from textprep.functions import answers
 from textprep.functions.text import token_count
-from textprep.operators import preference
+from textprep.operators import attempts, preference
 from textprep.plans.queries_mcq import CHATS, choose_sql, nested_turns
 from textprep.plans.registry import hash_key, lit, n_tokens, query, strip, word, WS
+from textprep.session import shared_path
 from textprep.sources import adapters
 
 SEED = fixed.SEED
@@ -99,6 +100,29 @@ def _(t):
     return t.v_distill.join(left, "row_id", "left_semi").select("row_id", "prompt")
 
 
+@query(
+    "request_attempts",
+    """SELECT d.row_id AS key, m.model, CAST(CASE WHEN d.row_id % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS attempt
+       FROM v_distill AS d, (VALUES ('model_a'), ('model_b'), ('model_c')) AS m(model)
+       WHERE NOT EXISTS (SELECT 1 FROM v_responses AS r WHERE r.row_id = d.row_id AND r.model = m.model AND r.response IS NOT NULL)""",
+    views=("v_responses",),
+)
+def _(t):
+    """A run that was interrupted: what was answered stays, what failed or whose lease has ended is claimed once more."""
+
+    def minute(n):
+        return F.lit(f"2024-01-01 00:{n:02d}:00").cast("timestamp")
+
+    path, requests = shared_path(t.spark, "attempts"), attempts.pairs(t.v_distill, "row_id", ["model_a", "model_b", "model_c"])
+    claims = attempts.claim(requests, path, minute(0), "10 minutes", "first")
+    answered = t.v_responses.where("response IS NOT NULL").select(F.col("row_id").alias("key"), "model")
+    attempts.settle(claims.join(answered, ["key", "model"], "left_semi"), path, minute(1), "first")
+    failed = claims.join(answered, ["key", "model"], "left_anti").where("key % 5 = 0")
+    attempts.settle(failed, path, minute(2), "first", attempts.FAILED)
+    attempts.claim(requests, path, minute(5), "10 minutes", "second")  # gets what has failed, and crashes
+    return attempts.claim(requests, path, minute(20), "10 minutes", "third")
+
+
 _TAIL = f"rtrim({strip('substr(ranking, strpos(ranking, ' + lit('Ranking:') + '))')}, '.')"
 _RANK_STEPS = {
     "split_up": f"""SELECT *, list_transform(string_split(substr({_TAIL}, 9), '>'), lambda x: {strip('x')}) AS found

@@ -14,7 +14,7 @@ from textprep.session import shared_path
 from textprep.sources import adapters, files
 from textprep.sources.catalog import Catalog
 from textprep.sources.identity import with_row_id
-from textprep.streaming import incremental
+from textprep.streaming import incremental, stateful
 
 _DOCUMENT = T.StructType(
     [
@@ -58,21 +58,19 @@ def _(t):
     return _mixed_records(t, split_above=0)
 
 
-_TEMPLATE = "concat('About ', p_brand, ':\\n\\n<question>\\nAnswer:')"
+_TEMPLATE = "concat('About ', p_brand, ', ', p_type, ':\\n\\n<question>\\nAnswer:')"
 
 
 def template_table(t):
-    """One template for each brand (there are 25), written as one JSON array of strings and read back."""
+    """One template for each brand and type (there are 150), written as JSON arrays of bounded size and read back."""
     path = shared_path(t.spark, "templates")
-    distinct = t.part.selectExpr(f"{_TEMPLATE} AS template").distinct()
-    array = distinct.agg(F.to_json(F.sort_array(F.collect_list("template"))).alias("value"))
-    array.write.text(path)
+    files.write_templates(t.part.selectExpr(f"{_TEMPLATE} AS template").distinct(), path, per_file_rows=64)
     return files.read_templates(t.spark, path)
 
 
 TEMPLATES = {
     "templates": """SELECT CAST(row_number() OVER (ORDER BY template) - 1 AS BIGINT) AS template_id, template
-                    FROM (SELECT DISTINCT 'About ' || p_brand || ':' || chr(10) || chr(10)
+                    FROM (SELECT DISTINCT 'About ' || p_brand || ', ' || p_type || ':' || chr(10) || chr(10)
                                  || '<question>' || chr(10) || 'Answer:' AS template FROM part) AS d"""
 }
 
@@ -359,3 +357,18 @@ def _(t):
         arrival.write.mode("append").parquet(arrivals)
         incremental.run(spark, arrivals, first.schema, sink, state, "doc_id", stripped)
     return incremental.read_sink(spark, sink)
+
+
+@query(
+    "streaming_dedup",
+    "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS day FROM documents",
+)
+def _(t):
+    """Three arrivals, the later ones with repeats, and a restart before each: the state lets the first of each document pass."""
+    arrivals, sink, state = (shared_path(t.spark, name) for name in ("stream-in", "stream-out", "stream-state"))
+    for day, some in ((1, "doc_id % 2 = 0"), (2, "true"), (3, "doc_id % 3 = 0")):
+        at = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0)).alias("at")
+        arrived = t.documents.where(some).select("doc_id", F.lit(day).cast("long").alias("day"), at)
+        arrived.write.mode("append").parquet(arrivals)
+        stateful.run(t.spark, arrivals, arrived.schema, sink, state, "doc_id", "at")
+    return t.spark.read.schema("doc_id long, day long").parquet(sink)

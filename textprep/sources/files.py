@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from textprep.sources import json_splits
 
@@ -21,21 +21,22 @@ _CSV = {
 
 
 def read_json_array(
-    spark: SparkSession, path: str, schema: T.StructType, split_above: int = json_splits.SPLIT_ABOVE
+    spark: SparkSession, path: str, schema: T.StructType | str, split_above: int = json_splits.SPLIT_ABOVE
 ) -> DataFrame:
     """Files that each hold one JSON array of records; a number in a text field arrives as text.
 
     A file of more than `split_above` bytes is read in ranges by many tasks, any other by one.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     large = json_splits.large_files(spark, path, split_above)
     whole = spark.read.schema(schema).option("multiLine", True).json(path)
     if not large:
-        return whole
+        return whole.select(*schema.names)
     records = json_splits.array_records(spark, large).select(F.from_json("text", schema).alias("r")).select("r.*")
     listed = spark.createDataFrame([(p,) for p in large], "large_file string")
     rest = whole.withColumn("large_file", F.col("_metadata.file_path"))
     rest = rest.where(~F.col("large_file").isin(large)) if len(large) <= 1000 else rest.join(listed, "large_file", "left_anti")
-    return rest.drop("large_file").unionByName(records)
+    return rest.select(*schema.names).unionByName(records)
 
 
 def write_json_arrays(
@@ -55,12 +56,23 @@ def write_json_arrays(
     arrays.write.partitionBy("file").text(path)
 
 
+def write_templates(templates: DataFrame, path: str, per_file_rows: int = 10_000) -> None:
+    """Write the column `template` as JSON arrays of about `per_file_rows` texts, in order within and across files."""
+    files = max(1, math.ceil(templates.count() / per_file_rows))
+    ranged = templates.select("template").repartitionByRange(files, "template")
+    filed = ranged.withColumn("file", F.format_string("%08d", F.spark_partition_id()))
+    arrays = filed.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list("template"))).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of prompt templates as rows (template_id, template), ids in file order."""
+    """JSON arrays of prompt templates as rows (template_id, template), ids in the order of files and within them."""
     items = F.from_json(F.col("value"), "array<string>")
-    return spark.read.text(path, wholetext=True).select(
-        F.posexplode(items).alias("template_id", "template")
-    )
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), items.alias("items"))
+    ahead = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
+    first = read.select("file", F.size("items").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    exploded = read.select("file", F.posexplode("items").alias("place", "template")).join(F.broadcast(first), "file")
+    return exploded.select((F.col("first") + F.col("place")).cast("int").alias("template_id"), "template")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

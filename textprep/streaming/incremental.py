@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from textprep.streaming.key_index import BUCKETS, KeyIndex
+
+COMPACT_EVERY = 32
+
 
 def run(
     spark: SparkSession,
@@ -18,30 +22,36 @@ def run(
     key: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     files_per_batch: int | None = None,
+    buckets: int = BUCKETS,
+    compact_every: int = COMPACT_EVERY,
 ) -> None:
     """Process everything that has arrived and is not processed yet, then stop.
 
     Every micro-batch owns the folder `run_id=<run>/batch_id=<n>` of the sink and replaces it as a
     whole, so a batch repeated after a failure rewrites itself.  The run is the id that the checkpoint
     gives the query: a lost checkpoint, or another source into the same sink, starts a run of its own and
-    overwrites nothing.  Keys found in any other folder are left out by an anti-join that reads only
-    the key column; no state grows in memory.  Of a batch's rows with one key the one with the least hash stays.
+    overwrites nothing.  Keys that any other batch has written are left out; an index of them by `buckets`
+    (see `key_index`) is read only where its filters suspect a key, and merged every `compact_every`
+    batches.  Of a batch's rows with one key the one with the least hash stays.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    index = KeyIndex(spark, sink, key, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch)
         columns = [F.col(c) for c in rows.columns]
         fresh = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
-        fresh = fresh.select("_row.*")
-        run_id = _run_id(spark, checkpoint)
-        earlier = _sink_keys(spark, sink, fresh.schema, key)
-        if earlier is not None:
-            own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
-            fresh = fresh.join(earlier.where(~own).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/run_id={run_id}/batch_id={batch_id}")
+        fresh = fresh.select("_row.*").persist(StorageLevel.MEMORY_AND_DISK)  # its keys are tested, then it is written
+        own = (_run_id(spark, checkpoint), batch_id)
+        try:
+            index.unseen(fresh, own).write.mode("overwrite").parquet(f"{sink}/run_id={own[0]}/batch_id={batch_id}")
+        finally:
+            fresh.unpersist()
+        index.add(own)
+        if batch_id % compact_every == compact_every - 1:
+            index.compact()
 
     query = (
         reader.parquet(arrivals)
@@ -58,16 +68,5 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
 
 
-def _sink_keys(spark: SparkSession, sink: str, schema: T.StructType, key: str) -> DataFrame | None:
-    """Keys with their run and batch, or None while the sink does not exist."""
-    columns = T.StructType([schema[key], T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(columns).option("basePath", sink).parquet(sink)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("run_id", "batch_id")
