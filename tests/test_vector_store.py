@@ -7,15 +7,13 @@ from textprep.operators import retrieval, vector_store
 from textprep.session import shared_path
 
 
-def loading():
-    return lambda texts: np.array([[len(t), t.count("a")] for t in texts], float).reshape(-1, 2)
-
-
-def failing():
-    raise RuntimeError("no text is new, so no model is loaded")
+def test_only_new_texts_are_encoded(spark):
+    def loading():
+        return lambda texts: np.array([[len(t), t.count("a")] for t in texts], float).reshape(-1, 2)
 
+    def failing():
+        raise RuntimeError("no text is new, so no model is loaded")
 
-def test_only_new_texts_are_encoded(spark):
     path, encoder = shared_path(spark, "store"), vector_store.Encoder("m-1", loading, batch_texts=3)
     rows = [(i, f"text {'a' * (i % 7)}") for i in range(50)] + [(90, None), (91, "")]
     docs = spark.createDataFrame(rows, "id long, text string").repartition(4)

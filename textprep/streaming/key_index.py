@@ -113,6 +113,10 @@ class KeyIndex:
         return kept
 
     def _earlier(self, units: list[str], buckets: list[int]) -> DataFrame:
+        """What a batch reads of earlier keys: those of the buckets in which it has a suspect."""
+        return self._keys(units, buckets)
+
+    def _keys(self, units: list[str], buckets: list[int]) -> DataFrame:
         """Keys of some buckets; folders of other buckets are not read."""
         folders = [self._folder(u, f"keys/bucket={b}") for u in units for b in buckets]
         there = [f for f in folders if children(self.spark, f)]
@@ -164,5 +168,5 @@ class KeyIndex:
         done = [u for u, batches in units.items() if not any(latest[r] == b for r, b in batches)]
         if len(done) < 2:
             return
-        keys = self.spark.read.parquet(*[self._folder(u, "keys") for u in done]).select(F.col("key").alias(self.key))
+        keys = self._keys(done, list(range(self.buckets))).select(F.col("key").alias(self.key))
         self._write(uuid.uuid4().hex, self._hashed(keys), sorted(set().union(*(units[u] for u in done))))
