@@ -10,7 +10,7 @@ from textprep.plans.registry import CHECKS
 from textprep.plans.sizing import broadcast_if_small
 
 # Queries that run numpy code inside tasks, and those whose sink or index jobs run while they are built.
-PYTHON = {"knn_l2", "knn_cosine", "knn_dot", "knn_l2_pruned", "knn_ivf_recall", "knn_index", "knn_compressed", "knn_maintained", "vector_store",
+PYTHON = {"knn_l2", "knn_cosine", "knn_dot", "knn_l2_pruned", "knn_ivf_recall", "knn_index", "knn_compressed", "knn_maintained", "vector_store", "source_json_split",
           "knn_l2_odd", "knn_cosine_odd", "knn_dot_odd", "raft_from_corpus", "retrieval_results", "rag_prompt", "raft_samples", "raft_samples_exclude_self", "raft_prompts"}
 # Plain projections and filters: not a single shuffle.
 NARROW = ["mcq_letter_options", "mcq_prelettered", "mcq_label_lookup", "mcq_index_answer", "option_shuffle",

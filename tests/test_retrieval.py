@@ -254,8 +254,9 @@ def test_samples_from_texts(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 60])
-def test_pivot_tree_finds_all_reachable_cells(n):
+def test_pivot_tree_finds_all_reachable_cells(n, monkeypatch):
     """Groups leave out no cell that the plain bounds keep."""
+    monkeypatch.setattr(retrieval, "_ONE_GROUP", 1)
     rng = np.random.default_rng(n)
     pivots = rng.normal(size=(n, 5)) * 3
     if n > 6:

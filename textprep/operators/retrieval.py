@@ -31,6 +31,7 @@ register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 64 * 1024 * 1024  # vectors of one block of documents, or of one chunk of queries
 _TILE = 512  # queries multiplied at once,
+_ONE_GROUP = 256  # pivots that are not divided into groups
 _VISIT_ROWS = 1024  # queries whose cells are found at once
 _TILE_SCORES = 16_000_000  # or fewer, when the block is long
 PIVOT_BYTES = 32 * 1024 * 1024  # vectors that the driver draws as pivots
@@ -159,7 +160,8 @@ class _Tree:
 
 
 def _tree(pivots: np.ndarray) -> _Tree:
-    n = max(1, math.isqrt(len(pivots)))
+    """Few pivots are one group: each vector then goes to the nearest of all."""
+    n = math.isqrt(len(pivots)) if len(pivots) > _ONE_GROUP else 1
     heads = np.arange(len(pivots))[:: max(1, len(pivots) // n)]
     squared = _squared_l2(pivots, pivots[heads])
     group = squared.argmin(axis=1)

@@ -70,7 +70,8 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     items = F.from_json(F.col("value"), "array<string>")
     read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), items.alias("items"))
     ahead = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
-    first = read.select("file", F.size("items").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    sizes = read.groupBy("file").agg(F.sum(F.size("items")).alias("n"))
+    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     exploded = read.select("file", F.posexplode("items").alias("place", "template")).join(F.broadcast(first), "file")
     return exploded.select((F.col("first") + F.col("place")).cast("int").alias("template_id"), "template")
 
