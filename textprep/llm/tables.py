@@ -25,7 +25,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove hand-offs that nothing reads any more, since what follows from them is written.
 
-    Only what `written` returned itself can be removed; other DataFrames are left alone.
+    Only what `written` returned itself can be removed; other DataFrames are left alone. Spark frees the shuffle files of
+    finished jobs when the driver collects its garbage, which is asked for here, lest they pile up on the executors.
     """
     for table in tables:
         made = table.__dict__.pop(_MADE, None)
@@ -33,6 +34,8 @@ def discard(*tables: DataFrame) -> None:
             spark = table.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(made)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def small_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
