@@ -11,7 +11,7 @@ from textprep.operators import attempts, preference
 from textprep.plans.queries_mcq import CHATS, choose_sql, nested_turns
 from textprep.plans.registry import hash_key, lit, n_tokens, query, strip, word, WS
 from textprep.session import shared_path
-from textprep.sources import adapters
+from textprep.sources import adapters, files
 
 SEED = fixed.SEED
 MODELS = ["model_a", "model_b", "model_c"]
@@ -202,12 +202,32 @@ def _(t):
     steps=_SIGN_STEPS,
 )
 def _(t):
+    return adapters.union_by_name(list(_eval_sets(t).values())).withColumn("split", F.lit("test"))
+
+
+def _eval_sets(t):
     bench = t.documents.selectExpr("lang AS prompt", "text AS chosen", "source AS rejected")
-    steering = preference.in_domains(_signed(t)).drop("doc_id", "domain")
-    merged = adapters.union_by_name(
-        [steering, adapters.adapt(bench, adapters.REWARD_BENCH, fixed.SOURCE_TAGS["reward_bench"])]
-    )
-    return merged.withColumn("split", F.lit("test"))
+    return {
+        "steering": preference.in_domains(_signed(t)).drop("doc_id", "domain"),
+        "reward_bench": adapters.adapt(bench, adapters.REWARD_BENCH, fixed.SOURCE_TAGS["reward_bench"]),
+    }
+
+
+@query(
+    "preference_eval_sets",
+    """SELECT x.name, prompt, chosen, rejected, source, 'test' AS split
+       FROM (SELECT 'steering' AS own, prompt, chosen, rejected, source FROM signed WHERE domain IN ('code', 'stem')
+             UNION ALL SELECT 'reward_bench', lang, text, source, 'reward-bench' FROM documents) AS s
+       CROSS JOIN (VALUES ('steering'), ('reward_bench'), ('merged')) AS x(name) WHERE x.name IN (own, 'merged')""",
+    views=("v_pair",),
+    steps=_SIGN_STEPS,
+)
+def _(t):
+    """Every evaluation set as a table of its own, and all of them as one, written and read back."""
+    path = shared_path(t.spark, "evaluation-sets")
+    names = files.write_sets(_eval_sets(t), path)
+    parts = [files.read_split(t.spark, f"{path}/{name}", "test").withColumn("name", F.lit(name)) for name in names]
+    return adapters.union_by_name(parts)
 
 
 _DATASET_STEPS = {

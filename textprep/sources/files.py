@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from textprep.sources import json_splits
+from textprep.sources.adapters import union_by_name
 
 # Text cells hold newlines, quotes and commas; nothing is trimmed, "" and NULL are one value.
 _CSV = {
@@ -98,6 +99,19 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).parquet(path)
 
 
+def write_sets(sets: dict[str, DataFrame], path: str, merged: str = "merged", split: str = "test") -> list[str]:
+    """Every set as a table below `path`, all of one split, and their union beside them; returns the names.
+
+    The union is read from the tables just written, so each set is evaluated once.
+    """
+    for name, rows in sets.items():
+        write_splits(rows.withColumn("split", F.lit(split)), f"{path}/{name}")
+    spark = next(iter(sets.values())).sparkSession
+    written = [spark.read.parquet(f"{path}/{name}") for name in sets]
+    write_splits(union_by_name(written), f"{path}/{merged}")
+    return [*sets, merged]
+
+
 def read_split(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     table = spark.read.parquet(path)
     return table if split is None else table.where(F.col("split") == split)

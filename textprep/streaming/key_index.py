@@ -147,10 +147,12 @@ class KeyIndex:
         return rows
 
     def _write(self, unit: str, hashed: DataFrame, covers: list[Batch]) -> None:
-        hashed = hashed.repartition(min(self.buckets, 1024), "bucket")
+        tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        hashed = hashed.repartition(tasks, "bucket").persist()  # for the keys and for the filters
         hashed.select("key", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._folder(unit, "keys"))
         blooms = hashed.groupBy("bucket").applyInArrow(_bloom, "bucket int, bits binary")
         blooms.coalesce(1).write.mode("overwrite").parquet(self._folder(unit, "blooms"))
+        hashed.unpersist()
         rows = self.spark.createDataFrame([(unit, r, b) for r, b in covers], "unit string, run_id string, batch_id long")
         rows.coalesce(1).write.mode("overwrite").parquet(self._folder(unit, "covers"))
 
