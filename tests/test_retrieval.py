@@ -1,6 +1,10 @@
 """Nearest neighbours against brute force, with every pruning and blocking path."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +277,32 @@ def test_pivot_tree_finds_all_reachable_cells(n, monkeypatch):
     assert (found >= plain).all() and found.sum() <= 1.2 * plain.sum() + 40
     cell, squared = retrieval._tree(pivots).nearest(queries, pivots)
     assert np.allclose(squared, retrieval._squared_l2(queries, pivots)[np.arange(40), cell])
+
+
+def test_small_blocks_do_not_multiply_what_is_sent(spark, monkeypatch):
+    """Vectors that no cell can rule out, in cells of a few: queries travel to packs of cells, not to each cell."""
+    rng = np.random.default_rng(11)
+    ids, x = list(range(600)), rng.normal(size=(600, 24))
+    queries, corpus = tables(spark, ids, x, ids, x)
+    sent, join = [], retrieval._join_blocks
+    monkeypatch.setattr(retrieval, "_join_blocks", lambda d, q, *rest: sent.append((d.count(), q.count())) or join(d, q, *rest))
+    found = retrieval.knn(queries, corpus, 3, block_rows=4, chunk_rows=4)
+    packs = 2 * spark.sparkContext.defaultParallelism
+    assert sent[0][0] <= packs * 600 and sent[0][1] <= packs * 600
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()} == brute(ids, x.astype(np.float32), ids, x.astype(np.float32), 3, "l2")
+
+
+def test_a_task_holds_few_scores():
+    """Memory of a block is that of its vectors; copies of one vector are compared once."""
+    rng = np.random.default_rng(12)
+    docs = rng.normal(size=(20_000, 8)).astype(np.float32)
+    docs[5_000:] = docs[0]
+    column = pa.FixedSizeListArray.from_arrays(pa.array(docs.ravel()), 8).cast(pa.list_(pa.float32()))
+    block = pa.table({"doc_id": pa.array(np.arange(20_000)), "embedding": column})
+    asked = pa.table({"query_id": pa.array(np.arange(1_000)), "embedding": column[:1_000]})
+    tracemalloc.start()
+    found = retrieval._search_vectors(retrieval._metric("l2"), 3, True)(block, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # 1,000 x 20,000 scores are 160 MB
+    assert found.filter(pc.equal(found["query_id"], 0))["doc_id"].to_pylist() == [5000, 5001, 5002]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textprep.functions import draws
 from textprep.operators import retrieval
-from textprep.operators.retrieval import BLOCK_BYTES, ROUND, Cells, _matrix, _squared_l2
+from textprep.operators.retrieval import _TILE, BLOCK_BYTES, ROUND, Cells, _floats, _kth, _l2_sides, _matrix, _runs, _squared_l2, _Top, _where
 from textprep.plans.sizing import broadcast_if_small
 from textprep.session import shared_path
 
@@ -91,13 +91,13 @@ class Coder:
             rest[:, cuts[m] : cuts[m + 1]] = part - book[codes[:, m]]
         return codes, np.sqrt(np.einsum("ij,ij->i", rest, rest))
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for: differences from their cell's centroid."""
+        return np.hstack([book[codes[:, m]] for m, book in enumerate(self.books)])
+
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Distance of every query to every coded vector of a cell: one table look-up for each part."""
-        rest, cuts = queries - self.centers[cell], self.cuts
-        total = np.zeros((len(queries), len(codes)))
-        for m, book in enumerate(self.books):
-            total += _squared_l2(rest[:, cuts[m] : cuts[m + 1]], book)[:, codes[:, m]]
-        return np.sqrt(total)
+        """Distance of every query to every coded vector of a cell, by one product with the decoded vectors."""
+        return np.sqrt(_squared_l2(queries - self.centers[cell], self.decode(codes)))
 
 
 def _fit(corpus: DataFrame, cells: int, parts: int | None, seed: int, rounds: int) -> Coder:
@@ -307,26 +307,37 @@ def _look_up(coder: Coder, k: int, n: int, exclude_self: bool):
     def search(docs: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if docs.num_rows and queries.num_rows:
-            docs = docs.sort_by("doc_id")
             cell = docs["cell"][0].as_py()
-            codes = np.frombuffer(b"".join(docs["codes"].to_pylist()), np.uint8).reshape(docs.num_rows, -1)
-            ids, error = docs["doc_id"].to_numpy(), docs["error"].to_numpy()
-            asked, bounds = queries["query_id"].to_numpy(), queries["bound"].to_numpy()
-            values = _matrix(queries["embedding"])
-            tile = max(1, min(512, 16_000_000 // docs.num_rows))
-            for start in range(0, len(asked), tile):
-                own = asked[start : start + tile]
-                distance = coder.distances(values[start : start + tile], cell, codes)
-                if exclude_self:
-                    distance[own[:, None] == ids[None, :]] = np.inf
-                limit = bounds[start : start + tile]
+            order = np.argsort(docs["error"].to_numpy(), kind="stable")  # a run's largest error is then not far above the others
+            ids, error = docs["doc_id"].to_numpy()[order], docs["error"].to_numpy()[order]
+            codes = np.frombuffer(b"".join(docs["codes"].to_pylist()), np.uint8).reshape(docs.num_rows, -1)[order]
+            every, bounds, vectors = queries["query_id"].to_numpy(), queries["bound"].to_numpy(), _floats(queries["embedding"])
+            for start in range(0, len(every), _TILE):
+                asked, limit = every[start : start + _TILE], bounds[start : start + _TILE].copy()
+                asking = _l2_sides(vectors[start : start + _TILE] - coder.centers[cell], True)
+                top, near = _Top(len(asked), n or k), []
+                for a, b in _runs(len(ids)):
+                    squared = asking @ _l2_sides(coder.decode(codes[a:b]), False).T
+                    if exclude_self:
+                        squared[asked[:, None] == ids[None, a:b]] = np.inf
+                    # n: distances rank; else a vector is at least as far as its code's distance less the code's error
+                    reach = top.limits(slice(None)) if n else limit + error[b - 1]
+                    reach = np.where(np.isinf(reach), np.sqrt(np.maximum(_kth(squared, n or k), 0.0)) + (0.0 if n else 2 * error[b - 1]), reach)
+                    row, col = _where(squared <= (reach[:, None] + _SLACK) ** 2)
+                    distance, col = np.sqrt(np.maximum(squared[row, col], 0.0)), col + a
+                    here = np.isfinite(distance)
+                    row, col, distance = row[here], col[here], distance[here]
+                    top.add(row, distance if n else distance + error[col], ids[col])
+                    if not n:  # k vectors of this block are as near as that
+                        limit = np.minimum(limit, top.limits(slice(None)) + _SLACK)
+                        near.append((row, col, distance))
                 if n:
-                    row, col = retrieval._best(distance, n)
+                    row, doc, distance = top.entries()
                 else:
-                    if docs.num_rows >= k:  # k vectors of this block are as near as that
-                        limit = np.minimum(limit, np.partition(distance + error[None, :], k - 1, axis=1)[:, k - 1] + _SLACK)
-                    row, col = np.nonzero((distance - error[None, :] <= limit[:, None]) & np.isfinite(distance))
-                found.append((own[row], ids[col], np.full(len(row), cell), distance[row, col]))
+                    row, col, distance = (np.concatenate(p) for p in zip(*near))
+                    here = distance - error[col] <= limit[row]
+                    row, doc, distance = row[here], ids[col[here]], distance[here]
+                found.append((asked[row], doc, np.full(len(row), cell), distance))
         parts = [np.concatenate(p) for p in zip(*found)] if found else [np.empty(0)] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
         names = ("query_id", "doc_id", "cell", "score")
