@@ -306,3 +306,11 @@ def test_a_task_holds_few_scores():
     tracemalloc.stop()
     assert peak < 48 << 20  # 1,000 x 20,000 scores are 160 MB
     assert found.filter(pc.equal(found["query_id"], 0))["doc_id"].to_pylist() == [5000, 5001, 5002]
+
+
+def test_texts_are_tokenised_once(spark):
+    """The fit and every read of the vectors start from the hashed tokens; no plan goes back to the texts."""
+    df = spark.createDataFrame([(1, "a a b"), (2, None)], "id long, text string")
+    vectors = retrieval.lexical_vectors(df, "id", features=16)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and [r["n_tokens"] for r in vectors.orderBy("id").collect()] == [3, 0]
