@@ -1,13 +1,15 @@
 """Quality, toxicity and language: held-out accuracy, and defined results for odd rows."""
 
+import hashlib
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from textprep.llm import language, quality, toxicity
+from textprep.llm import labelled, language, quality, toxicity
 from textprep.llm.batches import ALNUM_WORD, LOWER, Words
 from textprep.llm.labelled import flat
 
@@ -186,3 +188,25 @@ def test_more_languages_than_one_model_holds(spark, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 600)
     whole = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted_languages(spark, docs).collect()}
     assert all(whole[i][0] == name and abs(whole[i][1] - score) < 1e-9 for i, (name, score) in found.items())
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """A word of one learned text of thousands is known: counts are those of all texts, in several shards and rounds."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    monkeypatch.setattr(toxicity, "VISITS", 100)
+    n = 6000
+    texts = [(i, f"some plain text with w{hashlib.md5(str(i // 2).encode()).hexdigest()} at the end") for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id div 2 % 2) AS toxic")
+    table = labelled.labelled_texts(docs, labels, "toxic", ~labelled.held_out(4, 2))
+    given = [(t, i // 2 % 2) for i, t in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    words = Words(*flat([t.encode() for t, _ in given]), ALNUM_WORD, LOWER)
+    plain = toxicity._holders(toxicity._Texts(toxicity.features(words), words.counts, np.zeros(len(given)), np.array([y for _, y in given])))
+    assert (toxicity._all_holders(table) == plain).all() and table.count() == len(given) > 2 * 1200
+    net = toxicity.fit(docs, labels)
+    again = toxicity.fit(docs.repartition(5), labels)
+    assert (net.embeddings == again.embeddings).all() and net.shift == again.shift and (net.thresholds == again.thresholds).all()
+    first = toxicity._network(5).embeddings
+    moved = (net.embeddings[:, 1:] != first[:, 1:]).any(1)
+    used = toxicity.features(words)[4::8, 0]
+    assert len(used) == len(given) and moved[used].mean() > 0.5
