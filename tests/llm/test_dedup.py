@@ -314,3 +314,18 @@ def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
         found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
         assert {r.component_id for r in found} == {1000}
         assert sum(counted) <= 10 * variants, counted  # of all pairs: 19,900, 79,800 and 319,600
+
+
+def test_near_copies_share_runs_of_suffixes(spark, monkeypatch):
+    """Of 60 near copies the suffixes are joined once for each different run, and the passages are those of a plain search."""
+    words = [f"w{i * 7919 % 1009}" for i in range(600)]
+    rows = [(i, " ".join([*words[: 9 * i], f"other{i}", *words[9 * i + 1 :]])) for i in range(60)]
+    made = {}
+    real = passages.written
+    monkeypatch.setattr(passages, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {tuple(r) for r in passages.repeated_passages(frame).drop("digest").collect()}
+    assert found == set(plain_passages(rows))
+    occurrences = made["classes"].selectExpr("sum(size(flatten(s.leads))) AS n").first().n
+    joined = made["suffix-runs"].selectExpr("sum(size(s.leads)) AS n").first().n
+    assert joined < 0.5 * occurrences

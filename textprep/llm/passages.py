@@ -3,7 +3,8 @@
 Suffixes are retained only at minimisers: of the 8-word shingles at 26 neighbouring positions the least one. Every
 passage of 50 words thus holds a retained suffix that its own words select, with at least 25 words of the passage to
 the right, so equal passages retain equal suffixes. Suffixes are not sorted and neighbours not compared: grouping by
-a hash of those 25 words stands in for it. Where a group holds different documents, all windows of 50 words that
+a hash of those 25 words stands in for it. Runs of neighbouring suffixes, cut where a hash of the words says so, are one
+class if their hashes and distances are equal, so a family of near copies is grouped by its different runs. Where a group holds different documents, all windows of 50 words that
 select its suffix are grouped by hash in turn; windows that some other document holds and that overlap or touch
 are one passage.
 """
@@ -19,12 +20,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from textprep.llm.annotate import free_name
-from textprep.llm.batches import SPACED_WORD, Words, in_pieces, signed, spans, windows
+from textprep.llm.batches import SPACED_WORD, Words, in_pieces, mixed, signed, spans, windows
 from textprep.llm.tables import small_broadcast, written
 
 PASSAGE_WORDS = 50
 SHINGLE_WORDS = 8
 SPREAD = 26  # positions among which a minimiser is chosen
+RUN_SUFFIXES = 4  # retained suffixes of a run, on average
 PREFIX_WORDS = PASSAGE_WORDS - SPREAD + 1  # words to the right that equal passages share at a retained suffix
 
 
@@ -39,25 +41,37 @@ def _passage_starts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + choice[starts]
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retained suffixes of each text: position and fingerprint of the leading words."""
+def _suffix_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of retained suffixes of each text: position, fingerprint, and of each suffix the distance and its leading words' fingerprint."""
     for batch in batches:
         for rows, data, offsets in in_pieces(batch, "text"):
             words = Words(data, offsets, SPACED_WORD)
             _, chosen = _passage_starts(words)
             kept = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
-            lead = windows(words.hash, PREFIX_WORDS, seed=22)
-            lists = np.searchsorted(kept, words.offsets).astype(np.int32)
-            own = kept - np.repeat(words.offsets[:-1], np.diff(lists))
+            lead = windows(words.hash, PREFIX_WORDS, seed=22)[kept] if len(kept) else np.zeros(0, np.uint64)
+            text = np.searchsorted(kept, words.offsets)
+            begins = mixed(lead) % np.uint64(RUN_SUFFIXES) == 0
+            begins[text[:-1][text[:-1] < text[1:]]] = True
+            firsts = np.flatnonzero(begins)
+            n = np.diff(np.append(firsts, len(kept)))
+            steps = kept - np.repeat(kept[firsts], n)
+            prints = np.zeros(0, np.uint64)
+            if len(firsts):
+                place = (np.arange(len(kept)) - np.repeat(firsts, n)).astype(np.uint64)
+                prints = mixed(np.add.reduceat(mixed(mixed(lead + mixed(steps.astype(np.uint64))) + place), firsts) + n.astype(np.uint64))
+            lists, inner = np.searchsorted(firsts, text).astype(np.int32), np.append(firsts, len(kept)).astype(np.int32)
+            own = kept[firsts] - np.repeat(words.offsets[:-1], np.diff(lists))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
                     rows.column("digest"),
                     pa.array(words.counts, pa.int64()),
                     pa.ListArray.from_arrays(lists, pa.array(own, pa.int32())),
-                    pa.ListArray.from_arrays(lists, pa.array(signed(lead[kept]) if len(kept) else [], pa.int64())),
+                    pa.ListArray.from_arrays(lists, pa.array(signed(prints), pa.int64())),
+                    pa.ListArray.from_arrays(lists, pa.ListArray.from_arrays(inner, pa.array(steps, pa.int32()))),
+                    pa.ListArray.from_arrays(lists, pa.ListArray.from_arrays(inner, pa.array(signed(lead), pa.int64()))),
                 ],
-                ["doc_id", "digest", "n_words", "places", "leads"],
+                ["doc_id", "digest", "n_words", "firsts", "runs", "steps", "leads"],
             )
 
 
@@ -144,22 +158,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _digest())
-    schema = "doc_id bigint, digest binary, n_words bigint, places array<int>, leads array<bigint>"
-    sparse = written(docs.mapInArrow(_suffixes, schema).where(f"n_words >= {PASSAGE_WORDS}"), "suffixes")
+    schema = "doc_id bigint, digest binary, n_words bigint, firsts array<int>, runs array<bigint>, steps array<array<int>>, leads array<array<bigint>>"
+    sparse = written(docs.mapInArrow(_suffix_runs, schema).where(f"n_words >= {PASSAGE_WORDS}"), "suffixes")
     classes = written(
         sparse.groupBy("digest").agg(
-            F.min("doc_id").alias("doc"), F.first(F.struct("n_words", "places", "leads")).alias("s")
+            F.min("doc_id").alias("doc"), F.first(F.struct("n_words", "firsts", "runs", "steps", "leads")).alias("s")
         ),
         "classes",
     )
-    suffixes = classes.select("doc", "digest", F.explode(F.arrays_zip("s.places", "s.leads")).alias("x")).select(
-        "doc", "digest", F.col("x.places").alias("place"), F.col("x.leads").alias("lead")
-    )
+    runs = classes.select("doc", "digest", F.explode(F.arrays_zip("s.firsts", "s.runs", "s.steps", "s.leads")).alias("x"))
+    runs = runs.select("doc", "digest", F.col("x.firsts").alias("first"), F.col("x.runs").alias("run"), F.col("x.steps").alias("steps"), F.col("x.leads").alias("leads"))
+    kinds = runs.groupBy("run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first(F.struct("steps", "leads")).alias("s"))
+    kinds = written(kinds, "suffix-runs")
+    # a text that repeats itself has the same leads many times in a run
+    leads = kinds.select("run", "low", "high", F.explode(F.array_distinct("s.leads")).alias("lead"))
     shared = written(
-        suffixes.groupBy("lead").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("lead"),
+        leads.groupBy("lead").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("lead"),
         "shared-leads",
     )
-    found = suffixes.join(shared, "lead").groupBy("digest", "doc").agg(F.collect_list("place").alias("places"))
+    common = leads.select("run", "lead").join(shared, "lead").groupBy("run").agg(F.collect_list("lead").alias("common"))
+    hit = F.expr("filter(arrays_zip(s.steps, s.leads), x -> array_contains(common, x.leads))")
+    marked = kinds.select("run", "s").join(common, "run").select("run", F.transform(hit, lambda x: x["steps"]).alias("steps"))
+    marked = written(marked, "shared-runs")
+    found = runs.select("doc", "digest", "first", "run").join(marked, "run")
+    found = found.groupBy("digest", "doc").agg(F.flatten(F.collect_list(F.expr("transform(steps, x -> first + x)"))).alias("places"))
     found = written(found, "extend")
     ids = written(found.select(F.col("doc").alias("doc_id")).distinct(), "extend-ids")
     texts = docs.join(small_broadcast(ids), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
