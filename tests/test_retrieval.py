@@ -314,3 +314,24 @@ def test_texts_are_tokenised_once(spark):
     vectors = retrieval.lexical_vectors(df, "id", features=16)
     plan = vectors._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan and [r["n_tokens"] for r in vectors.orderBy("id").collect()] == [3, 0]
+
+
+@pytest.mark.parametrize("metric, exclude_self", [("cosine", False), ("l2", False), ("l2", True)])
+def test_what_a_task_meets_does_not_grow_with_the_table(spark, monkeypatch, metric, exclude_self):
+    """The largest group of documents and the largest group of queries stay near the block's rows."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 64 * 8 * 8)  # 64 rows of 8 components
+    met, join = [], retrieval._join_blocks
+
+    def largest(df):
+        return df.groupBy("cell", "block", "chunk").count().agg(F.max("count")).first()[0]
+
+    monkeypatch.setattr(retrieval, "_join_blocks", lambda d, q, *rest: met.append((largest(d), largest(q))) or join(d, q, *rest))
+    rng = np.random.default_rng(13)
+    for n in (400, 1_600):
+        ids, x = list(range(n)), rng.normal(size=(n, 8)).astype(np.float32).astype(np.float64)
+        x[n // 2 :: 2] = x[0]  # a quarter of the table is one vector
+        queries, corpus = tables(spark, ids, x, ids, x)
+        found = retrieval.knn(queries, corpus, 3, metric, exclude_self)
+        if n == 400:
+            assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()} == brute(ids, x, ids, x, 3, metric, exclude_self)
+    assert len(met) == 2 and max(rows for sizes in met for rows in sizes) <= 2 * 64
