@@ -335,3 +335,20 @@ def test_what_a_task_meets_does_not_grow_with_the_table(spark, monkeypatch, metr
         if n == 400:
             assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()} == brute(ids, x, ids, x, 3, metric, exclude_self)
     assert len(met) == 2 and max(rows for sizes in met for rows in sizes) <= 2 * 64
+
+
+@pytest.mark.parametrize("metric, exclude_self", [("l2", False), ("cosine", True)])
+def test_queries_come_in_waves(spark, monkeypatch, metric, exclude_self):
+    """What one join is sent follows the documents, not the pairs; ids that ask or answer twice change nothing."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 96 * 8 * 8)  # 96 rows of 8 components
+    rng = np.random.default_rng(14)
+    ids, x = list(range(240)), rng.normal(size=(240, 8)).astype(np.float32).astype(np.float64)
+    x[100:130], x[7] = x[0], 0
+    queries, corpus = tables(spark, ids, x, ids, x)
+    queries, corpus = queries.union(queries.where("query_id < 9")), corpus.union(corpus.where("doc_id < 20"))
+    whole = sorted(map(tuple, retrieval.knn(queries, corpus, 3, metric, exclude_self).collect()))
+    sent, join = [], retrieval._join_blocks
+    monkeypatch.setattr(retrieval, "WAVE_BYTES", 0)
+    monkeypatch.setattr(retrieval, "_join_blocks", lambda d, q, *rest: sent.append(d.count() + q.count()) or join(d, q, *rest))
+    found = sorted(map(tuple, retrieval.knn(queries, corpus, 3, metric, exclude_self).collect()))
+    assert found == whole and len(sent) > 2 and max(sent) <= 4 * 260
